@@ -8,22 +8,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, licenses, media, packing, secretscan, simhash
+
+#: Fixed value: the vocabulary of the packing query.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path(VOCABULARY), capacity=2048)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return found.select("doc_id", simhash.hex_print(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_columns(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("stored_sha256").alias("media_sha256"), "feature", "width", "height", "bits")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_best_fit_packing,
+        op4_language_id,
+        op5_secret_scan,
         op7_simhash_near_dedup,
+        op9_media_columns,
+        op10_license_scan,
     )
 }
 
