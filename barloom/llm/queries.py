@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, media, packing, secretscan, simhash
+from . import chat, langid, licenses, media, mixing, packing, secretscan, simhash, topk
 
 #: Fixed value: the vocabulary of the packing query.
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +40,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return found.select("doc_id", simhash.hex_print(F.col("f0")).alias("fingerprint"), "component_id")
@@ -49,9 +61,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_exact_top_k,
+        op2_perspective_rotation,
         op3_best_fit_packing,
         op4_language_id,
         op5_secret_scan,
+        op6_source_mixing,
         op7_simhash_near_dedup,
         op9_media_columns,
         op10_license_scan,
@@ -59,4 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL over the same tables, where SQL can say what the operator does.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": topk.TOP_K_SQL,
+    "op2_perspective_rotation": chat.ROTATE_SQL,
+    "op6_source_mixing": mixing.mix_sql(),
+}

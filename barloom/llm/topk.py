@@ -27,6 +27,8 @@ BLOCK = 8192
 RESOLUTIONS = (1, 4, 16)
 #: Candidates and queries compared at once.
 ROWS, FRONT = 4096, 1024
+#: Score and id of what isn't a pair; their negatives are whole numbers, too.
+NO_SCORE, NO_ID = -(1 << 62), np.iinfo(np.int64).max
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
@@ -79,8 +81,8 @@ class Best:
     def __init__(self, queries: _Vectors, k: int):
         self.q, self.k = queries, k
         n = len(queries.ids)
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.score = np.full((n, k), NO_SCORE)
+        self.ids = np.full((n, k), NO_ID)
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """Scores [rows, candidates]; entries that aren't pairs have the least score and greatest id."""
@@ -101,7 +103,7 @@ class Best:
 
     def _front(self, rows: np.ndarray, c: _Vectors) -> None:
         square = float(np.sqrt(self.q.square[rows].max() * c.square.max()))
-        if (self.score[rows, -1] == np.iinfo(np.int64).min).any() and len(c.ids) > 16 * self.k:
+        if (self.score[rows, -1] == NO_SCORE).any() and len(c.ids) > 16 * self.k:
             # A first threshold: the candidates with the largest norms.
             first = np.argpartition(-c.square, 4 * self.k)[: 4 * self.k]
             self._score(rows, c.take(first), None, square)
@@ -111,7 +113,7 @@ class Best:
         for ql, cl in zip(q.levels, c.levels):
             floor = self.score[rows, -1].astype(np.float64)
             slack = 1 + 1e-9 * square
-            near = (self._bound(q, c, ql, cl) >= floor[:, None] - slack)
+            near = self._bound(q, c, ql, cl) >= floor[:, None] - slack
             alive = near if alive is None else alive & near
             keep_c, keep_q = np.flatnonzero(alive.any(0)), np.flatnonzero(alive.any(1))
             if len(keep_c) < 0.7 * len(c.ids) or len(keep_q) < 0.7 * len(rows):
@@ -141,7 +143,7 @@ class Best:
         out = self.q.ids[rows][:, None] == ids
         if alive is not None:
             out = out | ~alive
-        self.add(rows, np.where(out, np.iinfo(np.int64).min, score), np.where(out, np.iinfo(np.int64).max, ids))
+        self.add(rows, np.where(out, NO_SCORE, score), np.where(out, NO_ID, ids))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def _task(block, k: int):
                     if n in best:
                         best[n].search(c)
         for b in best.values():
-            real = b.ids != np.iinfo(np.int64).max
+            real = b.ids != NO_ID
             yield pa.record_batch([pa.array(np.broadcast_to(b.q.ids[:, None], real.shape)[real]), pa.array(b.ids[real]), pa.array(b.score[real])], names=["query_id", "vec_id", "score"])
 
     return run
@@ -195,3 +197,19 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     without usable vectors gives no rows."""
     made = stored(quantize(vectors), "topk-vectors")
     return search(made, made.filter(F.col("vec_id") % every == 0), k=k)
+
+
+#: ``top_k`` with its defaults in DuckDB SQL, for vectors of one length.
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 5
+"""
