@@ -66,6 +66,19 @@ def utf8(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
+def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that is linked to each of n rows, by the links i - j."""
+    label = np.arange(n)
+    while True:
+        new, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def hashes(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
     return row.n, row.h or 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, stored, text_slices, utf8
+from ._common import connected_components, least_linked, stored, text_slices, utf8
 
 SEED = 42
 #: From this size on, a bucket is compared by breadth-first search over its own planes.
@@ -152,19 +152,6 @@ def _unpack(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row linked to each row."""
-    label = np.arange(n)
-    while True:
-        new, least = label.copy(), np.minimum(label[i], label[j])
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _wide(prints: np.ndarray, radius: int) -> np.ndarray:
     """Labels of one large bucket, by breadth-first search with blocks of rows."""
     n = len(prints)
@@ -207,7 +194,7 @@ def _narrow(prints: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: in
         at = np.flatnonzero(_unpack(near, n))
         i.append(at)
         j.append(at + d)
-    return _labels(n, np.concatenate(i), np.concatenate(j)) if i else np.arange(n)
+    return least_linked(n, np.concatenate(i), np.concatenate(j)) if i else np.arange(n)
 
 
 def forest(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
