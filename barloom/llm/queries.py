@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, media, mixing, packing, secretscan, simhash, topk
+from . import chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk
 
 #: Fixed value: the vocabulary of the packing query.
 VOCABULARY = "word_bpe_49k.json"
@@ -49,6 +49,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.media_columns(_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("stored_sha256").alias("media_sha256"), "feature", "width", "height", "bits")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secret_scan,
         op6_source_mixing,
         op7_simhash_near_dedup,
+        op8_line_dedup,
         op9_media_columns,
         op10_license_scan,
     )

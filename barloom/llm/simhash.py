@@ -78,7 +78,7 @@ def majority(h: np.ndarray, planes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64, id_type: str = "long") -> DataFrame:
     """(doc_id, f0, f1, ...) per row of ``docs``; null or wordless text: zeros."""
     words = planes // 64
     names = [f"f{i}" for i in range(words)]
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64) -> Da
             found = np.array([majority(shingle_hashes(t, shingle_words), planes) for t in utf8(part.column(1))], np.uint64).reshape(-1, words)
             yield pa.record_batch([part.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
 
 
 # Bit-sliced comparison
@@ -311,6 +311,25 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, radius: int = 2,
     return components(stored(fingerprints(docs, shingle_words=shingle_words, planes=planes), "simhash-prints"), radius)
 
 
+#: Removed documents up to which their list is broadcast (about 50 MB).
+SMALL_LIST = 1_000_000
+
+
+def deduplicate(docs: DataFrame, *, shingle_words: int, radius: int, planes: int) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the rows whose doc_id is
+    its least stay; null comes before all others, and equal doc_ids go by a hash of
+    the text. Rows with equal doc_id and equal text count as one document. Texts
+    without words are one group. Removed documents are led back to ``docs`` by
+    doc_id and text."""
+    text_hash = F.xxhash64("text")
+    named = docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text")
+    prints = stored(fingerprints(named, shingle_words=shingle_words, planes=planes, id_type="struct<doc_id: bigint, h: bigint>"), "simhash-prints")
+    found = components(prints, radius)
+    gone = stored(found.filter("doc_id != component_id").select("doc_id.*").distinct(), "simhash-gone")
+    small = F.broadcast if gone.count() <= SMALL_LIST else (lambda x: x)
+    return docs.join(small(gone), docs.doc_id.eqNullSafe(gone.doc_id) & (text_hash == gone.h), "left_anti")
+
+
 def hex_print(word: Column) -> Column:
     """16 lower-case hex digits of a fingerprint word."""
     return F.lpad(F.lower(F.hex(word)), 16, "0")
