@@ -16,6 +16,7 @@ of one length.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -67,18 +68,25 @@ class WordEncoder:
         plain, odd = [], []
         for w in words:
             (odd if _MARK in w or self.mark is None else plain).append(w)
-        parts = []
+        parts, sizes = [], []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(ids == self.mark)
-            parts += np.split(ids, cut)[:1] + [x[1:] for x in np.split(ids, cut)[1:]] if len(cut) == len(some) - 1 else [self.whole(w) for w in some]
-        parts += [self.whole(w) for w in odd]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
+            if len(cut) == len(some) - 1:
+                parts.append(np.delete(ids, cut))
+                sizes.append(np.diff(np.r_[-1, cut, len(ids)]) - 1)
+            else:
+                own = [self.whole(w) for w in some]
+                parts += own
+                sizes.append(np.array([len(x) for x in own], np.int64))
+        for w in odd:
+            parts.append(self.whole(w))
+            sizes.append(np.array([len(parts[-1])], np.int64))
         at = len(self.start) - 1
-        self.index.update(zip(plain + odd, range(at, at + len(parts))))
+        self.index.update(zip(plain + odd, range(at, at + len(words))))
         self.flat = np.concatenate([self.flat, *parts])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -91,15 +99,17 @@ class WordEncoder:
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
         bases = pc.ascii_rtrim(coded.dictionary, ".,")
-        base, tail = bases.to_pylist(), pc.utf8_slice_codeunits(coded.dictionary, 0).to_pylist()
-        tail = [w[len(b) :] for w, b in zip(tail, base)]
+        tailed = pc.not_equal(pc.binary_length(bases), pc.binary_length(coded.dictionary))
+        base, kept = bases.to_pylist(), np.flatnonzero(tailed.to_numpy(zero_copy_only=False))
+        tail = [w[len(base[k]) :] for w, k in zip(coded.dictionary.filter(tailed).to_pylist(), kept.tolist())]
         if len(self.index) > REMEMBERED:
             self._forget()
         known = self.index
-        if new := list({w for w in {*base, *tail} if w not in known}):
+        if new := list({w for w in itertools.chain(base, tail, [""]) if w not in known}):
             self._learn(new)
-        b = np.fromiter((known[w] for w in base), np.int64, len(base))
-        t = np.fromiter((known[w] for w in tail), np.int64, len(tail))
+        b = np.fromiter(map(known.__getitem__, base), np.int64, len(base))
+        t = np.full(len(b), known[""])
+        t[kept] = np.fromiter(map(known.__getitem__, tail), np.int64, len(tail))
         entry = np.empty(2 * len(b), np.int64)
         entry[0::2], entry[1::2] = b, t
         size = (self.start[1:] - self.start[:-1])[entry]
