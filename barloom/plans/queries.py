@@ -1,10 +1,508 @@
-"""Registered queries over the supplied tables, with equivalent SQL."""
+"""Registered queries over the supplied tables, each with the same in DuckDB SQL.
+
+Doubles are rounded on both sides, since results are compared by hash.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rolling
+from ..operators import analysis, backtest, bars, factors, panel, universe
+from ..sources import tables, ticks
+from ..sources.tables import ORDER_PRICES, PANEL, QUOTES, TRADES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Settings of the analysis queries.
+PERIODS, QUANTILES, COST_BPS = [1, 5], 5, 10.0
+FACTORS = [factors.roll("momentum_3", "close", "change", 3), factors.roll("volume_z5", "volume", "zscore", 5)]
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; whole numbers as bigint."""
+    kinds = dict(df.dtypes)
+    to = lambda c: F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint", "tinyint") else F.col(c)
+    return df.select(*[to(c) for c in df.columns])
+
+
+def _day(c: str):
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def query(sql: str | None = None, digits: int = 6):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Bars
+
+_4H = 4 * 3_600_000
+_TIME = f"""WITH {TRADES}, t AS (
+  SELECT *, ms - ms % {_4H} AS edge, price * quantity AS notional,
+    price - lag(price) OVER w AS step, ms - lag(ms) OVER w AS gap, avg(price) OVER (PARTITION BY symbol, ms - ms % {_4H}) AS m
+  FROM trades WINDOW w AS (PARTITION BY symbol, ms - ms % {_4H} ORDER BY ts, trade_id)
+), d AS (
+  SELECT *, last_value(CASE WHEN step <> 0 THEN sign(step) END IGNORE NULLS) OVER (PARTITION BY symbol, edge ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS way
+  FROM t
+)"""
+_BASIC = """min(edge) AS start_time_ms, max(ms) AS end_time_ms, round(arg_min(price, (ts, trade_id)), 6) AS open, round(max(price), 6) AS high,
+  round(min(price), 6) AS low, round(arg_max(price, (ts, trade_id)), 6) AS close, round(sum(quantity), 6) AS volume,
+  round(coalesce(sum(quantity) FILTER (WHERE NOT is_buyer_maker), 0), 6) AS buy_volume, round(sum(quantity) - coalesce(sum(quantity) FILTER (WHERE NOT is_buyer_maker), 0), 6) AS sell_volume,
+  round(CASE WHEN sum(quantity) > 0 THEN sum(notional) / sum(quantity) ELSE 0 END, 6) AS vwap, count(*) AS tick_count, round(sum(notional), 6) AS dollar_volume"""
+
+
+def _four_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.time_bars(tables.trades(spark, sf_dir), "4h")
+
+
+@query(f"{_TIME} SELECT symbol, {_BASIC} FROM d GROUP BY symbol, edge")
+def bars_time_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.time_bars(tables.trades(spark, sf_dir), "4h", advanced=False).select("symbol", *bars.BASIC)
+
+
+@query(
+    f"""{_TIME} SELECT symbol, edge AS start_time_ms, round(count(*) FILTER (WHERE step > 0) / count(*), 6) AS up_move_ratio, round(count(*) FILTER (WHERE step < 0) / count(*), 6) AS down_move_ratio,
+  count(*) FILTER (WHERE step <> 0 AND sign(step) <> way) AS reversals, round(coalesce(avg(gap) FILTER (WHERE gap >= 0), 0), 6) AS tick_interval_mean, round(coalesce(stddev_samp(gap) FILTER (WHERE gap >= 0), 0), 4) AS tick_interval_std,
+  round(CASE WHEN sum(abs(step)) > 0 THEN abs(arg_max(price, (ts, trade_id)) - arg_min(price, (ts, trade_id))) / sum(abs(step)) ELSE 1 END, 6) AS path_efficiency
+FROM d GROUP BY symbol, edge"""
+)
+def bars_time_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _four_hours(spark, sf_dir).withColumn("tick_interval_std", F.round("tick_interval_std", 4))
+    return b.select("symbol", "start_time_ms", "up_move_ratio", "down_move_ratio", "reversals", "tick_interval_mean", "tick_interval_std", "path_efficiency")
+
+
+@query(
+    f"""{_TIME}, b AS (
+  SELECT symbol, edge AS start_time_ms, count(*) AS n, min(price) AS low, max(price) AS high, arg_min(price, (ts, trade_id)) AS open, arg_max(price, (ts, trade_id)) AS close,
+    sum((price - m) ** 2) AS m2, sum((price - m) ** 3) AS m3, sum((price - m) ** 4) AS m4, coalesce(stddev_samp(price), 0) AS ps, coalesce(stddev_samp(quantity), 0) AS qs,
+    sum(quantity) AS v, coalesce(sum(quantity) FILTER (WHERE NOT is_buyer_maker), 0) AS buy, sum(notional) AS dv, max(quantity) AS most
+  FROM d GROUP BY symbol, edge)
+SELECT symbol, start_time_ms, round(ps, 6) AS price_std, round(qs, 6) AS volume_std,
+  round(CASE WHEN n >= 3 AND high > low THEN sqrt(n) * m3 / m2 ** 1.5 ELSE 0 END, 6) AS skewness,
+  round(CASE WHEN n >= 4 AND high > low THEN n * m4 / m2 ** 2 - 3 ELSE 0 END, 6) AS kurtosis,
+  round(CASE WHEN v > 0 THEN (2 * buy - v) / v ELSE 0 END, 6) AS buy_sell_imbalance,
+  round(CASE WHEN high > low AND dv > 0 THEN (high - low) / (dv / v) ELSE 0 END, 6) AS spread_proxy,
+  round(most, 6) AS max_trade_volume, round(CASE WHEN v > 0 THEN most / v ELSE 0 END, 6) AS max_trade_ratio,
+  round(CASE WHEN dv > 0 THEN abs(close - open) / dv ELSE 0 END, 6) AS impact_density
+FROM b"""
+)
+def bars_time_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _four_hours(spark, sf_dir).select("symbol", "start_time_ms", "price_std", "volume_std", "skewness", "kurtosis", "buy_sell_imbalance", "spread_proxy", "max_trade_volume", "max_trade_ratio", "impact_density")
+
+
+@query(
+    f"""{_TIME}, b AS (SELECT symbol, edge, min(ts) AS first_ts, max(ts) AS last_ts FROM d GROUP BY symbol, edge)
+SELECT symbol, edge AS start_time_ms, strftime(coalesce(lead(first_ts) OVER w, last_ts), '%Y-%m') AS month, lead(first_ts) OVER w IS NOT NULL AS is_complete
+FROM b WINDOW w AS (PARTITION BY symbol ORDER BY edge)"""
+)
+def bars_time_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.time_bars(tables.trades(spark, sf_dir), "4h", advanced=False).select("symbol", "start_time_ms", "month", "is_complete")
+
+
+@query(
+    f"""WITH {QUOTES}, q AS (SELECT symbol, ms, ms - ms % 3600000 AS start_time_ms, ts, event_id, (bid + ask) / 2 AS mid, ask - bid AS spread FROM quotes)
+SELECT symbol, start_time_ms, max(ms) AS end_time_ms, round(arg_min(mid, (ts, event_id)), 6) AS open, round(max(mid), 6) AS high, round(min(mid), 6) AS low, round(arg_max(mid, (ts, event_id)), 6) AS close,
+  count(*) AS tick_count, round(avg(spread), 6) AS spread_mean, round(coalesce(stddev_samp(spread), 0), 6) AS spread_std, round(greatest(max(spread), 0), 6) AS spread_max,
+  round(arg_min(mid, (ts, event_id)), 6) AS mid_open, round(max(mid), 6) AS mid_high, round(min(mid), 6) AS mid_low, round(arg_max(mid, (ts, event_id)), 6) AS mid_close
+FROM q GROUP BY symbol, start_time_ms"""
+)
+def bars_quote_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.quote_bars(tables.quotes(spark, sf_dir), "1h")
+
+
+def _threshold_sql(amount: str, threshold: str) -> str:
+    """Fixed-threshold bars by a running sum over each symbol's whole history."""
+    dollar = amount == "dollar"
+    value = "round(price * quantity, 6)" if dollar else "quantity"
+    notional, quantity = ("part", "part / price") if dollar else ("part * price", "part")
+    return f"""WITH {TRADES}, r AS (
+  SELECT *, {value}::DECIMAL(28,8) AS amount, sum({value}::DECIMAL(28,8)) OVER (PARTITION BY symbol ORDER BY ts, trade_id)::DECIMAL(38,8) AS hi FROM trades WHERE price * quantity > 0
+), u AS (
+  SELECT *, (hi - amount)::DECIMAL(38,8) AS lo, {threshold}::DECIMAL(28,8) AS thr FROM r
+), g AS (
+  SELECT *, ((lo * 100000000)::HUGEINT // (thr * 100000000)::HUGEINT)::BIGINT AS k0, (((hi * 100000000)::HUGEINT - 1) // (thr * 100000000)::HUGEINT)::BIGINT AS k1 FROM u
+), p AS (
+  SELECT *, (least(hi::DOUBLE, (bar_id + 1) * thr::DOUBLE) - greatest(lo::DOUBLE, bar_id * thr::DOUBLE)) AS part FROM (SELECT *, unnest(generate_series(k0, greatest(k0, k1))) AS bar_id FROM g)
+), b AS (
+  SELECT symbol, bar_id, min(ms) AS first_ms, max(ms) AS end_time_ms, arg_min(price, (ts, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, trade_id)) AS close,
+    sum({quantity}) AS volume, sum({notional}) AS dollar_volume, count(*) AS tick_count, bool_or(hi >= (bar_id + 1) * thr) AS is_complete
+  FROM p GROUP BY symbol, bar_id)
+SELECT symbol, bar_id, coalesce(lag(end_time_ms) OVER (PARTITION BY symbol ORDER BY bar_id), first_ms) AS start_time_ms, end_time_ms, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close,
+  round(volume, 4) AS volume, round(dollar_volume, 4) AS dollar_volume, tick_count, is_complete FROM b"""
+
+
+_THRESHOLD_COLUMNS = ("symbol", "bar_id", "start_time_ms", "end_time_ms", "open", "high", "low", "close")
+
+
+def _threshold_view(b: DataFrame) -> DataFrame:
+    return b.select(*_THRESHOLD_COLUMNS, F.round("volume", 4).alias("volume"), F.round("dollar_volume", 4).alias("dollar_volume"), "tick_count", "is_complete")
+
+
+@query(_threshold_sql("volume", "100"))
+def bars_volume_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _threshold_view(bars.volume_bars(tables.trades(spark, sf_dir), 100, advanced=False))
+
+
+@query(_threshold_sql("dollar", "777.77"))
+def bars_dollar_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _threshold_view(bars.dollar_bars(tables.trades(spark, sf_dir), 777.77, advanced=False))
+
+
+_PROFILE = "profile AS (SELECT symbol, ms // 86400000 AS day, sum(price * quantity) AS total FROM trades GROUP BY ALL)"
+_THRESHOLDS = f"""{_PROFILE}, thresholds AS (
+  SELECT symbol, day, threshold FROM (
+    SELECT symbol, day, avg(total) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) / 10 AS threshold, min(day) OVER (PARTITION BY symbol) AS first_day FROM profile)
+  WHERE day > first_day AND threshold > 0)"""
+
+
+@query(f"WITH {TRADES}, {_PROFILE} SELECT symbol, day, round(total, 6) AS total FROM profile")
+def dollar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.daily_profile(tables.trades(spark, sf_dir))
+
+
+def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.daily_thresholds(bars.daily_profile(tables.trades(spark, sf_dir)), lookback=3, bars_per_day=10, discard_months=0)
+
+
+@query(f"WITH {TRADES}, {_THRESHOLDS} SELECT symbol, day, round(threshold, 6) AS threshold FROM thresholds")
+def dollar_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _thresholds(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {TRADES}, t AS (SELECT *, ms // 86400000 AS day, round(price * quantity, 6)::DECIMAL(28,8) AS amount FROM trades WHERE price * quantity > 0),
+{_THRESHOLDS}, dl AS (SELECT symbol, day, sum(amount)::DECIMAL(28,8) AS total FROM t GROUP BY ALL), dt AS (
+  SELECT symbol, day, total, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k, coalesce(last_value(thr IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day), first_value(thr IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS thr
+  FROM (SELECT dl.symbol, dl.day, total, round(threshold, 8)::DECIMAL(28,8) AS thr FROM dl LEFT JOIN thresholds USING (symbol, day))
+), fold AS (
+  SELECT symbol, k, day, thr, 0::DECIMAL(28,8) AS carry, 0::BIGINT AS bars, total FROM dt WHERE k = 1
+  UNION ALL
+  SELECT d.symbol, d.k, d.day, d.thr, (f.carry + f.total - floor_n * f.thr)::DECIMAL(28,8), f.bars + floor_n, d.total
+  FROM (SELECT *, (((carry + total) * 100000000)::HUGEINT // (thr * 100000000)::HUGEINT)::BIGINT AS floor_n FROM fold) f JOIN dt d ON d.symbol = f.symbol AND d.k = f.k + 1
+), r AS (
+  SELECT t.*, carry, bars, thr, row_number() OVER w AS rn, (carry + sum(amount) OVER w)::DECIMAL(38,8) AS hi FROM t JOIN fold USING (symbol, day) WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, trade_id)
+), g AS (
+  SELECT *, (hi - amount)::DECIMAL(38,8) AS lo, CASE WHEN rn = 1 THEN 0 ELSE ((hi - amount) * 100000000)::HUGEINT // (thr * 100000000)::HUGEINT END::BIGINT AS k0, (((hi * 100000000)::HUGEINT - 1) // (thr * 100000000)::HUGEINT)::BIGINT AS k1 FROM r
+), p AS (
+  SELECT *, bars + j AS bar_id, least(hi::DOUBLE, (j + 1) * thr::DOUBLE) - CASE WHEN j = k0 THEN lo::DOUBLE ELSE j * thr::DOUBLE END AS part FROM (SELECT *, unnest(generate_series(k0, greatest(k0, k1))) AS j FROM g)
+), b AS (
+  SELECT symbol, bar_id, max(ms) AS end_time_ms, arg_min(price, (ts, trade_id)) AS open, arg_max(price, (ts, trade_id)) AS close, sum(part) AS dollar_volume, count(*) AS tick_count FROM p GROUP BY symbol, bar_id)
+SELECT symbol, bar_id, end_time_ms, round(open, 6) AS open, round(close, 6) AS close, round(dollar_volume, 1) AS dollar_volume, tick_count FROM b"""
+)
+def bars_dollar_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars.dollar_bars(tables.trades(spark, sf_dir), "auto", lookback=3, bars_per_day=10, discard_months=0, advanced=False)
+    return b.select("symbol", "bar_id", "end_time_ms", "open", "close", F.round("dollar_volume", 1).alias("dollar_volume"), "tick_count")
+
+
+@query(
+    f"""WITH {TRADES}, n AS (SELECT *, price * quantity AS notional, (row_number() OVER (PARTITION BY symbol ORDER BY ts, trade_id) - 1) // 50 AS bar_id FROM trades)
+SELECT symbol, bar_id, {_BASIC.replace("min(edge)", "min(ms)")}, count(*) = 50 AS is_complete FROM n GROUP BY symbol, bar_id"""
+)
+def bars_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.tick_bars(tables.trades(spark, sf_dir), 50, advanced=False)
+
+
+# Sources
+
+@query(
+    f"""WITH {ORDER_PRICES}, f AS (SELECT symbol, min(ts) AS first_ts, (SELECT max(ts) FROM history) AS last_ts FROM history WHERE extract('month' FROM ts) % 3 <> 0 GROUP BY symbol),
+w AS (SELECT symbol, strftime(unnest(generate_series(date_trunc('month', first_ts), date_trunc('month', (SELECT max(ts) FROM history WHERE extract('month' FROM ts) % 3 <> 0)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM f)
+SELECT symbol, month FROM w EXCEPT SELECT symbol, strftime(ts, '%Y-%m') FROM history WHERE extract('month' FROM ts) % 3 <> 0"""
+)
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months without files: every third one is taken away first."""
+    return ticks.coverage_gaps(tables.order_prices(spark, sf_dir).filter(F.month("ts") % 3 != 0))
+
+
+@query(f"WITH {TRADES} SELECT symbol, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n_rows FROM trades GROUP BY symbol")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ticks.date_ranges(tables.trades(spark, sf_dir))
+    return r.select("symbol", F.unix_millis("first_ts").alias("first_ms"), F.unix_millis("last_ts").alias("last_ms"), "n_rows")
+
+
+@query(f"WITH {TRADES} SELECT DISTINCT symbol FROM trades")
+def list_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.symbols_of(tables.trades(spark, sf_dir))
+
+
+@query(f"WITH {TRADES} SELECT trade_id, round(price, 6) AS price, round(quantity, 6) AS quantity FROM trades WHERE symbol = 'click' ORDER BY ts, trade_id LIMIT 10")
+def preview_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.preview(tables.trades(spark, sf_dir), symbol="click", columns=["trade_id", "price", "quantity"])
+
+
+@query(f"WITH {TRADES} SELECT symbol, trade_id, round(price, 6) AS price FROM trades")
+def dedup_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades, given twice."""
+    t = tables.trades(spark, sf_dir)
+    return ticks.dedup(t.unionByName(t)).select("symbol", "trade_id", "price")
+
+
+# Factors
+
+_GRID = f"""WITH {PANEL}, grid AS (
+  SELECT t.ts, s.symbol, p.close, p.volume, p.close IS NOT NULL AS on_panel
+  FROM (SELECT DISTINCT ts FROM panel) t CROSS JOIN (SELECT DISTINCT symbol FROM panel) s LEFT JOIN panel p USING (ts, symbol))"""
+_DATE = "strftime(ts, '%Y-%m-%d') AS ts"
+
+
+def _wide(spark: SparkSession, sf_dir: str, *fs: factors.Factor) -> DataFrame:
+    return factors.wide(tables.panel(spark, sf_dir), list(fs)).withColumn("ts", _day("ts"))
+
+
+@query(
+    f"""{_GRID}, g AS (SELECT *, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s, count(close) OVER w AS n FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING))
+SELECT {_DATE}, symbol, round(CASE WHEN n >= 2 AND s > 0 THEN (close - m) / s END, 6) AS z5 FROM g WHERE on_panel"""
+)
+def factor_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir, factors.roll("z5", "close", "zscore", 5))
+
+
+@query(f"{_GRID} SELECT * FROM (SELECT {_DATE}, symbol, round(avg(close) OVER w, 6) AS m5, round(CASE WHEN count(close) OVER w >= 2 THEN stddev_samp(close) OVER w END, 6) AS s5, on_panel FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)) WHERE on_panel".replace("SELECT * FROM", "SELECT * EXCLUDE (on_panel) FROM"))
+def factor_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir, factors.roll("m5", "close", "mean", 5), factors.roll("s5", "close", "std", 5))
+
+
+@query(
+    f"""{_GRID}, f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS ff FROM grid), c AS (
+  SELECT *, ff / lag(ff, 3) OVER w - 1 AS c3, close - lag(close, 3) OVER w AS d3 FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT {_DATE}, symbol, round(c3, 6) AS c3, round(d3, 6) AS d3 FROM c WHERE on_panel"""
+)
+def factor_change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir, factors.roll("c3", "close", "change", 3), factors.roll("d3", "close", "diff", 3))
+
+
+@query(
+    f"""{_GRID}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM grid)
+SELECT strftime(a.ts, '%Y-%m-%d') AS ts, a.symbol, round((count(*) FILTER (WHERE b.close < a.close) + (count(*) FILTER (WHERE b.close = a.close) + 1) / 2) / count(b.close), 6) AS r5
+FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k - 4 AND a.k WHERE a.on_panel GROUP BY a.ts, a.symbol"""
+)
+def factor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir, factors.roll("r5", "close", "rank", 5))
+
+
+@query(f"{_GRID}, g AS (SELECT *, max(close) OVER w AS h, min(close) OVER w AS l FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)) SELECT {_DATE}, symbol, round(CASE WHEN h > l THEN (close - l) / (h - l) END, 6) AS stoch FROM g WHERE on_panel")
+def factor_custom_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high, low = rolling.highest("close", 10), rolling.lowest("close", 10)
+    return _wide(spark, sf_dir, factors.custom("stoch", lambda: F.when(high > low, (F.col("close") - low) / (high - low))))
+
+
+@query(f"WITH {PANEL} SELECT {_DATE}, symbol, 'pandas_ewm' AS factor, round(close, 6) AS value FROM panel")
+def factor_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pandas escape hatch: a mean over a window of one is the column itself."""
+    return factors.apply_per_symbol(tables.panel(spark, sf_dir), "pandas_ewm", lambda d: d["close"].rolling(1).mean(), ["close"]).withColumn("ts", _day("ts"))
+
+
+@query(
+    f"""WITH {PANEL}, r AS (SELECT *, lag(close) OVER w AS prev, count(*) OVER (w ROWS 4 PRECEDING) AS n, avg(close) OVER (w ROWS 4 PRECEDING) AS sma, stddev_samp(close) OVER (w ROWS 4 PRECEDING) AS sd, avg(volume) OVER (w ROWS 4 PRECEDING) AS vs, lag(close, 5) OVER w AS c5 FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+q AS (SELECT *, close / prev - 1 AS ret FROM r)
+SELECT {_DATE}, symbol, round(ret, 6) AS "return", round(CASE WHEN n = 5 THEN sma END, 6) AS sma_5, round(CASE WHEN n = 5 THEN sd END, 6) AS std_5, round(CASE WHEN n = 5 THEN vs END, 6) AS vol_sma_5, round(close / c5 - 1, 6) AS momentum_5,
+  round(CASE WHEN count(ret) OVER w = 5 THEN stddev_samp(ret) OVER w * sqrt(252) END, 6) AS volatility_5 FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)"""
+)
+def feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = factors.feature_set(tables.panel(spark, sf_dir), (5,))
+    return made.select(_day("ts").alias("ts"), "symbol", "return", "sma_5", "std_5", "vol_sma_5", "momentum_5", "volatility_5")
+
+
+# Analysis
+
+_FACTOR_SQL = f"""{_GRID}, ff AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS padded FROM grid), w AS (
+  SELECT *, padded / lag(padded, 3) OVER s - 1 AS momentum_3, CASE WHEN count(volume) OVER v >= 2 AND stddev_samp(volume) OVER v > 0 THEN (volume - avg(volume) OVER v) / stddev_samp(volume) OVER v END AS volume_z5,
+    (100 + lead(close, 1) OVER s / 10) / (100 + close / 10) - 1 AS ret_1, (100 + lead(close, 5) OVER s / 10) / (100 + close / 10) - 1 AS ret_5
+  FROM ff WINDOW s AS (PARTITION BY symbol ORDER BY ts), v AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)
+), longf AS (
+  SELECT 'momentum_3' AS factor, ts, symbol, round(momentum_3, 9) AS value, ret_1, ret_5 FROM w WHERE on_panel UNION ALL SELECT 'volume_z5', ts, symbol, round(volume_z5, 9), ret_1, ret_5 FROM w WHERE on_panel
+), kept AS (SELECT * FROM longf WHERE value IS NOT NULL AND ret_1 IS NOT NULL AND ret_5 IS NOT NULL), edges AS (
+  SELECT factor, ts, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS e FROM kept GROUP BY factor, ts
+), data AS (SELECT kept.*, 1 + len(list_filter(e, lambda x: x < value)) AS quantile FROM kept JOIN edges USING (factor, ts))"""
+_IC_SQL = f"""{_FACTOR_SQL}, s AS (
+  SELECT factor, ts, 1 AS period, value, ret_1 AS ret FROM data UNION ALL SELECT factor, ts, 5, value, ret_5 FROM data
+), k AS (
+  SELECT factor, ts, period, rank() OVER (PARTITION BY factor, ts, period ORDER BY value) + (count(*) OVER (PARTITION BY factor, ts, period, value) - 1) / 2 AS a,
+    rank() OVER (PARTITION BY factor, ts, period ORDER BY ret) + (count(*) OVER (PARTITION BY factor, ts, period, ret) - 1) / 2 AS b FROM s
+), ic AS (SELECT factor, ts, period, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM k GROUP BY factor, ts, period)"""
+
+
+def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned factor data and prices. The events' values jump; a tenth of them over
+    100 makes a tradable price. Values are rounded, as ties decide ranks and bins.
+    No share of loss is an error here: the panel is short."""
+    f, prices = _factors(spark, sf_dir)
+    return analysis.clean(f, prices, periods=PERIODS, quantiles=QUANTILES, max_loss=1.0), prices
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = tables.panel(spark, sf_dir)
+    return factors.compute(p, FACTORS).withColumn("value", F.round("value", 9)), p.select("ts", "symbol", (100 + F.col("close") / 10).alias("close"))
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", _day("ts"))
+
+
+@query(f"{_GRID}, r AS (SELECT *, lead(close, 1) OVER w / close - 1 AS ret_1, lead(close, 5) OVER w / close - 1 AS ret_5 FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT {_DATE}, symbol, round(ret_1, 6) AS ret_1, round(ret_5, 6) AS ret_5 FROM r")
+def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(analysis.forward_returns(tables.panel(spark, sf_dir), PERIODS))
+
+
+@query(f"{_FACTOR_SQL} SELECT factor, {_DATE}, symbol, round(value, 6) AS value, quantile FROM data")
+def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(_data(spark, sf_dir)[0]).select("factor", "ts", "symbol", "value", "quantile")
+
+
+@query(
+    f"""{_FACTOR_SQL}, x AS (SELECT *, min(value) OVER d AS lo, max(value) OVER d AS hi FROM kept WINDOW d AS (PARTITION BY factor, ts))
+SELECT factor, {_DATE}, symbol, CASE WHEN hi > lo THEN greatest(1, least(4, ceil((value - lo) * 4 / (hi - lo)))) ELSE 2 END::BIGINT AS bin FROM x"""
+)
+def fixed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, prices = _factors(spark, sf_dir)
+    made = analysis.clean(f, prices, periods=PERIODS, bins=4, max_loss=1.0)
+    return _dated(made).select("factor", "ts", "symbol", F.col("quantile").alias("bin"))
+
+
+def _ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.rank_ic(_data(spark, sf_dir)[0], PERIODS)
+
+
+@query(f"{_IC_SQL} SELECT factor, {_DATE}, period, round(ic, 6) AS ic FROM ic")
+def ic_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(_ic(spark, sf_dir))
+
+
+@query(f"{_IC_SQL} SELECT factor, period, round(avg(ic), 6) AS mean_ic, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 6) AS icir, count(ic) AS n FROM ic GROUP BY factor, period")
+def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.ic_summary(_ic(spark, sf_dir))
+
+
+@query(f"{_IC_SQL} SELECT factor, {_DATE}, period, round(ic, 6) AS ic, round(sum(ic) OVER (PARTITION BY factor, period ORDER BY ts), 6) AS cumulative_ic FROM ic")
+def ic_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(analysis.cumulative_ic(_ic(spark, sf_dir)))
+
+
+@query(f"{_IC_SQL} SELECT factor, {_DATE}, period, round(CASE WHEN count(*) OVER w >= least(20, count(*) OVER (PARTITION BY factor, period)) THEN avg(ic) OVER w END, 6) AS rolling_ic FROM ic WINDOW w AS (PARTITION BY factor, period ORDER BY ts ROWS 19 PRECEDING)")
+def ic_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(analysis.rolling_ic(_ic(spark, sf_dir))).select("factor", "ts", "period", "rolling_ic")
+
+
+_QR = "qr AS (SELECT factor, quantile, avg(ret_1) AS mean_1, avg(ret_5) AS mean_5, count(*) AS n FROM data GROUP BY factor, quantile)"
+
+
+@query(f"{_FACTOR_SQL}, {_QR} SELECT factor, quantile, round(mean_1, 6) AS mean_1, round(mean_5, 6) AS mean_5, n FROM qr")
+def quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.quantile_returns(_data(spark, sf_dir)[0], PERIODS)
+
+
+@query(f"{_FACTOR_SQL}, {_QR} SELECT factor, round(arg_max(mean_1, quantile) - arg_min(mean_1, quantile), 6) AS spread_1, round(arg_max(mean_5, quantile) - arg_min(mean_5, quantile), 6) AS spread_5 FROM qr GROUP BY factor")
+def quantile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.quantile_spread(analysis.quantile_returns(_data(spark, sf_dir)[0], PERIODS), PERIODS)
+
+
+@query(
+    f"""{_FACTOR_SQL}, n AS (SELECT *, dense_rank() OVER (PARTITION BY factor ORDER BY ts) AS k FROM data)
+SELECT a.factor, a.quantile, strftime(a.ts, '%Y-%m-%d') AS ts, round(1 - count(b.symbol) / count(*), 6) AS turnover
+FROM n a LEFT JOIN n b ON a.factor = b.factor AND a.symbol = b.symbol AND a.quantile = b.quantile AND b.k = a.k - 1 WHERE a.k > 1 GROUP BY a.factor, a.quantile, a.ts"""
+)
+def quantile_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(analysis.quantile_turnover(_data(spark, sf_dir)[0], 1))
+
+
+# Backtest
+
+_LS_SQL = f"""{_FACTOR_SQL}, dates AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY ts) AS k, lead(ts) OVER (PARTITION BY factor ORDER BY ts) AS next_ts FROM (SELECT DISTINCT factor, ts FROM data)),
+top AS (SELECT factor, max(quantile) AS q FROM data GROUP BY factor), legs AS (
+  SELECT factor, ts, symbol, leg, (CASE leg WHEN 'long' THEN 1 ELSE -1 END) / count(*) OVER (PARTITION BY factor, ts, leg) AS weight
+  FROM (SELECT factor, ts, symbol, 'long' AS leg FROM data JOIN top USING (factor) WHERE quantile = q UNION ALL SELECT factor, ts, symbol, 'short' FROM data WHERE quantile = 1)
+), net AS (SELECT factor, k, symbol, sum(weight) AS w FROM legs JOIN dates USING (factor, ts) GROUP BY ALL), turned AS (
+  SELECT factor, k, sum(abs(d)) AS turnover FROM (SELECT factor, k, symbol, sum(w) AS d FROM (SELECT factor, k, symbol, w FROM net UNION ALL SELECT factor, k + 1, symbol, -w FROM net) GROUP BY ALL) GROUP BY ALL
+), r AS (
+  SELECT l.factor, l.ts, coalesce(avg((100 + b.close / 10) / (100 + a.close / 10) - 1) FILTER (WHERE leg = 'long'), 0) AS lr, coalesce(avg((100 + b.close / 10) / (100 + a.close / 10) - 1) FILTER (WHERE leg = 'short'), 0) AS sr
+  FROM legs l JOIN dates d ON d.factor = l.factor AND d.ts = l.ts JOIN panel a ON a.ts = l.ts AND a.symbol = l.symbol JOIN panel b ON b.ts = d.next_ts AND b.symbol = l.symbol GROUP BY ALL
+), p AS (
+  SELECT d.factor, d.ts, d.next_ts, coalesce(lr, 0) AS long_return, coalesce(sr, 0) AS short_return, coalesce(lr - sr, 0) AS gross, coalesce(turnover, 0) AS turnover, coalesce(turnover, 0) * {COST_BPS} / 10000 AS cost
+  FROM dates d LEFT JOIN r USING (factor, ts) LEFT JOIN turned USING (factor, k) WHERE next_ts IS NOT NULL
+), v AS (
+  SELECT factor, min(ts) AS ts, 1.0::DOUBLE AS nav FROM p GROUP BY factor UNION ALL
+  SELECT factor, next_ts, product(1 + gross - cost) OVER (PARTITION BY factor ORDER BY ts) FROM p)"""
+
+
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, prices = _data(spark, sf_dir)
+    return backtest.long_short(data, prices, cost_bps=COST_BPS)
+
+
+@query(f"{_LS_SQL} SELECT factor, {_DATE}, round(long_return, 6) AS long_return, round(short_return, 6) AS short_return, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(cost, 6) AS cost FROM p")
+def ls_weights_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(_periods(spark, sf_dir)).select("factor", "ts", "long_return", "short_return", "gross", "turnover", "cost")
+
+
+@query(f"{_LS_SQL} SELECT factor, {_DATE}, round(nav, 6) AS nav, round(nav / max(nav) OVER (PARTITION BY factor ORDER BY ts) - 1, 6) AS drawdown FROM v")
+def ls_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(backtest.drawdown(backtest.nav(_periods(spark, sf_dir))))
+
+
+_PERF_SQL = f"""{_LS_SQL}, e AS (SELECT factor, arg_max(nav, ts) / arg_min(nav, ts) - 1 AS total, (epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400) AS years FROM v GROUP BY factor),
+x AS (SELECT * FROM (SELECT factor, ts, nav / lag(nav) OVER (PARTITION BY factor ORDER BY ts) - 1 AS r FROM v) WHERE r IS NOT NULL),
+y AS (SELECT *, product(1 + r) OVER (PARTITION BY factor ORDER BY ts) AS c FROM x), z AS (SELECT *, c / max(c) OVER (PARTITION BY factor ORDER BY ts) - 1 AS dd FROM y),
+m AS (SELECT factor, stddev_pop(r) * sqrt(252) AS volatility, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe, coalesce(avg(r) / nullif(stddev_pop(r) FILTER (WHERE r < 0), 0) * sqrt(252), 0) AS sortino, min(dd) AS mdd FROM z GROUP BY factor),
+perf AS (SELECT factor, total AS total_return, (1 + total) ** (1 / years) - 1 AS annual_return, volatility, sharpe, sortino, mdd AS max_drawdown, ((1 + total) ** (1 / years) - 1) / abs(mdd) AS calmar FROM e JOIN m USING (factor))"""
+
+
+@query(f"{_PERF_SQL} SELECT factor, round(total_return, 5) AS total_return, round(annual_return, 5) AS annual_return, round(volatility, 5) AS volatility, round(sharpe, 5) AS sharpe, round(sortino, 5) AS sortino, round(max_drawdown, 5) AS max_drawdown, round(calmar, 5) AS calmar FROM perf", 5)
+def ls_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.performance(backtest.nav(_periods(spark, sf_dir)))
+
+
+@query(f"{_LS_SQL} SELECT factor, round(sum(cost), 6) AS total_cost, round(avg(turnover), 6) AS avg_turnover, count(*) AS n_rebalances FROM p GROUP BY factor")
+def ls_trading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trading(_periods(spark, sf_dir))
+
+
+@query(
+    f"""{_PERF_SQL}, s AS (SELECT factor, ts, value, ret_1 AS ret FROM data), k AS (
+  SELECT factor, ts, rank() OVER (PARTITION BY factor, ts ORDER BY value) + (count(*) OVER (PARTITION BY factor, ts, value) - 1) / 2 AS a, rank() OVER (PARTITION BY factor, ts ORDER BY ret) + (count(*) OVER (PARTITION BY factor, ts, ret) - 1) / 2 AS b FROM s
+), ic AS (SELECT factor, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM k GROUP BY factor, ts), {_QR}
+SELECT factor, (SELECT round(avg(ic), 4) FROM ic WHERE ic.factor = perf.factor) AS mean_ic, (SELECT round(avg(ic) / stddev_samp(ic), 4) FROM ic WHERE ic.factor = perf.factor) AS icir,
+  (SELECT round(arg_max(mean_1, quantile) - arg_min(mean_1, quantile), 6) FROM qr WHERE qr.factor = perf.factor) AS spread, round(total_return, 5) AS bt_total_return, round(annual_return, 4) AS bt_annual_return, round(sharpe, 5) AS bt_sharpe, round(max_drawdown, 5) AS bt_max_drawdown,
+  (SELECT round(avg(turnover), 5) FROM p WHERE p.factor = perf.factor) AS bt_avg_turnover, (SELECT count(*) FROM p WHERE p.factor = perf.factor) AS bt_n_rebalances
+FROM perf"""
+)
+def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, prices = _data(spark, sf_dir)
+    periods = backtest.long_short(data, prices, cost_bps=COST_BPS)
+    returns = analysis.quantile_returns(data, PERIODS)
+    s = backtest.summary(analysis.ic_summary(analysis.rank_ic(data, PERIODS)), analysis.quantile_spread(returns, PERIODS), backtest.performance(backtest.nav(periods)), backtest.trading(periods), period=1)
+    return s.withColumns({c: F.round(c, 4 if c == "bt_annual_return" else 5) for c in s.columns if c.startswith("bt_") and c != "bt_n_rebalances"})
+
+
+# Universe
+
+@query(f"WITH {ORDER_PRICES} SELECT symbol, round(sum(dollar_volume), 2) AS dollar_volume, row_number() OVER (ORDER BY sum(dollar_volume) DESC, symbol) AS rank FROM history GROUP BY symbol ORDER BY rank LIMIT 3", 2)
+def universe_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.top_by_volume(tables.order_prices(spark, sf_dir), 3)
+
+
+@query(
+    f"""WITH {ORDER_PRICES}, picks AS (SELECT min(ts) AS reselect FROM history GROUP BY date_trunc('month', ts)), m AS (
+  SELECT reselect, symbol, avg(dollar_volume) AS v FROM picks JOIN history ON ts::DATE >= reselect::DATE - 30 AND ts::DATE < reselect::DATE GROUP BY ALL)
+SELECT * FROM (SELECT strftime(reselect, '%Y-%m-%d') AS reselect, symbol, round(v, 0) AS mean_volume, row_number() OVER (PARTITION BY reselect ORDER BY v DESC, symbol) AS rank FROM m) WHERE rank <= 2""",
+    0,
+)
+def universe_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.pools(tables.order_prices(spark, sf_dir), 2).withColumn("reselect", _day("reselect"))
+
+
+@query(f"WITH {ORDER_PRICES}, k AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM history)) SELECT strftime(ts, '%Y-%m-%d') AS ts, symbol, round(close, 2) AS close FROM history JOIN k USING (ts) WHERE (k - 1) % 7 = 0", 2)
+def rebalance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(panel.every_nth(tables.order_prices(spark, sf_dir), 7)).select("ts", "symbol", "close")
