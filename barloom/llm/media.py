@@ -39,7 +39,7 @@ SHARD_BYTES = 32 << 20
 #: PNG signature, IHDR chunk and the length and type of the next chunk's start: all that metadata needs.
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-LEVEL = 1
+LEVEL = 3
 
 
 def payload(raw: bytes) -> bytes:
@@ -103,20 +103,20 @@ class _Shard:
     def clear(self) -> None:
         self.buffer = io.BytesIO()
         self.tar = tarfile.open(fileobj=self.buffer, mode="w", format=tarfile.GNU_FORMAT)
-        self.place: dict[bytes, tuple[int, int, str]] = {}
+        self.place: dict[bytes, tuple[int, int]] = {}
 
     def add(self, digest: bytes, samples: bytes) -> None:
         media = to_png(samples)
         info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(media)
         self.tar.addfile(info, io.BytesIO(media))
-        self.place[digest] = (self.buffer.tell() - -(-len(media) // 512) * 512, len(media), hashlib.sha256(media).hexdigest())
+        self.place[digest] = (self.buffer.tell() - -(-len(media) // 512) * 512, len(media))
 
     def close(self) -> str:
         """Writes the shard; its name."""
         self.tar.close()
         data = self.buffer.getbuffer()
-        name = f"shard-{hashlib.sha256(data).hexdigest()[:40]}.tar"
+        name = f"shard-{hashlib.sha256(data).hexdigest()[:32]}.tar"
         draft = f"{self.path}/.{name}.{uuid.uuid4().hex}"
         with self.files.open_output_stream(draft) as out:
             out.write(data)
@@ -125,10 +125,10 @@ class _Shard:
 
 
 def write_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, digest, shard, offset, length, media_sha256)
-    per row of ``docs``; each task writes its payloads' shards to ``folder``.
-    Evaluate once, by storing the result."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length", "media_sha256"]
+    """(doc_id, n_bytes, payload_bytes, digest, shard, offset, length) per row of
+    ``docs``; each task writes its payloads' shards to ``folder``. Evaluate once,
+    by storing the result."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
@@ -137,7 +137,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
             name = shard.close()
             ids, sizes, padded, digests = zip(*rows)
             at = [shard.place[d] for d in digests]
-            cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(padded, pa.int64()), pa.array([d.hex() for d in digests]), pa.array([name] * len(rows)), *(pa.array([p[i] for p in at], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
+            cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(padded, pa.int64()), pa.array(digests, pa.binary()), pa.array([name] * len(rows)), *(pa.array([p[i] for p in at], pa.int64()) for i in range(2))]
             shard.clear()
             rows.clear()
             return pa.record_batch(cols, names=names)
@@ -155,7 +155,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield done()
 
-    return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long, media_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long")
 
 
 def _ranges(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, pa.NativeFile]]]]:
@@ -172,25 +172,27 @@ def _ranges(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
 
 
 def _by_shard(places: DataFrame) -> DataFrame:
-    """Distinct (shard, offset, length), range-dealt so that each task reads runs of a shard."""
-    return places.select("shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    """``places`` (digest, shard, offset, length), range-dealt so that each task reads runs of a shard."""
+    shards = places.select("shard").distinct().count()
+    return places.select("shard", "offset", "length", "digest").repartitionByRange(max(1, shards), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def read_headers(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns (shard, offset, width, height, bits) from header-only range reads."""
+    """Metadata columns (digest, width, height, bits) from header-only range reads."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ranges in _ranges(folder, batches):
             heads = [png_header(shard.read_at(HEADER_BYTES, o)) for o, _, shard in ranges]
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([h[i] for h in heads], pa.int32()) for i in range(3))], names=["shard", "offset", "width", "height", "bits"])
+            yield pa.record_batch([batch.column(3), *(pa.array([h[i] for h in heads], pa.int32()) for i in range(3))], names=["digest", "width", "height", "bits"])
 
-    return _by_shard(places).mapInArrow(read, "shard string, offset long, width int, height int, bits int")
+    return _by_shard(places).mapInArrow(read, "digest binary, width int, height int, bits int")
 
 
 def read_payloads(places: DataFrame, folder: str) -> DataFrame:
-    """(shard, offset, payload_sha256, tail_crc32, stored_sha256, feature) and the
-    metadata columns, from the stored bytes."""
-    schema = "shard string, offset long, width int, height int, bits int, payload_sha256 string, tail_crc32 long, stored_sha256 string, feature string"
+    """(digest, media_bytes, width, height, bits, payload_sha256, tail_crc32,
+    media_sha256, feature) from the stored bytes."""
+    schema = "digest binary, media_bytes long, width int, height int, bits int, payload_sha256 binary, tail_crc32 long, media_sha256 binary, feature string"
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.string())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ranges in _ranges(folder, batches):
@@ -199,24 +201,25 @@ def read_payloads(places: DataFrame, folder: str) -> DataFrame:
                 head = png_header(shard.read_at(HEADER_BYTES, o))
                 media = shard.read_at(n, o)
                 samples = from_png(media)
-                rows.append((*head, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), hashlib.sha256(media).hexdigest(), features(samples)))
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string())
+                rows.append((*head, hashlib.sha256(samples).digest(), zlib.crc32(samples[-32:]), hashlib.sha256(media).digest(), features(samples)))
             cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=[f.split()[0] for f in schema.split(", ")])
+            yield pa.record_batch([batch.column(3), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, types))], names=[f.split()[0] for f in schema.split(", ")])
 
     return _by_shard(places).mapInArrow(read, schema)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_bytes, payload_bytes, digest, shard,
-    offset, length, the metadata columns, and what reading the stored bytes back
-    gives. Null text is empty; an empty payload is one row of 255; equal texts
-    share one location. An empty table writes nothing and gives no rows."""
+    """Per row of ``docs`` (doc_id, text): n_bytes, payload_bytes, and from the
+    stored bytes, read back: media_bytes, width, height, bits, payload_sha256,
+    tail_crc32, media_sha256, feature (digests in hex). Null text is empty; an
+    empty payload is one row of 255; equal texts share one location. An empty
+    table writes nothing and gives no rows."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     files = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(files)
     rows = stored(write_shards(docs, folder), "media-rows")
-    first = stored(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("p")).select("digest", "p.*"), "media-places")
-    read = stored(first.join(read_payloads(first, folder), ["shard", "offset"]), "media-read")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(read, "digest")
+    first = stored(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*"), "media-places")
+    read = stored(read_payloads(first, folder), "media-read")
+    found = rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(read, "digest")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "media_bytes", "width", "height", "bits", F.lower(F.hex("payload_sha256")).alias("payload_sha256"), "tail_crc32", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
