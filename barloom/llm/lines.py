@@ -21,6 +21,7 @@ left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +37,8 @@ SHORT = 24
 HOT = 512
 #: Lines whose keys a task remembers to have sent.
 SENT = 200_000
-#: Pairs compared at once; groups of up to SMALL lines are compared pair by pair.
-PAIRS, SMALL = 16_384, 32
+#: Pairs, and characters of lines, compared at once; groups of up to SMALL lines are compared pair by pair.
+PAIRS, CHARS, SMALL = 16_384, 1 << 21, 32
 #: Line hashes, and entries of removal lists, up to which a table is broadcast (under 100 MB).
 SMALL_TABLE = 1_000_000
 
@@ -80,19 +81,25 @@ def _pair_windows() -> list[tuple[int, int, int, int, int]]:
 _WINDOWS, _PAIR_WINDOWS = _windows(), _pair_windows()
 
 
-def keys(line: str) -> set[int]:
-    """Hashes under which a line is filed."""
-    n, raw, out = len(line), line.encode("utf-32-le", "surrogatepass"), set()
+@lru_cache(maxsize=1 << 15)
+def _places(n: int) -> list[tuple[int, int, int]]:
+    """(begin, end, seed) in UTF-32 bytes of the substrings under which a line of n characters is filed."""
+    out = []
     for delta, i, shift in _WINDOWS:
         length = n - delta
         if length >= SHORT:
             start, size = segments(length, EDITS + 1)[i]
-            at = start + shift
-            if 0 <= at <= n - size:
-                out.add(xxhash.xxh64_intdigest(raw[4 * at : 4 * (at + size)], length * 8 + i))
+            if 0 <= start + shift <= n - size:
+                out.append((4 * (start + shift), 4 * (start + shift + size), length * 8 + i))
     return out
 
 
+def keys(line: str) -> list[int]:
+    """Hashes under which a line is filed."""
+    raw, digest = line.encode("utf-32-le", "surrogatepass"), xxhash.xxh64_intdigest
+    return [digest(raw[a:b], seed) for a, b, seed in _places(len(line))]
+
+
 def fine_keys(line: str) -> set[int]:
     """Hashes of two segments each, for lines that meet too many others under one."""
     n, raw, out = len(line), line.encode("utf-32-le", "surrogatepass"), set()
@@ -106,10 +113,25 @@ def fine_keys(line: str) -> set[int]:
     return out
 
 
+def _shared(flat: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many characters from a and b on (way 1) or back (way -1) are the same, up to ``most``."""
+    out, live, step = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(16)
+    while len(live):
+        x = out[live][:, None] + step
+        inside = x < most[live][:, None]
+        x = np.where(inside, way * x, 0)
+        same = inside & (flat[a[live][:, None] + x] == flat[b[live][:, None] + x])
+        run = np.where(same.all(1), 16, same.argmin(1))
+        out[live] += run
+        live = live[run == 16]
+    return out
+
+
 def within_edits(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, edits: int = EDITS) -> np.ndarray:
     """Whether lines i[k] and j[k] are within ``edits`` edits, for all k at once.
 
-    Line r is flat[start[r]] and on. After x characters of the second line, bit
+    Line r is flat[start[r]] and on. What both begin and end with is passed over,
+    which leaves the distance as it is. After x characters of the second line, bit
     d + edits of state[e] says that x + d characters of the first match them with
     at most e edits. A step shifts and combines whole bands; a pair without any
     state left is dropped.
@@ -119,9 +141,14 @@ def within_edits(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.nd
     a, b = np.where(swap, i, j), np.where(swap, j, i)
     width = 2 * edits + 1
     full = np.uint16((1 << width) - 1)
-    live = np.flatnonzero(size[a] - size[b] <= edits)
-    state = [np.full(len(live), sum(1 << edits + d for d in range(e + 1)), np.uint16) for e in range(edits + 1)]
+    live = np.flatnonzero((size[a] - size[b] <= edits) & (size[b] > 0))
+    ok[(size[a] <= edits) & (size[b] == 0)] = True
     a_at, b_at, a_n, b_n = start[a[live]], start[b[live]], size[a[live]], size[b[live]]
+    if len(live):
+        front = _shared(flat, a_at, b_at, b_n, 1)
+        back = _shared(flat, a_at + a_n - 1, b_at + b_n - 1, b_n - front, -1)
+        a_at, b_at, a_n, b_n = a_at + front, b_at + front, a_n - front - back, b_n - front - back
+    state = [np.full(len(live), sum(1 << edits + d for d in range(e + 1)), np.uint16) for e in range(edits + 1)]
     padded = np.concatenate([np.zeros(edits, flat.dtype), flat, np.zeros(edits + 1, flat.dtype)])
     x = 0
     while len(live):
@@ -149,14 +176,14 @@ def within_edits(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.nd
 
 def close_forest(groups: list[list[str]]) -> list[tuple[str, str]]:
     """(line, another of its group) for a spanning forest of the close pairs in each group."""
-    out = []
+    out, at = [], 0
     small = [g for g in groups if len(g) <= SMALL]
-    at = 0
     while at < len(small):
-        taken, pairs = [], 0
-        while at < len(small) and pairs < PAIRS:
+        taken, pairs, chars = [], 0, 0
+        while at < len(small) and pairs < PAIRS and chars < CHARS:
             taken.append(small[at])
             pairs += len(small[at]) * (len(small[at]) - 1) // 2
+            chars += sum(map(len, small[at]))
             at += 1
         lines = [x for g in taken for x in g]
         first = np.cumsum([0] + [len(g) for g in taken])
@@ -177,17 +204,21 @@ def _flat(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _large(lines: list[str]) -> list[tuple[str, str]]:
     """By breadth-first search: a line reached is compared with the unreached alone."""
-    data = _flat(lines)
-    order = np.argsort(data[2], kind="stable")
-    left, out = order, []
+    # Sorted by length: only lines of a length within EDITS matter, a run of them.
+    lines = sorted(lines, key=len)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    left, out = np.arange(len(lines)), []
     while len(left):
         seed, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            # Lengths are sorted: only lines of a length within EDITS matter.
-            low, high = np.searchsorted(data[2][left], [data[2][x] - EDITS, data[2][x] + EDITS + 1])
+            low, high = np.searchsorted(size[left], [size[x] - EDITS, size[x] + EDITS + 1])
             some = left[low:high]
-            near = np.concatenate([within_edits(*data, np.full(len(p), x), p) for p in np.array_split(some, -(-len(some) // PAIRS))]) if len(some) else np.empty(0, bool)
+            per = max(1, min(PAIRS, CHARS // int(size[x] + 1)))
+            near = np.zeros(len(some), bool)
+            for at in range(0, len(some), per):
+                part = [lines[x], *(lines[k] for k in some[at : at + per])]
+                near[at : at + per] = within_edits(*_flat(part), np.zeros(len(part) - 1, np.int64), np.arange(1, len(part)))
             front += some[near].tolist()
             out += [(lines[k], lines[seed]) for k in some[near]]
             left = np.concatenate([left[:low], some[~near], left[high:]])
@@ -283,7 +314,7 @@ def links(docs: DataFrame) -> DataFrame:
                 if key != now:
                     if len(group) > 1:
                         ready.append(group)
-                        waiting += len(group) ** 2
+                        waiting += len(group) ** 2 + sum(map(len, group)) // 64
                     now, group = key, []
                     if waiting > 4 * PAIRS:
                         yield done(ready)
