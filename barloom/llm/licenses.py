@@ -50,7 +50,7 @@ TEMPLATES: Templates = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
 )
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 #: Folds bytes: A-Z to lower case, bytes of words (all non-ASCII ones are) to
 #: themselves, others to a space; the second table keeps line ends.
