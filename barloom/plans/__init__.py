@@ -1 +1 @@
-"""Part of barloom."""
+"""Registered queries; ``registry`` has them all."""
