@@ -25,9 +25,9 @@ FACTORS = [factors.roll("momentum_3", "close", "change", 3), factors.roll("volum
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; whole numbers as bigint."""
+    """Doubles rounded, without negative zeros; whole numbers as bigint."""
     kinds = dict(df.dtypes)
-    to = lambda c: F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint", "tinyint") else F.col(c)
+    to = lambda c: (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint", "tinyint") else F.col(c)
     return df.select(*[to(c) for c in df.columns])
 
 

@@ -126,7 +126,7 @@ def quantile_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_FACTOR_SQL}, f AS (SELECT factor, ts, symbol, value, row_number() OVER (PARTITION BY factor, ts ORDER BY value DESC, symbol) AS u, row_number() OVER (PARTITION BY factor, ts ORDER BY value, symbol) AS d FROM longf WHERE value IS NOT NULL)
-SELECT factor, {_DATE}, symbol, round(CASE WHEN u <= 5 THEN 0.1 ELSE 0 END - CASE WHEN d <= 5 THEN 0.1 ELSE 0 END, 6) AS weight FROM f WHERE (CASE WHEN u <= 5 THEN 0.1 ELSE 0 END - CASE WHEN d <= 5 THEN 0.1 ELSE 0 END) <> 0"""
+SELECT factor, {_DATE}, symbol, round((CASE WHEN u <= 5 THEN 0.1 ELSE 0 END - CASE WHEN d <= 5 THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS weight FROM f WHERE (CASE WHEN u <= 5 THEN 0.1 ELSE 0 END - CASE WHEN d <= 5 THEN 0.1 ELSE 0 END) <> 0"""
 )
 def top_bottom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(research.top_bottom_weights(base._factors(spark, sf_dir)[0], 5))
@@ -241,7 +241,7 @@ def net_new_highs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, d AS (SELECT *, round(close * (1 + ofi), 9) AS x FROM b), f AS (SELECT *, sign(x - avg(x) OVER (PARTITION BY ts)) * x AS flip FROM d) SELECT symbol, {_TS}, round(flip, 6) AS flip, round(avg(flip) OVER (w ROWS 19 PRECEDING), 6) AS flip_mean FROM f {_W}"""
+    f"""WITH {BARS}, d AS (SELECT *, round(close * (1 + ofi), 9) AS x FROM b), f AS (SELECT *, sign(x - avg(x) OVER (PARTITION BY ts)) * x AS flip FROM d) SELECT symbol, {_TS}, round(flip, 6) + 0.0 AS flip, round(avg(flip) OVER (w ROWS 19 PRECEDING), 6) + 0.0 AS flip_mean FROM f {_W}"""
 )
 def flip_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(research.flip(_bars(spark, sf_dir).withColumn("x", F.round(F.col("close") * (1 + F.col("ofi")), 9)), "x"), "flip", "flip_mean")

@@ -22,7 +22,7 @@ def con():
 def normal(rows):
     def one(x):
         if isinstance(x, float):
-            return None if math.isnan(x) else float(f"{x:.5g}")
+            return None if math.isnan(x) else float(f"{x:.5g}") + 0.0
         return x
 
     return sorted((tuple(map(one, r)) for r in rows), key=str)
