@@ -10,10 +10,9 @@ Two ways find the groups of rows that are compared:
   fingerprints within r bits agree on at least 4 blocks, so equality on each
   choice of 4 blocks finds every link. A bucket shares over 40 bits, which
   bounds it whatever the data.
-* ``banded`` (many planes): 16-bit bands; a pair at distance share p misses all
-  of B bands with probability (1 - (1-p)^16)^B. With 512 planes and 32 bands a
-  pair at Jaccard similarity 0.9 is missed with under 0.2 %, at 0.8 with about
-  8 %.
+* ``banded`` (many planes): 16-bit bands that begin every 8 bits, 7 per 64
+  planes. By simulation, with 512 planes a pair at Jaccard similarity 0.9 shares
+  none of the 56 bands in 0.03 % of cases, one at 0.8 in 3 %.
 
 Equal fingerprints are one row before any comparison, and a bucket yields a
 spanning forest of its links, never all of its pairs.
@@ -247,7 +246,7 @@ def _keyed(prints: DataFrame, names: list[str], radius: int) -> DataFrame:
     if len(names) == 1:
         keys = [F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))]
     else:
-        keys = [F.struct(F.lit(4 * i + b).alias("t"), F.shiftrightunsigned(F.col(n), 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("key")) for i, n in enumerate(names) for b in range(4)]
+        keys = [F.struct(F.lit(7 * i + b).alias("t"), F.shiftrightunsigned(F.col(n), 8 * b).bitwiseAND(F.lit(0xFFFF)).alias("key")) for i, n in enumerate(names) for b in range(7)]
     return prints.select(F.explode(F.array(*keys)).alias("k"), *names).select("k.t", "k.key", *names)
 
 
