@@ -3,8 +3,10 @@
 A dialogue of several parties is rendered once for every participant: that
 speaker's turns as the assistant's, all others' as named users', system turns as
 they are, and a mask that covers what the assistant says. Long dialogues come in
-parts of ``part_turns`` turn numbers, so no group grows with a dialogue; joined
-in order, the parts of a perspective are the whole dialogue.
+parts of ``part_turns`` turn numbers, and a part in which many more rows crowd
+(they share turn numbers) is split by turn and by a hash of what is said, so no
+group grows with a dialogue; joined in order of part, first_turn and tie, the
+parts of a perspective are the whole dialogue.
 """
 
 from __future__ import annotations
@@ -12,7 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 PART_TURNS = 256
+#: Rows in a part, as a multiple of its turn numbers, from which it is split.
+CROWD = 4
+#: Crowded parts up to which their list is broadcast (under 10 MB).
+FEW = 100_000
 SYSTEM = "system"
 UNKNOWN = "unknown"
 #: The markers of a rendering.
@@ -25,12 +33,13 @@ def _head(speaker: Column, perspective: Column) -> Column:
 
 
 def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, perspective, part, n_turns, n_target_turns, rendered, mask) from
+    """(conv_id, perspective, part, first_turn, tie, n_turns, n_target_turns, rendered, mask) from
     ``conversations`` (conv_id, turn, role, text; other columns are ignored).
 
     ``mask`` lists the half-open character spans of ``rendered`` that the
     perspective's speaker says, end marker included. Turns are in order of turn,
-    then speaker, then text; equal rows count once. A null role is the speaker
+    then speaker, then text (in a split part by tie before speaker); equal rows
+    count once. ``tie`` is 0, or the number of the split. A null role is the speaker
     ``unknown``, a null text is empty. A row without turn number is a part of
     its own (part null) of its dialogue, a row without conv_id a dialogue of its
     own. A dialogue of system turns alone has no participant and gives no rows.
@@ -45,7 +54,14 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
         F.when(F.col("turn").isNull(), mark).otherwise(F.lit(0)).alias("loose"),
         F.struct("turn", F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"), said.alias("said")).alias("t"),
     )
-    parts = turns.groupBy("conv_id", "lone", "part", "loose").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("turns"))
+    key = ["conv_id", "lone", "part", "loose"]
+    crowded = stored(turns.groupBy(*key).count().filter(F.col("count") > CROWD * part_turns).select(*[F.col(k).alias(f"_{k}") for k in key], F.ceil(F.col("count") / part_turns).alias("ties")), "chat-crowded")
+    same = crowded["ties"].isNotNull()
+    for k in key:
+        same &= turns[k].eqNullSafe(crowded[f"_{k}"])
+    side = F.broadcast(crowded) if crowded.count() <= FEW else crowded
+    split = turns.join(side, same, "left").withColumn("tie", F.coalesce(F.pmod(F.xxhash64("t.speaker", "t.said"), F.col("ties")) + 1, F.lit(0))).withColumn("at", F.when(F.col("ties").isNotNull(), F.col("t.turn")))
+    parts = split.groupBy(*key, "at", "tie").agg(F.array_sort(F.collect_set("t")).alias("turns"))
     seats = turns.filter(F.col("t.speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.col("t.speaker").alias("perspective")).distinct()
     each = parts.join(seats, parts.conv_id.eqNullSafe(seats.c) & (parts.lone == seats.l))
 
@@ -62,6 +78,8 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
         "conv_id",
         "perspective",
         "part",
+        F.col("turns")[0]["turn"].alias("first_turn"),
+        "tie",
         F.size("turns").cast("long").alias("n_turns"),
         F.size(F.filter("turns", lambda t: t.speaker == me)).cast("long").alias("n_target_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(_head(t.speaker, me), t.said, F.lit(END + "\n"))), "").alias("rendered"),
@@ -69,7 +87,7 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
     )
 
 
-#: The same in DuckDB SQL, for rows with conv_id and turn.
+#: The same in DuckDB SQL, for rows with conv_id and turn and parts that aren't crowded.
 ROTATE_SQL = f"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said
@@ -84,7 +102,7 @@ WITH t AS (
   SELECT *, sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM s
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns,
+SELECT conv_id, perspective, part, min(turn) AS first_turn, 0::BIGINT AS tie, count(*) AS n_turns,
   count(*) FILTER (WHERE speaker = perspective) AS n_target_turns,
   string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY turn, speaker, said) AS rendered,
   coalesce(string_agg((stop - length(said) - 8) || '-' || (stop - 1), ',' ORDER BY turn, speaker, said) FILTER (WHERE speaker = perspective), '') AS mask

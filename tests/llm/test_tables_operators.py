@@ -92,6 +92,15 @@ def test_long_dialogues_come_in_parts_that_join(spark):
     assert "".join(r.rendered for r in parts) == chat.rotate(df).filter("perspective = 'a'").first().rendered
 
 
+def test_crowded_parts_are_split_and_join_to_the_whole(spark):
+    rows = [(1, k // 100, "ab"[k % 2], f"t{k}") for k in range(300)] + [(1, 0, "a", "same")] * 200 + [(2, 0, "a", "x")]
+    df = spark.createDataFrame(rows, TURNS)
+    got = chat.rotate(df, part_turns=10).filter("conv_id = 1 and perspective = 'a'").orderBy("part", "first_turn", "tie").collect()
+    assert len(got) > 20 and max(r.n_turns for r in got) < 30 and sum(r.n_turns for r in got) == 301
+    assert [r.first_turn for r in got] == sorted(r.first_turn for r in got)
+    assert [(r.part, r.tie) for r in chat.rotate(df, part_turns=10).filter("conv_id = 2").collect()] == [(0, 0)]
+
+
 def test_rotation_odd_rows(spark):
     rows = [(None, 1, "a", "x"), (None, 1, "b", "y"), (2, None, "a", "p"), (2, None, "b", "q"), (3, 0, "system", "s"), (4, 0, "a", "long " * 50_000)]
     got = chat.rotate(spark.createDataFrame(rows, TURNS)).collect()
