@@ -59,6 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from ._common import stored, text_slices
 
-#: Words whose ids a worker remembers between batches; at the bound it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers; beyond that it keeps those of the batch at hand.
+REMEMBERED = 300_000
+#: Text bytes encoded at once.
+BYTES = 2 << 20
 #: Pieces of one length in one salt, as a mean.
 PER_SALT = 100_000
 #: Salts at least.
@@ -56,13 +58,19 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
+    def _only(self, words: set[str]) -> None:
+        """Forgets all other words."""
+        kept = [w for w in words if w in self.index]
+        entry = np.fromiter(map(self.index.__getitem__, kept), np.int64, len(kept))
+        size = self.start[entry + 1] - self.start[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.repeat(self.start[entry] - total[:-1], size) + np.arange(total[-1])]
+        self.index, self.start = {w: k for k, w in enumerate(kept)}, total
+
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words to the memory, encoding many at once."""
         plain, odd = [], []
@@ -103,7 +111,7 @@ class WordEncoder:
         base, kept = bases.to_pylist(), np.flatnonzero(tailed.to_numpy(zero_copy_only=False))
         tail = [w[len(base[k]) :] for w, k in zip(coded.dictionary.filter(tailed).to_pylist(), kept.tolist())]
         if len(self.index) > REMEMBERED:
-            self._forget()
+            self._only({*base, *tail})
         known = self.index
         if new := list({w for w in itertools.chain(base, tail, [""]) if w not in known}):
             self._learn(new)
@@ -145,7 +153,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, capacity: int, end_id: int = 0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=BYTES):
             ids, size = enc.encode(part.column(1))
             ids = np.insert(ids, np.cumsum(size), end_id).astype("<u4")
             size = size + 1
