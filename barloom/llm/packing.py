@@ -39,6 +39,8 @@ PER_SALT = 100_000
 SALTS = 256
 #: Stands between words that are encoded together; a pre-token and an id of its own.
 _MARK = "\x00"
+#: Capitals without the composed forms that their small letters have, before a mark.
+_COMPOSES = r"[HJTWY]\p{M}"
 
 
 class WordEncoder:
@@ -46,9 +48,12 @@ class WordEncoder:
 
     White space parts the pre-tokens of the vocabulary and is dropped, upper
     case is folded, and runs of letters part from other characters, so a text's
-    ids are those of its space- or newline-parted words, lower-cased in ASCII,
-    without trailing full stops and commas, then those of that tail. Texts that
-    hold a special token's string are encoded whole.
+    ids are those of its space- or newline-parted words, lower-cased in ASCII.
+    A tail of full stops and commas is encoded apart if an ASCII letter or digit
+    stands before it: other marks make one pre-token with the tail, and other
+    letters may end in a mark when they are normalized. Texts that hold a special
+    token's string, or a capital whose mark composes with the small letter
+    alone, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -103,11 +108,12 @@ class WordEncoder:
         """(ids of all texts in a row, number of ids of each); null: none."""
         texts = pc.fill_null(texts, "")
         odd = [i for s in self.special for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False))]
+        odd += np.flatnonzero(pc.match_substring_regex(texts, _COMPOSES).to_numpy(zero_copy_only=False)).tolist()
         words = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        bases = pc.ascii_rtrim(coded.dictionary, ".,")
-        tailed = pc.not_equal(pc.binary_length(bases), pc.binary_length(coded.dictionary))
+        tailed = pc.match_substring_regex(coded.dictionary, "[a-z0-9][.,]+$")
+        bases = pc.if_else(tailed, pc.ascii_rtrim(coded.dictionary, ".,"), coded.dictionary)
         base, kept = bases.to_pylist(), np.flatnonzero(tailed.to_numpy(zero_copy_only=False))
         tail = [w[len(base[k]) :] for w, k in zip(coded.dictionary.filter(tailed).to_pylist(), kept.tolist())]
         if len(self.index) > REMEMBERED:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,6 +151,24 @@ def test_packing_equals_the_tokenizer_and_has_no_gaps(docs):
     assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 2048 + 1
 
 
+MARKED = ["foo).", '"foo".', "foo),", "dogs'.", "etc.).", "हिन्दी.", "wow😀.", "wow😀,.", "x_.", "a\u200d.", "İ.", "\u0958.", "é.,", "a.\x00.", "...", ".,", "1.", "x\t.", "H\u0331.", "J\u030cx", "!."]
+
+
+def test_word_ids_equal_those_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, enc, rnd = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(4)
+    chars = "aZ9é.,.,)\"'!?-_ \n\t\u0301\u0331H😀दीİ\u00a0"
+    every = [*MARKED, " ".join(MARKED), *("".join(rnd.choice(chars) for _ in range(rnd.randrange(30))) for _ in range(2000))]
+    for some in ([x] for x in MARKED), [every]:
+        for texts in some:
+            ids, size = enc.encode(pa.array(texts))
+            got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+            assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_equals_one_by_one_best_fit(seed):
     rnd = np.random.default_rng(seed)
