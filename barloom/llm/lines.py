@@ -14,8 +14,9 @@ over ``HOT`` lines meet is replaced by keys of two segments out of
 whatever their size. Groups yield a spanning forest of their links.
 
 A line class is a connected component of equal or close lines. Its first
-occurrence, by document, then line, stays. Lines under ``SHORT`` characters are
-left alone.
+occurrence, by document, then line, stays. Equal lines count at any length but
+none; close ones from ``EDIT_SHORT`` characters on, of which two edits are a
+sixth. In shorter lines, words with nothing in common are within two edits.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from ._common import connected_components, least_linked, stored, text_slices
 
 EDITS = 2
-SHORT = 24
+#: Lines under SHORT characters, the empty ones, are left alone; those under EDIT_SHORT go by equality alone.
+SHORT, EDIT_SHORT = 1, 12
 HOT = 512
 #: Lines whose keys a task remembers to have sent.
 SENT = 200_000
@@ -87,7 +89,7 @@ def _places(n: int) -> list[tuple[int, int, int]]:
     out = []
     for delta, i, shift in _WINDOWS:
         length = n - delta
-        if length >= SHORT:
+        if length >= EDIT_SHORT:
             start, size = segments(length, EDITS + 1)[i]
             if 0 <= start + shift <= n - size:
                 out.append((4 * (start + shift), 4 * (start + shift + size), length * 8 + i))
@@ -105,7 +107,7 @@ def fine_keys(line: str) -> set[int]:
     n, raw, out = len(line), line.encode("utf-32-le", "surrogatepass"), set()
     for delta, i, j, a, b in _PAIR_WINDOWS:
         length = n - delta
-        if length >= SHORT:
+        if length >= EDIT_SHORT:
             parts = segments(length, EDITS + 2)
             (p, s), (q, t) = parts[i], parts[j]
             if p + a >= 0 and q + b >= p + a + s and q + b + t <= n:
@@ -229,7 +231,7 @@ def _large(lines: list[str]) -> list[tuple[str, str]]:
 
 
 def _filed(docs: DataFrame) -> DataFrame:
-    """(key, h1): each line of SHORT characters or more under all of its keys."""
+    """(key, h1): each line of EDIT_SHORT characters or more under all of its keys."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -237,7 +239,7 @@ def _filed(docs: DataFrame) -> DataFrame:
             key, h = [], []
             for text in part.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    if len(line) >= SHORT and (mark := xxhash.xxh3_128_digest(line.encode(errors="surrogatepass"))) not in sent:
+                    if len(line) >= EDIT_SHORT and (mark := xxhash.xxh3_128_digest(line.encode(errors="surrogatepass"))) not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(mark)
@@ -289,7 +291,7 @@ def links(docs: DataFrame) -> DataFrame:
     all close pairs of distinct lines."""
     met = stored(_met(_filed(docs), HOT), "lines-met")
     wanted = stored(met.select("h1").distinct(), "lines-wanted")
-    line = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= SHORT).withColumn("h1", F.xxhash64("line"))
+    line = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= EDIT_SHORT).withColumn("h1", F.xxhash64("line"))
     texts = stored(line.join(_small(wanted, wanted.count()), "h1", "left_semi").groupBy("line").agg(F.first("h1").alias("h1")), "lines-texts")
 
     def refile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -460,6 +460,12 @@ def test_line_dedup_equals_brute_force(spark, some_lines, monkeypatch, hot):
     assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == want
 
 
+def test_short_lines_go_by_equality_and_from_a_low_floor_by_edits(spark):
+    rows = [(1, "Les.\n\nAll rights reserved.\nx\nnear enough a"), (2, "x\nLas.\nLes.\n\nAll rights reserved."), (3, "near enough bc\nAll right reserved.\nLes.\n own")]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Las.\n", 3: " own"}
+
+
 def test_line_dedup_odd_rows(odd, empty):
     got = lines.dedup(odd).collect()
     assert len(got) == len(ODD) and set(odd.columns) <= set(got[0].asDict())
