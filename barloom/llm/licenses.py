@@ -1,8 +1,10 @@
 """License scan by an exact set-similarity join.
 
-Text blocks (lines) and license templates are sets of words. A block matches a
-template if it contains at least ``threshold`` of the template's words. The
-join is exact and filters first:
+Text blocks and license templates are sets of words. Blocks are the lines and,
+for sentences that wrap, all runs of words as long as a template (longer by
+1 / ``threshold``), whatever line ends they pass. A block matches a template if it
+contains at least ``threshold`` of the template's words. The join is exact and
+filters first, whole texts before their blocks:
 
 * tokens are ordered by their frequency over all documents, rare ones first;
 * prefix: a match must hold one of the template's first
@@ -66,6 +68,7 @@ class Index:
     needed: list[int]
     labels: list[str]
     prefix: dict[bytes, list[int]]  # token: templates
+    width: list[int]  # words in a run that may match
 
     @classmethod
     def build(cls, templates: Templates, threshold: float, frequency: dict[bytes, int]) -> Index:
@@ -75,7 +78,8 @@ class Index:
         for i, (t, k) in enumerate(zip(tokens, needed)):
             for w in t[: len(t) - k + 1]:
                 prefix.setdefault(w, []).append(i)
-        return cls(tokens, needed, [label for label, _ in templates], prefix)
+        width = [ceil(len(text.encode().translate(_FOLD).split()) / threshold - 1e-9) for _, text in templates]
+        return cls(tokens, needed, [label for label, _ in templates], prefix, width)
 
     def overlap(self, i: int, block: set[bytes]) -> int:
         """Shared tokens with template i; 0 as soon as the places passed leave too few."""
@@ -93,6 +97,23 @@ class Index:
             if len(block) >= self.needed[i] and (shared := self.overlap(i, block)):
                 yield i, shared / len(self.tokens[i])
 
+    def best_run(self, i: int, words: list[bytes]) -> float:
+        """Containment of template i in the run of words that holds most of it; 0 if too little."""
+        own, width = set(self.tokens[i]), self.width[i]
+        places = [p for p, w in enumerate(words) if w in own]
+        inside: Counter[bytes] = Counter()
+        first = most = 0
+        for p in places:
+            inside[words[p]] += 1
+            while places[first] <= p - width:
+                w = words[places[first]]
+                inside[w] -= 1
+                if not inside[w]:
+                    del inside[w]
+                first += 1
+            most = max(most, len(inside))
+        return most / len(own) if most >= self.needed[i] else 0.0
+
 
 def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """How often each word of the (fixed) vocabulary occurs in all texts."""
@@ -135,7 +156,12 @@ def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]], may_match
                 found.add(label)
                 places += at
     labels, score = set(found), 1.0 if found else 0.0
-    if may_match:
+    words = plain.split() if may_match else []
+    if some := [i for i, _ in index.matches(set(words))]:
+        for i in some:
+            if share := index.best_run(i, words):
+                labels.add(index.labels[i])
+                score = max(score, share)
         for line in raw.translate(_FOLD_LINES).split(b"\n"):
             for i, share in index.matches(set(line.split())):
                 labels.add(index.labels[i])
@@ -146,8 +172,8 @@ def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]], may_match
 def scan(docs: DataFrame, *, templates: Templates = TEMPLATES, threshold: float = THRESHOLD, base: Templates = BASE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word,
     base_labels, labels, score. The score is 1 where a base phrase stands, else
-    the largest containment of a template in a line that meets the threshold, or
-    0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
+    the largest containment of a template in a line or run of words that meets the
+    threshold, or 0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
     table gives no rows. A label is given once however often it is found."""
     vocabulary = frozenset(w for _, text in templates for w in text.encode().translate(_FOLD).split())
     index = Index.build(templates, threshold, frequencies(docs, vocabulary))

@@ -375,6 +375,26 @@ def test_licenses_equal_brute_force(docs, spark):
         assert r.score == pytest.approx(want[-1])
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation"""
+ISC = """// Permission to use, copy, modify, and/or distribute this software for any
+// purpose with or without fee is hereby granted"""
+
+
+def test_wrapped_license_sentences_are_found(spark):
+    apart = "Permission is hereby granted, free of charge, to any person\n" + "other words\n" * 20 + "obtaining a copy of this software and associated documentation files"
+    rows = list(enumerate([MIT, BSD, GPL, ISC, "some words\n" * 500 + MIT, apart]))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "mit", 1: "bsd", 2: "gpl,gpl-3.0", 3: "isc", 4: "mit", 5: ""}
+
+
 def test_licenses_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert len(got) == len(ODD) and [r.n_words for r in got if r.doc_id == 1] == [0]
