@@ -3,21 +3,21 @@
 A dialogue of several parties is rendered once for every participant: that
 speaker's turns as the assistant's, all others' as named users', system turns as
 they are, and a mask that covers what the assistant says. Long dialogues come in
-parts of ``part_turns`` turn numbers, and a part in which many more rows crowd
-(they share turn numbers) is split by turn and by a hash of what is said, so no
-group grows with a dialogue; joined in order of part, first_turn and tie, the
-parts of a perspective are the whole dialogue.
+parts of ``part_turns`` turn numbers, and a part in which many more different rows
+crowd (they share turn numbers) is split into runs of ``part_turns`` rows in their
+order, so no group grows with a dialogue; joined in order of part, first_turn and
+tie, the parts of a perspective are the whole dialogue.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stored
 
 PART_TURNS = 256
-#: Rows in a part, as a multiple of its turn numbers, from which it is split.
+#: Different rows in a part, as a multiple of its turn numbers, from which it is split.
 CROWD = 4
 #: Crowded parts up to which their list is broadcast (under 10 MB).
 FEW = 100_000
@@ -32,14 +32,35 @@ def _head(speaker: Column, perspective: Column) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit(CLOSE))
 
 
+def _in(turns: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    """``turns`` whose part is among (left_semi) or not among (left_anti) the stored ``parts``."""
+    side = parts.select(*[F.col(k).alias(f"_{k}") for k in parts.columns])
+    same = F.lit(True)
+    for k in parts.columns:
+        same &= turns[k].eqNullSafe(side[f"_{k}"])
+    return turns.join(F.broadcast(side) if parts.count() <= FEW else side, same, how)
+
+
+def _runs(crowded: DataFrame, size: int) -> DataFrame:
+    """``crowded``, different rows of parts that have numbers, with ``tie``: the number,
+    from 1, of the run of ``size`` rows of the part. Rows are sorted across partitions
+    and numbered by how many of their part come in earlier ones."""
+    sorted_ = stored(crowded.orderBy("conv_id", "part", "t").select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n")), "chat-sorted")
+    held = sorted_.groupBy("conv_id", "part", "_p").agg(F.min("_n").alias("_first"), F.count("*").alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy("conv_id", "part").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sorted_.join(held.withColumn("_before", before), ["conv_id", "part", "_p"])
+    rank = F.col("_before") + F.col("_n") - F.col("_first")
+    return ranked.withColumn("tie", F.floor(rank / size) + 1).select(*crowded.columns, "tie")
+
+
 def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFrame:
     """(conv_id, perspective, part, first_turn, tie, n_turns, n_target_turns, rendered, mask) from
     ``conversations`` (conv_id, turn, role, text; other columns are ignored).
 
     ``mask`` lists the half-open character spans of ``rendered`` that the
     perspective's speaker says, end marker included. Turns are in order of turn,
-    then speaker, then text (in a split part by tie before speaker); equal rows
-    count once. ``tie`` is 0, or the number of the split. A null role is the speaker
+    then speaker, then text, within and across parts; equal rows count once. ``tie``
+    is 0, or the number of the run in a part that is split. A null role is the speaker
     ``unknown``, a null text is empty. A row without turn number is a part of
     its own (part null) of its dialogue, a row without conv_id a dialogue of its
     own. A dialogue of system turns alone has no participant and gives no rows.
@@ -55,13 +76,13 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
         F.struct("turn", F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"), said.alias("said")).alias("t"),
     )
     key = ["conv_id", "lone", "part", "loose"]
-    crowded = stored(turns.groupBy(*key).count().filter(F.col("count") > CROWD * part_turns).select(*[F.col(k).alias(f"_{k}") for k in key], F.ceil(F.col("count") / part_turns).alias("ties")), "chat-crowded")
-    same = crowded["ties"].isNotNull()
-    for k in key:
-        same &= turns[k].eqNullSafe(crowded[f"_{k}"])
-    side = F.broadcast(crowded) if crowded.count() <= FEW else crowded
-    split = turns.join(side, same, "left").withColumn("tie", F.coalesce(F.pmod(F.xxhash64("t.speaker", "t.said"), F.col("ties")) + 1, F.lit(0))).withColumn("at", F.when(F.col("ties").isNotNull(), F.col("t.turn")))
-    parts = split.groupBy(*key, "at", "tie").agg(F.array_sort(F.collect_set("t")).alias("turns"))
+    most = CROWD * part_turns
+    # Rows that many equal ones repeat are made one before they count; other parts needn't be.
+    many = stored(turns.groupBy(*key).count().filter(F.col("count") > most).select(*key), "chat-many")
+    once = stored(_in(turns, many, "left_semi").distinct(), "chat-once")
+    crowded = stored(once.groupBy(*key).count().filter(F.col("count") > most).select(*key), "chat-crowded")
+    rest = _in(turns, many, "left_anti").unionByName(_in(once, crowded, "left_anti")).withColumn("tie", F.lit(0).cast("long"))
+    parts = rest.unionByName(_runs(_in(once, crowded, "left_semi"), part_turns)).groupBy(*key, "tie").agg(F.array_sort(F.collect_set("t")).alias("turns"))
     seats = turns.filter(F.col("t.speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.col("t.speaker").alias("perspective")).distinct()
     each = parts.join(seats, parts.conv_id.eqNullSafe(seats.c) & (parts.lone == seats.l))
 

@@ -101,6 +101,16 @@ def test_crowded_parts_are_split_and_join_to_the_whole(spark):
     assert [(r.part, r.tie) for r in chat.rotate(df, part_turns=10).filter("conv_id = 2").collect()] == [(0, 0)]
 
 
+def test_repeats_change_nothing_and_runs_keep_the_order(spark):
+    whole = [(1, k, "ab"[k % 2], f"t{k}") for k in range(8)]
+    crowd = [(2, k % 3, "abc"[k % 7 % 3], f"t{k}") for k in range(2_000)]
+    got = chat.rotate(spark.createDataFrame(whole * 129 + crowd, TURNS)).filter("perspective = 'a'").orderBy("conv_id", "part", "first_turn", "tie").collect()
+    assert [r.asDict() for r in got if r.conv_id == 1] == [r.asDict() for r in chat.rotate(spark.createDataFrame(whole, TURNS)).filter("perspective = 'a'").collect()]
+    runs = [r for r in got if r.conv_id == 2]
+    assert [r.tie for r in runs] == list(range(1, 9)) and [r.n_turns for r in runs] == [256] * 7 + [208]
+    assert "".join(r.rendered for r in runs) == "".join(f"<|{'assistant' if who == 'a' else 'user name=' + who}|>\n{text}<|end|>\n" for _, _, who, text in sorted(crowd))
+
+
 def test_rotation_odd_rows(spark):
     rows = [(None, 1, "a", "x"), (None, 1, "b", "y"), (2, None, "a", "p"), (2, None, "b", "q"), (3, 0, "system", "s"), (4, 0, "a", "long " * 50_000)]
     got = chat.rotate(spark.createDataFrame(rows, TURNS)).collect()
