@@ -35,6 +35,10 @@ MAX_LANGUAGES = 64
 #: Texts whose presence vectors make one matrix.
 ROWS = 64
 RIDGE = 1e-2
+#: A language knows the n-grams that this share of its fitted texts hold. A text fits it
+#: if the share of known ones among its n-grams is at least SLACK times what all but
+#: STRAY of the fitted texts reach, each measured by the others.
+KNOWN, SLACK, STRAY = 0.02, 0.8, 0.02
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -57,6 +61,20 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
+    known: np.ndarray  # BUCKETS x languages: 1 where the language knows the n-gram
+    floor: np.ndarray  # the least share of known n-grams, by language
+
+    def fits(self, texts: list[str | None]) -> list[bool]:
+        """Whether some language knows enough of the n-grams of each text; not
+        if null, without a letter, or if no language was learned."""
+        out, present = [False] * len(texts), np.zeros(BUCKETS, np.float32)
+        for i, t in enumerate(texts):
+            if t and self.languages and _LETTER.search(t):
+                present[:] = 0
+                grams(t, present)
+                at = np.flatnonzero(present)
+                out[i] = bool((self.known[at].mean(0) >= self.floor).any())
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and a score in [0, 1] for each text; ``und`` and 0 if
@@ -84,7 +102,7 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     BUCKETS presence bits for each labelled text, unpacked a few at a time."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
 
     def unit(rows: np.ndarray) -> np.ndarray:
         x = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
@@ -102,7 +120,14 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     z_mean, y_mean = np.average(z, axis=0, weights=balance), np.average(y, axis=0, weights=balance)
     zc = z - z_mean
     beta = np.linalg.solve(zc.T @ (zc * balance[:, None]) + ridge * np.eye(z.shape[1]), zc.T @ ((y - y_mean) * balance[:, None]))
-    return Model(languages, (marks.T @ (white @ beta)).astype(np.float32), y_mean - z_mean @ beta)
+    known, floor = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        own = [np.flatnonzero(np.unpackbits(np.frombuffer(packed[i], np.uint8))) for i in np.flatnonzero(label == lang)]
+        held = np.bincount(np.concatenate(own), minlength=BUCKETS)
+        known[:, k] = held >= max(1, KNOWN * len(own))
+        share = [(held[x] - 1 >= max(1, KNOWN * (len(own) - 1))).mean() if len(x) else 0.0 for x in own]
+        floor[k] = SLACK * np.quantile(share, STRAY)
+    return Model(languages, (marks.T @ (white @ beta)).astype(np.float32), y_mean - z_mean @ beta, known, floor)
 
 
 def train(docs: DataFrame, usable: Column) -> Model:
@@ -153,6 +178,18 @@ def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[s
     return docs.select(*keep, F.col(column).alias("__text")).mapInArrow(score, schema)
 
 
+def fitting(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text fits some language of the model."""
+    spark_model = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def fit_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            yield part.filter(pa.array(spark_model.value.fits(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(fit_only, docs.schema)
+
+
 def held_out() -> Column:
     """Whether crc32 of doc_id as text leaves 2 when divided by 4; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2

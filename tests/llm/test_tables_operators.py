@@ -193,6 +193,18 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_texts_that_no_language_fits_are_rejected(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    texts = {-1: polish, -2: "xqzvkj wqpzx kjxqv zzqxw jvkqp xwzqk vjqxz qkzpw", -3: '<div class="x1"><a href="/q?z=1">#</a></div><br/><td width="3">', -4: "Все люди рождаются свободными и равными", -5: "The.", -6: "The and of that."}
+    more = docs.unionByName(spark.createDataFrame([(k, t, None, "s", len(t)) for k, t in texts.items()], docs.schema))
+    kept = {r.doc_id: r.lang for r in p.language_id(spark, more, SF).collect()}
+    assert {k for k in kept if k < 0} == {-5, -6} and kept[-6] == "en"
+    assert len(kept) >= 0.97 * docs.count()
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline as p
 
