@@ -193,6 +193,17 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_line_dedup_stage_leaves_unique_lines(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").schema
+    shared = [f"a passage number {k} that some other document holds as well {'x' * k}" for k in range(0, 60, 5)]
+    texts = ["\n".join(shared[:6]), "\n".join(shared[6:]), "\n".join([*shared, "own line"]), "\n\t\n".join(shared[:3]), None, " "]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], docs)
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, df, SF).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: (texts[1], len(texts[1])), 2: ("own line", 8), 4: (None, None), 5: (" ", 1)}
+
+
 def test_texts_that_no_language_fits_are_rejected(spark):
     import corpus_pipeline as p
 
