@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +16,60 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task works on; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows of ids, hashes and the like up to which a table is broadcast (under 100 MB).
+SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a
-    temporary one, which is then set as the session's checkpoint folder."""
+    """The folder named in spark.checkpoint.dir; where it is unset, that of the session.
+    Without either, a session on this machine alone (tests) gets a temporary
+    folder; on a cluster that is an error, as executors wouldn't share it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Tables stored since each open ``workspace`` began.
+_OPEN: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its work is
-    done once, lost executors cost no recomputation, and its size is known."""
+    done once, lost executors cost no recomputation, and its size is known. Unless
+    ``lasting``, the table goes with the ``workspace`` it was made in."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN and not lasting:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession):
+    """Deletes on exit the tables stored within: for work whose result was written by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, made):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, n: int, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` of ``n`` rows as the side of a join: broadcast up to ``most``, else left to a shuffle."""
+    return F.broadcast(df) if n <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``."""
     shared_dir(df.sparkSession)

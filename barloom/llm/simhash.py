@@ -4,36 +4,49 @@ Fingerprints lie in vertical bit planes: plane b holds bit b of 64 rows per
 machine word, so one carry-save step updates 64 distances at once, and a block
 is left as soon as all of its distances exceed the radius.
 
-Two ways find the groups of rows that are compared:
+Two ways find the buckets of rows that are compared:
 
-* ``exact`` (64 planes, radius r): the bits are cut into r + 4 blocks; two
+* exact (64 planes, radius r): the bits are cut into r + 4 blocks; two
   fingerprints within r bits agree on at least 4 blocks, so equality on each
-  choice of 4 blocks finds every link. A bucket shares over 40 bits, which
-  bounds it whatever the data.
-* ``banded`` (many planes): 16-bit bands that begin every 8 bits, 7 per 64
-  planes. By simulation, with 512 planes a pair at Jaccard similarity 0.9 shares
-  none of the 56 bands in 0.03 % of cases, one at 0.8 in 3 %.
-
-Equal fingerprints are one row before any comparison, and a bucket yields a
-spanning forest of its links, never all of its pairs.
+  choice of 4 blocks finds every link.
+* sampled (more planes): equality on seeded choices of bits. Their width grows
+  with the number of fingerprints, so that a bucket holds ``MEAN_BUCKET`` rows
+  on average at any size, and their number with the width, so that a pair at the
+  threshold meets with the same probability.
+
+Equal fingerprints are one row before any comparison. A bucket yields a spanning
+forest of its links, near ones first, never all of its pairs; one of over ``HOT``
+rows is dealt out as pairs of bounded blocks.
+
+``deduplicate`` takes the links of the sampled way as candidates only: each is
+held against the shingle sets of its two texts, and counts from a Jaccard
+similarity of ``similarity`` on. As a forest prefers near links, a candidate left
+out is one that nearer ones already connect.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log2, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import connected_components, least_linked, stored, text_slices, utf8
+from ._common import connected_components, small, stored, text_slices, utf8
 
 SEED = 42
 #: From this size on, a bucket is compared by breadth-first search over its own planes.
 WIDE = 64
+#: Rows over which a bucket is dealt out in blocks of that size. One fingerprint in
+#: SAMPLED counts buckets beforehand, which decides how work is dealt, not what is found.
+HOT, SAMPLED = 65_536, 64
+#: Sampled buckets: rows on average, least width in bits, and the expected number of
+#: common buckets of a pair at the threshold, of which e^-6.8, a thousandth, has none.
+MEAN_BUCKET, LEAST_WIDTH, MEETINGS = 16, 16, 6.8
 #: Rows whose planes are compared at once.
 FRONT = 256
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,14 +90,19 @@ def majority(h: np.ndarray, planes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64, id_type: str = "long") -> DataFrame:
-    """(doc_id, f0, f1, ...) per row of ``docs``; null or wordless text: zeros."""
+def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64, id_type: str = "long", distinct: bool = False) -> DataFrame:
+    """(doc_id, f0, f1, ...) per row of ``docs``; null or wordless text: zeros.
+    ``distinct``: a repeated shingle counts once."""
     words = planes // 64
     names = [f"f{i}" for i in range(words)]
 
+    def one(raw: bytes) -> np.ndarray:
+        h = shingle_hashes(raw, shingle_words)
+        return majority(np.unique(h) if distinct else h, planes)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = np.array([majority(shingle_hashes(t, shingle_words), planes) for t in utf8(part.column(1))], np.uint64).reshape(-1, words)
+            found = np.array([one(t) for t in utf8(part.column(1))], np.uint64).reshape(-1, words)
             yield pa.record_batch([part.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
@@ -151,40 +169,61 @@ def _unpack(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
-def _wide(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of one large bucket, by breadth-first search with blocks of rows."""
+def _wide(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, parent) that span one large bucket: breadth-first searches
+    within a third, two thirds and all of the radius, each over what the one before
+    has joined, so that near links come first."""
     n = len(prints)
     planes = bit_planes(prints)
-    label, left = np.arange(n), np.full(planes.shape[1], _ALL)
-    if n % 64:
-        left[-1] = np.uint64((1 << n % 64) - 1)
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-    seed = 0
-    while True:
-        open_rows = np.flatnonzero(_unpack(left, n))
-        open_rows = open_rows[open_rows >= seed]
-        if not len(open_rows):
-            return label
-        seed = int(open_rows[0])
-        left[seed // 64] &= ~np.uint64(1 << seed % 64)
-        front = np.array([seed])
-        while len(front):
-            now, front = front[:FRONT], front[FRONT:]
-            mask = np.where(bits[now].astype(bool), _ALL, np.uint64(0))
-            out = np.broadcast_to(~left, (len(now), len(left)))
-            near = np.bitwise_or.reduce(within((planes[b][None, :] ^ mask[:, b, None] for b in range(len(planes))), radius, out), axis=0) & left
-            left &= ~near
-            new = np.flatnonzero(_unpack(near, n))
-            label[new] = seed
-            front = np.concatenate([front, new])
-
-
-def _narrow(prints: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of many small buckets side by side: row j against row j + d."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
+    label, child, parent = np.arange(n), [], []
+    for reach in sorted({radius // 3, 2 * radius // 3, radius}):
+        by_label = np.argsort(label, kind="stable")
+        first = np.searchsorted(label[by_label], np.arange(n))
+        last = np.searchsorted(label[by_label], np.arange(n), side="right")
+        left = np.full(planes.shape[1], _ALL)
+        if n % 64:
+            left[-1] = np.uint64((1 << n % 64) - 1)
+
+        def take(labels: np.ndarray) -> np.ndarray:
+            """The rows of some labels, which are no longer left."""
+            rows = np.concatenate([by_label[first[k] : last[k]] for k in labels])
+            gone = np.zeros(planes.shape[1] * 64, np.uint8)
+            gone[rows] = 1
+            left[:] &= ~np.packbits(gone, bitorder="little").view(np.uint64)
+            return rows
+
+        joined = label.copy()
+        for seed in np.unique(label):
+            if not left[by_label[first[seed]] // 64] >> np.uint64(by_label[first[seed]] % 64) & np.uint64(1):
+                continue
+            front = take(np.array([seed]))
+            while len(front) and left.any():
+                now, front = front[:FRONT], front[FRONT:]
+                mask = np.where(bits[now], _ALL, np.uint64(0))
+                out = np.broadcast_to(~left, (len(now), len(left)))
+                near = within((planes[b][None, :] ^ mask[:, b, None] for b in range(len(planes))), reach, out) & left
+                new = np.flatnonzero(_unpack(np.bitwise_or.reduce(near, axis=0), n))
+                if len(new):
+                    labels, at = np.unique(label[new], return_index=True)
+                    new = new[at]
+                    child.append(new)
+                    parent.append(now[(near[:, new // 64] >> (new % 64).astype(np.uint64) & np.uint64(1)).argmax(0)])
+                    rows = take(labels)
+                    joined[rows] = seed
+                    front = np.concatenate([front, rows])
+        label = joined
+    empty = [np.empty(0, np.int64)]
+    return np.concatenate(child or empty), np.concatenate(parent or empty)
+
+
+def _narrow(prints: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, parent) that span many small buckets side by side, the nearest
+    that do: row j is compared with row j + d."""
     n = len(prints)
     planes = bit_planes(prints)
     pad = np.zeros((len(planes), 1), np.uint64)
-    i, j = [], []
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, int(size.max(initial=1))):
         same = np.zeros(planes.shape[1] * 64, np.uint8)
         same[: n - d] = bucket[d:] == bucket[:-d]
@@ -193,29 +232,56 @@ def _narrow(prints: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: in
         at = np.flatnonzero(_unpack(near, n))
         i.append(at)
         j.append(at + d)
-    return least_linked(n, np.concatenate(i), np.concatenate(j)) if i else np.arange(n)
+    return _nearest_forest(n, np.concatenate(i), np.concatenate(j), prints)
+
+
+def distances(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64)
+
+
+def _nearest_forest(n: int, i: np.ndarray, j: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of least distance that connect what all links i - j do: each
+    component takes its nearest, until none leads out of one."""
+    order = np.lexsort((j, i, distances(prints, i, j)))
+    i, j, label, taken = i[order], j[order], np.arange(n), np.zeros(len(i), bool)
+    while True:
+        a, b = label[i], label[j]
+        out = np.flatnonzero(a != b)
+        if not len(out):
+            return j[taken], i[taken]
+        least = np.full(n, len(i))
+        np.minimum.at(least, a[out], out)
+        np.minimum.at(least, b[out], out)
+        chosen = np.unique(least[least < len(i)])
+        taken[chosen] = True
+        # Labels of a component go down to its least one.
+        while True:
+            low = np.minimum(label[i[chosen]], label[j[chosen]])
+            new = label.copy()
+            np.minimum.at(new, label[i[chosen]], low)
+            np.minimum.at(new, label[j[chosen]], low)
+            new = new[label]
+            if (new == label).all():
+                break
+            label = new
 
 
 def forest(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (child, parent) of a spanning forest of the links inside buckets;
-    rows come sorted by bucket."""
+    """Rows (child, parent) of links that span those inside buckets; rows come sorted by bucket."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     size = np.diff(np.r_[start, len(bucket)])
-    child, parent = [], []
+    child, parent = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s, m in zip(start[size >= WIDE], size[size >= WIDE]):
-        label = _wide(prints[s : s + m], radius)
-        own = np.flatnonzero(label != np.arange(m))
-        child.append(own + s)
-        parent.append(label[own] + s)
+        a, b = _wide(prints[s : s + m], radius)
+        child.append(a + s)
+        parent.append(b + s)
     per_row = np.repeat(size, size)
     rows = np.flatnonzero((per_row > 1) & (per_row < WIDE))
     for at in _runs(rows, bucket, 1 << 16):
-        label = _narrow(prints[at], bucket[at], per_row[at], radius)
-        own = np.flatnonzero(label != np.arange(len(at)))
-        child.append(at[own])
-        parent.append(at[label[own]])
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(child or empty), np.concatenate(parent or empty)
+        a, b = _narrow(prints[at], bucket[at], per_row[at], radius)
+        child.append(at[a])
+        parent.append(at[b])
+    return np.concatenate(child), np.concatenate(parent)
 
 
 def _runs(rows: np.ndarray, bucket: np.ndarray, limit: int) -> Iterator[np.ndarray]:
@@ -241,45 +307,94 @@ def block_masks(radius: int, blocks: int | None = None) -> list[int]:
     return [signed(sum(part[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
 
 
-def _keyed(prints: DataFrame, names: list[str], radius: int) -> DataFrame:
-    """(t, key, f0, ...): a row for each table in which a fingerprint is filed."""
-    if len(names) == 1:
-        keys = [F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))]
-    else:
-        keys = [F.struct(F.lit(7 * i + b).alias("t"), F.shiftrightunsigned(F.col(n), 8 * b).bitwiseAND(F.lit(0xFFFF)).alias("key")) for i, n in enumerate(names) for b in range(7)]
-    return prints.select(F.explode(F.array(*keys)).alias("k"), *names).select("k.t", "k.key", *names)
+def share_of_bits(similarity: float) -> float:
+    """Share of the planes on which two sets of equal size and that Jaccard similarity differ on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def radius_of(similarity: float, planes: int) -> int:
+    """Planes that differ at a similarity, and three and a third deviations more: one pair in 2,000 differs on more."""
+    p = share_of_bits(similarity)
+    return ceil(planes * p + 10 / 3 * (planes * p * (1 - p)) ** 0.5)
+
+
+def samples(n: int, planes: int, similarity: float) -> np.ndarray:
+    """[tables, width]: the bits on which fingerprints are filed, for n of them."""
+    width = max(LEAST_WIDTH, ceil(log2(max(1, n) / MEAN_BUCKET)))
+    tables = ceil(MEETINGS / (1 - share_of_bits(similarity)) ** width)
+    return np.argsort(np.random.default_rng(SEED).random((tables, planes)), axis=1)[:, :width]
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b) node hashes of a forest whose components are those of all links
-    between the distinct fingerprints ``prints`` (f0, ..., node)."""
+def _keyed(prints: DataFrame, names: list[str], radius: int, bits: np.ndarray | None) -> DataFrame:
+    """(key, f0, ...): a row for each table in which a fingerprint is filed; by
+    blocks of its bits, or by ``bits``."""
+    if bits is None:
+        keys = [F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(radius))]
+        return prints.select(F.explode(F.array(*keys)).alias("key"), *names)
+    tables, width = bits.shape
+    weight = np.int64(1) << np.arange(width, dtype=np.int64)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.stack([c.to_numpy() for c in part.columns], axis=1)
+                own = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8), axis=1, bitorder="little")
+                key = np.stack([own[:, b].astype(np.int64) @ weight + (t << width) for t, b in enumerate(bits)], axis=1)
+                row = pa.array(np.repeat(np.arange(len(raw)), tables))
+                yield pa.record_batch([pa.array(key.ravel()), *(c.take(row) for c in part.columns)], names=["key", *names])
+
+    return prints.select(*names).mapInArrow(file, "key long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _dealt(prints: DataFrame, names: list[str], radius: int, bits: np.ndarray | None, n: int) -> DataFrame:
+    """``_keyed``, with the rows of hot buckets filed under each pair of blocks that their own is in."""
+    keyed = _keyed(prints, names, radius, bits)
+    if n <= HOT:
+        return keyed
+    some = _keyed(prints.filter(F.pmod(F.xxhash64(F.lit(SEED), *names), F.lit(SAMPLED)) == 0), names, radius, bits)
+    hot = stored(some.groupBy("key").count().select("key", F.ceil(F.col("count") * SAMPLED / HOT).cast("int").alias("blocks")).filter("blocks > 1"), "simhash-hot")
+    many = hot.count()
+    if not many:
+        return keyed
+    own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("key", F.least(own, k), F.greatest(own, k)))
+    return keyed.join(small(hot, many), "key", "left").select(F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array("key"))).alias("key"), *names)
+
+
+def links(prints: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(a, b, d): node hashes and distance of links whose components are those of all
+    links between the distinct fingerprints ``prints`` (f0, ..., node), stored
+    beforehand. With ``similarity``: those of the pairs that meet in a sampled bucket."""
     names = [c for c in prints.columns if c != "node"]
-    keyed = _keyed(prints.select(*names), names, radius)
+    n = prints.count()
+    bits = None if similarity is None else samples(n, 64 * len(names), similarity)
+    keyed = _dealt(prints.select(*names), names, radius, bits, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def done(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            change = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])] if len(t) else np.empty(0, bool)
+        def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            change = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
             child, parent = forest(np.cumsum(change), fp, radius)
             cols = [fp[child][:, i].view(np.int64) for i in range(len(names))] + [fp[parent][:, i].view(np.int64) for i in range(len(names))]
-            return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=[f"a_{n}" for n in names] + [f"b_{n}" for n in names])
+            return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in cols), pa.array(distances(fp, child, parent))], names=[f"a_{n}" for n in names] + [f"b_{n}" for n in names] + ["d"])
 
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + i).to_numpy() for i in range(len(names))], axis=1).view(np.uint64)]
+            new = [batch.column(0).to_numpy(), np.stack([batch.column(1 + i).to_numpy() for i in range(len(names))], axis=1).view(np.uint64)]
             rest = [np.concatenate(x) for x in zip(rest, new)] if rest else new
-            t, key, fp = rest
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1])) if len(t) else []
-            whole = last[-1] + 1 if len(last) else 0
+            key, fp = rest
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if whole:
-                yield done(t[:whole], key[:whole], fp[:whole])
-                rest = [t[whole:], key[whole:], fp[whole:]]
+                yield done(key[:whole], fp[:whole])
+                rest = [key[whole:], fp[whole:]]
         if rest:
             yield done(*rest)
 
-    schema = ", ".join(f"{s}_{n} long" for s in "ab" for n in names)
-    made = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(compare, schema)
-    return made.select(node_of([F.col(f"a_{n}") for n in names]).alias("a"), node_of([F.col(f"b_{n}") for n in names]).alias("b"))
+    schema = ", ".join(f"{s}_{n} long" for s in "ab" for n in names) + ", d long"
+    made = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema)
+    a, b = (node_of([F.col(f"{s}_{n}") for n in names]) for s in "ab")
+    return made.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), "d").distinct()
 
 
 def node_of(words: list[Column]) -> Column:
@@ -287,15 +402,19 @@ def node_of(words: list[Column]) -> Column:
     return words[0] if len(words) == 1 else F.md5(F.concat_ws(",", *words))
 
 
-def components(prints: DataFrame, radius: int) -> DataFrame:
-    """``prints`` (doc_id, f0, ...), stored beforehand, with component_id: the
-    smallest doc_id among all rows whose fingerprints are reachable through
-    links of at most ``radius`` bits. Null doc_ids take part in linking but
-    name no component unless a component has no other (then null)."""
+def distinct_prints(prints: DataFrame) -> DataFrame:
+    """(f0, ..., first, node), stored: the distinct fingerprints of ``prints`` (doc_id, f0, ...) and their least doc_id."""
     names = [c for c in prints.columns if c != "doc_id"]
-    node = node_of([F.col(n) for n in names])
-    distinct = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node), "simhash-distinct")
-    roots = connected_components(links(distinct.drop("first"), radius))
+    return stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node_of([F.col(n) for n in names])), "simhash-distinct")
+
+
+def components(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, f0, ...) with component_id: the smallest doc_id among all
+    rows whose fingerprints are reachable through ``edges`` (a, b) between the nodes of
+    ``distinct``. Null doc_ids take part in linking but name no component unless a
+    component has no other (then null)."""
+    node = node_of([F.col(c) for c in prints.columns if c != "doc_id"])
+    roots = connected_components(edges)
     rooted = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     class_of = stored(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
@@ -307,26 +426,96 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, radius: int = 2,
     columns are ignored). Texts without words, null ones included, have
     fingerprint zero and are linked like any other. An empty table gives an
     empty result; repeated rows give repeated rows."""
-    return components(stored(fingerprints(docs, shingle_words=shingle_words, planes=planes), "simhash-prints"), radius)
+    prints = stored(fingerprints(docs, shingle_words=shingle_words, planes=planes), "simhash-prints")
+    distinct = distinct_prints(prints)
+    return components(prints, distinct, links(distinct.drop("first"), radius))
+
+
+#: Links of a text that are verified first; the others only where these leave texts apart.
+FIRST_LINKS = 4
+#: Links of one text whose sets meet in one task.
+FAN = 4096
+
+
+def _by_document(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined by doc_id and hash of the text with ``side`` (doc_id, h, ...), stored."""
+    there = side.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), *[c for c in side.columns if c not in ("doc_id", "h")])
+    return docs.join(small(there, side.count()), docs.doc_id.eqNullSafe(there["__id"]) & (F.xxhash64(docs.text) == there["__h"]), how)
 
 
-#: Removed documents up to which their list is broadcast (about 50 MB).
-SMALL_LIST = 1_000_000
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles): the sorted distinct shingle hashes, packed, of the texts of
+    ``wanted`` (node, doc_id, h)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in utf8(part.column(1))]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
+    return found.mapInArrow(make, "node string, shingles binary").dropDuplicates(["node"])
 
 
-def deduplicate(docs: DataFrame, *, shingle_words: int, radius: int, planes: int) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the rows whose doc_id is
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two packed sets; equal ones, empty ones too, have 1."""
+    if a == b:
+        return 1.0
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return 0.0
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return shared / (len(x) + len(y) - shared)
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b, ...) whose ends' ``sets`` (node, shingles) reach the similarity.
+    The set of a text with many links is dealt to several tasks."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    fans = edges.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")).filter("parts > 1")
+    fans = stored(fans, "simhash-fans")
+    fan = small(fans, fans.count())
+    dealt = edges.join(fan, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    theirs = sets.join(fan, sets.node == fan.b, "left").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("shingles").alias("y"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(theirs, ["b", "part"])
+    return both.select("a", "b", "x", "y").mapInArrow(keep, "a string, b string")
+
+
+def similar(docs: DataFrame, distinct: DataFrame, *, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b), stored: links between nodes of ``distinct`` whose texts have at least that Jaccard similarity."""
+    planes = 64 * sum(c.startswith("f") and c != "first" for c in distinct.columns)
+    candidates = stored(links(distinct.drop("first"), radius_of(similarity, planes), similarity), "simhash-candidates")
+    ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(ends.join(distinct.select("node", "first.*"), "node"), "simhash-wanted")
+    sets = stored(shingle_sets(docs, wanted, shingle_words), "simhash-sets")
+    place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("d", "a", "b"))
+    near = [candidates.withColumn("k", place(end)).filter(F.col("k") <= FIRST_LINKS).select("a", "b") for end in "ab"]
+    early = stored(verified(near[0].unionByName(near[1]).distinct(), sets, similarity), "simhash-early")
+    # Other candidates matter where they would join what is still apart.
+    roots = stored(connected_components(early), "simhash-roots")
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    apart = candidates.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    late = verified(apart.join(near[0].unionByName(near[1]), ["a", "b"], "left_anti"), sets, similarity)
+    return stored(early.unionByName(late), "simhash-similar")
+
+
+def deduplicate(docs: DataFrame, *, shingle_words: int, similarity: float, planes: int) -> DataFrame:
+    """``docs`` without near-duplicates: texts are linked whose sets of shingles have
+    at least the Jaccard ``similarity``, and of each component the rows whose doc_id is
     its least stay; null comes before all others, and equal doc_ids go by a hash of
     the text. Rows with equal doc_id and equal text count as one document. Texts
     without words are one group. Removed documents are led back to ``docs`` by
     doc_id and text."""
-    text_hash = F.xxhash64("text")
-    named = docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text")
-    prints = stored(fingerprints(named, shingle_words=shingle_words, planes=planes, id_type="struct<doc_id: bigint, h: bigint>"), "simhash-prints")
-    found = components(prints, radius)
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    prints = stored(fingerprints(named, shingle_words=shingle_words, planes=planes, id_type="struct<doc_id: bigint, h: bigint>", distinct=True), "simhash-prints")
+    distinct = distinct_prints(prints)
+    found = components(prints, distinct, similar(docs, distinct, shingle_words=shingle_words, similarity=similarity))
     gone = stored(found.filter("doc_id != component_id").select("doc_id.*").distinct(), "simhash-gone")
-    small = F.broadcast if gone.count() <= SMALL_LIST else (lambda x: x)
-    return docs.join(small(gone), docs.doc_id.eqNullSafe(gone.doc_id) & (text_hash == gone.h), "left_anti")
+    return _by_document(docs, gone, "left_anti")
 
 
 def hex_print(word: Column) -> Column:

@@ -105,6 +105,7 @@ def test_bit_sliced_forest_finds_all_links(seed):
         key = values & np.uint64(mask % 2**64)
         order = np.argsort(key, kind="stable")
         for a, b in zip(*simhash.forest(key[order], values[order][:, None], 2)):
+            assert bin(int(values[order[a]] ^ values[order[b]])).count("1") <= 2
             x, y = sorted((find(order[a]), find(order[b])))
             root[y] = x
     assert {i: find(i) for i in range(len(values))} == want
@@ -118,18 +119,72 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_deduplicate_keeps_one_of_each_group(spark):
+def _page(rnd, words, n):
+    return [rnd.choice(words) for _ in range(n)]
+
+
+def _changed(rnd, page, similarity):
+    """The page with its last words replaced, so that about that share of all shingles is common."""
+    kept = round(2 * similarity / (1 + similarity) * (len(page) - 4)) + 4
+    return page[:kept] + [f"new{rnd.random()}" for _ in range(len(page) - kept)]
+
+
+def brute_survivors(rows, similarity=0.8):
+    """doc_ids that stay, by the shingle sets of all pairs."""
+    sets = {d: frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in ((a, b) for a in sets for b in sets if a < b):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d for d in root if find(d) == d}
+
+
+@pytest.mark.parametrize(("wide", "hot"), [(simhash.WIDE, simhash.HOT), (4, 16)])
+def test_deduplicate_equals_all_pairs_of_shingle_sets(spark, monkeypatch, wide, hot):
+    """Groups of near copies, pages of one template under the threshold, and clean ones."""
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
-    rows, base = [], [rnd.choice(words) for _ in range(400)]
-    for k in range(6):
-        changed = list(base)
-        changed[50 * k] = "other"
-        rows.append((10 + k, " ".join(changed)))
-    rows += [(100 + k, " ".join(rnd.choice(words) for _ in range(300))) for k in range(20)]
+    rows = [(k, " ".join(_page(rnd, words, 200))) for k in range(30)]
+    for group, similarity in enumerate((0.95, 0.9, 0.72, 0.6)):
+        page = _page(rnd, words, 250)
+        rows += [(1000 * (group + 1) + k, " ".join(_changed(rnd, page, similarity))) for k in range(25)]
+    page = _page(rnd, words, 120)
+    rows += [(9000 + k, " ".join([*page[: 4 * k], "odd", *page[4 * k + 1 :]])) for k in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.deduplicate(df, shingle_words=5, radius=90, planes=512).collect()}
-    assert kept == {10, *range(100, 120)}
+    got = {r.doc_id for r in simhash.deduplicate(df, shingle_words=5, similarity=0.8, planes=256).collect()}
+    assert got == brute_survivors(rows)
+    assert set(range(30)) < got and 9000 in got and len(got) < 120
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.95), (0.85, 0.98), (0.9, 1.0), (0.75, 0.0)])
+def test_recall_of_near_copies(spark, similarity, least):
+    """Of pairs somewhat over a similarity; under 0.8 none goes."""
+    rnd = random.Random(similarity)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    pages = [_page(rnd, words, rnd.choice((60, 150, 400))) for _ in range(200)]
+    rows = [(k, " ".join(p)) for k, p in enumerate(pages)] + [(1000 + k, " ".join(_changed(rnd, p, similarity + 0.005))) for k, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(df, shingle_words=5, similarity=0.8, planes=256).collect()}
+    assert set(range(200)) <= kept
+    gone = 400 - len(kept)
+    assert gone >= 200 * least if similarity >= 0.8 else gone == 0
+
+
+def test_widths_grow_with_the_number_of_fingerprints():
+    sizes = [simhash.samples(n, 256, 0.8).shape for n in (0, 10**5, 10**7, 10**9)]
+    assert sizes[0] == sizes[1] == (95, 16) and sizes[2][1] == 20 and sizes[3][1] == 26
+    p = 1 - simhash.share_of_bits(0.8)
+    assert all(tables * p**width >= simhash.MEETINGS for tables, width in sizes)
 
 
 # Packing
