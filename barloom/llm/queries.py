@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50).drop("query_row")
 
 
 def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

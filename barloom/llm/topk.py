@@ -7,8 +7,10 @@ product from above: ``(|q|^2 + |c|^2 - bound) / 2``. Resolutions go from coarse
 to fine; only pairs whose bound still reaches the query's k-th best score go on,
 and survivors get the exact integer score.
 
-Queries go out in blocks of at most ``BLOCK`` rows, whose size is thus fixed;
-each block is held against all candidates, and a task keeps k rows per query.
+Queries are dealt out in blocks of about ``BLOCK`` rows, candidates in slices. Each
+block meets each slice in one task, by a shuffle on the two numbers: the block comes
+first and is held, the slice streams past in bounded pieces, and k rows per query
+go on. Nothing passes through the driver but row counts.
 """
 
 from __future__ import annotations
@@ -23,28 +25,38 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 BLOCK = 8192
+#: Candidates in a slice: at least, so that a block is worth sending, and at most.
+LEAST_SLICE, MOST_SLICE = 4096, 1 << 22
 #: Segments per resolution; a vector shorter than that has one per component.
 RESOLUTIONS = (1, 4, 16)
 #: Candidates and queries compared at once.
 ROWS, FRONT = 4096, 1024
+#: Share of pairs left under which these are scored one by one.
+SPARSE = 0.05
 #: Score and id of what isn't a pair; their negatives are whole numbers, too.
 NO_SCORE, NO_ID = -(1 << 62), np.iinfo(np.int64).max
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 * x) of each component, x as double. Rows whose
-    vector is null or holds null or non-finite components, or whose vec_id is
-    null, are left out; of rows that share a vec_id, the least vector counts."""
+    """(row, vec_id, v): floor(256 * x) of each component, x as double, and a number
+    that tells rows apart. Rows whose vector is null or holds null or non-finite
+    components, or whose vec_id is null, are left out; rows that share a vec_id are
+    rows of their own. A vector of norm 2^31 or more is an error, as its scores might
+    not be whole numbers of 64 bits. Store the result: row numbers are given anew
+    whenever it is computed."""
     x = F.transform("embedding", lambda e: e.cast("double"))
     sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) != float("inf")))
-    return vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform(x, lambda e: F.floor(e * 256)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    scaled = F.transform(x, lambda e: F.floor(e * 256))
+    square = F.aggregate(x, F.lit(0.0), lambda s, e: s + (F.abs(e) * 256 + 1) * (F.abs(e) * 256 + 1))
+    small = F.when(square < float(1 << 62), scaled).otherwise(F.raise_error(F.concat(F.lit("components too large for whole scores: vec_id "), F.col("vec_id").cast("string"))).cast("array<bigint>"))
+    return vectors.filter(F.coalesce(sound, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), "vec_id", small.alias("v"))
 
 
 class _Vectors:
     """Vectors of one length with their statistics at each resolution."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
-        self.ids, self.v = ids, v
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray):
+        self.rows, self.ids, self.v = rows, ids, v
         x = v.astype(np.float64)
         self.square = (x * x).sum(1)
         n = v.shape[1]
@@ -58,14 +70,14 @@ class _Vectors:
 
     def take(self, rows: np.ndarray | slice) -> _Vectors:
         out = object.__new__(_Vectors)
-        out.ids, out.v, out.square = self.ids[rows], self.v[rows], self.square[rows]
+        out.rows, out.ids, out.v, out.square = self.rows[rows], self.ids[rows], self.v[rows], self.square[rows]
         out.levels = [x[rows] for x in self.levels]
         return out
 
 
-def _by_length(ids: np.ndarray, flat: np.ndarray, size: np.ndarray) -> dict[int, _Vectors]:
+def _by_length(rows: np.ndarray, ids: np.ndarray, flat: np.ndarray, size: np.ndarray) -> dict[int, _Vectors]:
     start = np.cumsum(size) - size
-    return {int(n): _Vectors(ids[size == n], flat[start[size == n][:, None] + np.arange(n)[None, :]]) for n in np.unique(size)}
+    return {int(n): _Vectors(rows[size == n], ids[size == n], flat[start[size == n][:, None] + np.arange(n)[None, :]]) for n in np.unique(size)}
 
 
 def _exact(q: np.ndarray, c: np.ndarray, square: float) -> np.ndarray:
@@ -103,33 +115,37 @@ class Best:
 
     def _front(self, rows: np.ndarray, c: _Vectors) -> None:
         square = float(np.sqrt(self.q.square[rows].max() * c.square.max()))
-        if (self.score[rows, -1] == NO_SCORE).any() and len(c.ids) > 16 * self.k:
-            # A first threshold: the candidates with the largest norms.
-            first = np.argpartition(-c.square, 4 * self.k)[: 4 * self.k]
-            self._score(rows, c.take(first), None, square)
-            c = c.take(np.setdiff1d(np.arange(len(c.ids)), first))
-        q = self.q.take(rows)
-        alive = None
-        for ql, cl in zip(q.levels, c.levels):
-            floor = self.score[rows, -1].astype(np.float64)
-            slack = 1 + 1e-9 * square
-            near = self._bound(q, c, ql, cl) >= floor[:, None] - slack
-            alive = near if alive is None else alive & near
-            keep_c, keep_q = np.flatnonzero(alive.any(0)), np.flatnonzero(alive.any(1))
+        slack = 1 + 1e-9 * square
+        alive = self.q.rows[rows][:, None] != c.rows
+        for level in range(len(c.levels)):
+            q = self.q.take(rows)
+            bound = np.where(alive, self._bound(q, c, q.levels[level], c.levels[level]), -np.inf)
+            # The candidates of highest bound give the threshold that the others must reach.
+            for _ in range(min(self.k, len(c.ids))):
+                first = bound.argmax(1)
+                real = np.flatnonzero(bound[np.arange(len(rows)), first] > -np.inf)
+                self._score_pairs(rows, c, real, first[real])
+                bound[real, first[real]], alive[real, first[real]] = -np.inf, False
+            alive &= bound >= self.score[rows, -1].astype(np.float64)[:, None] - slack
+            keep_q, keep_c = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            if not len(keep_q):
+                return
             if len(keep_c) < 0.7 * len(c.ids) or len(keep_q) < 0.7 * len(rows):
                 c, rows, alive = c.take(keep_c), rows[keep_q], alive[np.ix_(keep_q, keep_c)]
-                return self._finer(rows, c, alive, len(ql[0]), square) if len(rows) and len(keep_c) else None
-        self._score(rows, c, alive, square)
-
-    def _finer(self, rows: np.ndarray, c: _Vectors, alive: np.ndarray, width: int, square: float) -> None:
-        """Goes on with the resolutions after the one ``width`` wide."""
-        q = self.q.take(rows)
-        for ql, cl in zip(q.levels, c.levels):
-            if ql.shape[1] > width:
-                alive &= self._bound(q, c, ql, cl) >= self.score[rows, -1].astype(np.float64)[:, None] - (1 + 1e-9 * square)
-        keep_c, keep_q = np.flatnonzero(alive.any(0)), np.flatnonzero(alive.any(1))
-        if len(keep_c) and len(keep_q):
-            self._score(rows[keep_q], c.take(keep_c), alive[np.ix_(keep_q, keep_c)], square)
+        if alive.mean() < SPARSE:
+            # Few pairs are left: these alone, the n-th of each query at a time.
+            i, j = np.nonzero(alive)
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            for n in range(int(nth.max(initial=-1)) + 1):
+                self._score_pairs(rows, c, i[nth == n], j[nth == n])
+        else:
+            score = _exact(self.q.v[rows], c.v, square)
+            self.add(rows, np.where(alive, score, NO_SCORE), np.where(alive, c.ids, NO_ID))
+
+    def _score_pairs(self, rows: np.ndarray, c: _Vectors, i: np.ndarray, j: np.ndarray) -> None:
+        """Exact scores of the pairs rows[i], c[j]; an i comes once at most."""
+        if len(i):
+            self.add(rows[i], np.einsum("ij,ij->i", self.q.v[rows[i]], c.v[j])[:, None], c.ids[j][:, None])
 
     @staticmethod
     def _bound(q: _Vectors, c: _Vectors, ql: np.ndarray, cl: np.ndarray) -> np.ndarray:
@@ -137,64 +153,76 @@ class Best:
         distance = (ql * ql).sum(1)[:, None] + (cl * cl).sum(1)[None, :] - 2 * (ql @ cl.T)
         return (q.square[:, None] + c.square[None, :] - distance) / 2
 
-    def _score(self, rows: np.ndarray, c: _Vectors, alive: np.ndarray | None, square: float) -> None:
-        score = _exact(self.q.v[rows], c.v, square)
-        ids = np.broadcast_to(c.ids, score.shape)
-        out = self.q.ids[rows][:, None] == ids
-        if alive is not None:
-            out = out | ~alive
-        self.add(rows, np.where(out, NO_SCORE, score), np.where(out, NO_ID, ids))
 
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = batch.column(1)
-    return batch.column(0).to_numpy(), v.flatten().to_numpy(), v.value_lengths().to_numpy()
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    v = batch.column(batch.schema.get_field_index("v"))
+    named = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("row", "vec_id")]
+    return *named, v.flatten().to_numpy(), v.value_lengths().to_numpy()
 
 
 def search(candidates: DataFrame, queries: DataFrame, *, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest inner products with
-    the other rows of ``candidates`` (vec_id, v), ties to the smaller vec_id; only
-    vectors of the same length are compared. Both sides have unique vec_ids."""
+    """(query_row, query_id, rank, vec_id, score): the k highest inner products of each
+    row of ``queries`` with the other rows of ``candidates`` (row, vec_id, v), both
+    stored beforehand; ties go to the smaller vec_id. Only vectors of the same length
+    are compared."""
     spark = candidates.sparkSession
-    parts, last, found = [], None, True
-    while found:
-        page = queries if last is None else queries.filter(F.col("vec_id") > last)
-        block = page.orderBy("vec_id").limit(BLOCK).toArrow()  # at most BLOCK vectors
-        found = block.num_rows > 0
-        if found or not parts:
-            last = block.column(0)[-1].as_py() if found else None
-            parts.append(candidates.mapInArrow(_task(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long"))
-        found = block.num_rows == BLOCK
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _task(block, k: int):
+    blocks = max(1, -(-queries.count() // BLOCK))
+    n, tasks = candidates.count(), 2 * spark.sparkContext.defaultParallelism
+    slices = max(1, min(-(-n // LEAST_SLICE), max(-(-tasks // blocks), -(-n // MOST_SLICE))))
+    number = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = queries.select(number(blocks).alias("block"), every(slices).alias("slice"), F.lit(0).alias("side"), "row", "vec_id", "v")
+    held = candidates.select(every(blocks).alias("block"), number(slices).alias("slice"), F.lit(1).alias("side"), "row", "vec_id", "v")
+    dealt = asked.unionByName(held).repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "side")
+    found = dealt.mapInArrow(_task(k), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
+
+
+def _task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = block.value.combine_chunks()
-        best: dict[int, Best] = {}
-        if table.num_rows:
-            best = {n: Best(v, k) for n, v in _by_length(*_columns(table.to_batches()[0])).items()}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for n, c in _by_length(*_columns(part)).items():
-                    if n in best:
-                        best[n].search(c)
-        for b in best.values():
-            real = b.ids != NO_ID
-            yield pa.record_batch([pa.array(np.broadcast_to(b.q.ids[:, None], real.shape)[real]), pa.array(b.ids[real]), pa.array(b.score[real])], names=["query_id", "vec_id", "score"])
+        now, waiting, best = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for b in (best or {}).values():
+                real = b.ids != NO_ID
+                own = [np.broadcast_to(x[:, None], real.shape)[real] for x in (b.q.rows, b.q.ids)]
+                yield pa.record_batch([*map(pa.array, own), pa.array(b.ids[real]), pa.array(b.score[real])], names=["query_row", "query_id", "vec_id", "score"])
+
+        for part in _runs(batches):
+            key = tuple(part.column(i)[0].as_py() for i in range(2))
+            if key != now:
+                yield from done()
+                now, waiting, best = key, [], None
+            if part.column(2)[0].as_py() == 0:
+                waiting.append(part)
+                continue
+            if best is None:
+                block = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0] if waiting else None
+                best = {n: Best(v, k) for n, v in _by_length(*_columns(block)).items()} if block else {}
+            for n, c in _by_length(*_columns(part)).items():
+                if n in best:
+                    best[n].search(c)
+        yield from done()
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows of one block, slice and side."""
+    for batch in batches:
+        if batch.num_rows:
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge, edge[1:]):
+                for at in range(a, b, ROWS):
+                    yield batch.slice(at, min(ROWS, b - at))
+
+
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
-    """The ``k`` best other rows for each row of ``vectors`` (vec_id, embedding)
-    whose vec_id is divisible by ``every``; fewer, if there are fewer. A table
-    without usable vectors gives no rows."""
+    """(query_row, query_id, rank, vec_id, score): the ``k`` best other rows for each
+    row of ``vectors`` (vec_id, embedding) whose vec_id is divisible by ``every``;
+    fewer, if there are fewer. A table without usable vectors gives no rows."""
     made = stored(quantize(vectors), "topk-vectors")
     return search(made, made.filter(F.col("vec_id") % every == 0), k=k)
 
@@ -202,14 +230,14 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
 #: ``top_k`` with its defaults in DuckDB SQL, for vectors of one length.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 WHERE rank <= 5
 """

@@ -31,37 +31,67 @@ def test_query_equals_its_sql(spark, name):
 
 
 def brute_top(rows, k=5, every=50):
-    v = {i: np.floor(np.array(x) * 256).astype(int) for i, x in rows if x is not None and all(e is not None and np.isfinite(e) for e in x)}
+    v = [(i, np.floor(np.array(x) * 256).astype(int)) for i, x in rows if x is not None and all(e is not None and np.isfinite(e) for e in x)]
     out = []
-    for q in v:
+    for n, (q, x) in enumerate(v):
         if q % every == 0:
-            scored = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
+            scored = sorted((-int(x @ y), c) for m, (c, y) in enumerate(v) if m != n and len(y) == len(x))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
     return sorted(out)
 
 
+def top(df):
+    return sorted(map(tuple, topk.top_k(df).drop("query_row").collect()))
+
+
 @pytest.mark.parametrize(("n", "dim", "seed"), [(400, 8, 0), (3000, 64, 1), (30, 3, 2), (900, 1, 3)])
 def test_top_k_equals_brute_force_with_ties(spark, n, dim, seed, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "LEAST_SLICE", 100)
     rnd = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in np.round(rnd.normal(size=dim), 1)]) for k in range(n)]
     rows[3:9] = [(k, rows[0][1]) for k in range(3, 9)]
-    rows += [(n, None), (n + 1, [None] + [0.0] * (dim - 1)), (n + 2, [float("nan")] * dim), (50 * n, [1e3] * dim)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
-    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top(rows)
+    rows += [(n, None), (n + 1, [None] + [0.0] * (dim - 1)), (n + 2, [float("nan")] * dim), (50 * n, [1e3] * dim), (0, [2.0] * dim), (3, [3.0] * dim)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "row", "block", "side")})
+    assert top(df) == brute_top(rows)
+
+
+def test_clustered_vectors_are_pruned_and_scored_pair_by_pair(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    centre = rnd.normal(size=(40, 32)) * 4
+    rows = [(k, [float(x) for x in centre[k % 40] + 0.02 * rnd.normal(size=32)]) for k in range(4000)]
+    assert top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute_top(rows)
+    v = np.floor(np.array([x for _, x in rows]) * 256).astype(np.int64)
+    ids, scored = np.arange(4000), []
+    pairs = topk.Best._score_pairs
+    monkeypatch.setattr(topk.Best, "_score_pairs", lambda self, r, c, i, j: (scored.append(len(i)), pairs(self, r, c, i, j))[1])
+    monkeypatch.setattr(topk, "_exact", None)
+    best = topk.Best(topk._Vectors(ids[::50], ids[::50], v[::50]), 5)
+    best.search(topk._Vectors(ids, ids, v))
+    assert sum(scored) < 0.1 * 80 * 4000
 
 
 def test_top_k_small_tables(spark):
     kind = "vec_id long, embedding array<float>"
-    assert topk.top_k(spark.createDataFrame([], kind)).count() == 0
-    assert topk.top_k(spark.createDataFrame([(0, [1.0, 2.0])], kind)).count() == 0
-    two = spark.createDataFrame([(0, [1.0]), (7, [0.5]), (7, [0.5])], kind)
-    assert [tuple(r) for r in topk.top_k(two).collect()] == [(0, 1, 7, 256 * 128)]
+    assert top(spark.createDataFrame([], kind)) == []
+    assert top(spark.createDataFrame([(0, [1.0, 2.0])], kind)) == []
+    two = spark.createDataFrame([(0, [1.0]), (7, [0.5]), (7, [0.75]), (None, [9.0])], kind)
+    assert top(two) == [(0, 1, 7, 256 * 192), (0, 2, 7, 256 * 128)]
+    both = spark.createDataFrame([(50, [1.0]), (50, [2.0])], kind)
+    assert top(both) == [(50, 1, 50, 512 * 256), (50, 1, 50, 512 * 256)]
+
+
+def test_components_too_large_for_whole_scores_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [0.1, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(df).collect()
+    large = [(0, [4e6, -4e6]), (1, [4e6, 4e6]), (2, [-5e6, 5e6])]
+    assert top(spark.createDataFrame(large, "vec_id long, embedding array<double>")) == brute_top(large)
 
 
 def test_bounds_hold():
     rnd = np.random.default_rng(0)
-    a, b = (topk._Vectors(np.arange(40), rnd.integers(-300, 300, (40, 20))) for _ in range(2))
+    a, b = (topk._Vectors(np.arange(40), np.arange(40), rnd.integers(-300, 300, (40, 20))) for _ in range(2))
     exact = a.v @ b.v.T
     tight = [topk.Best._bound(a, b, x, y) - exact for x, y in zip(a.levels, b.levels)]
     assert all((t >= -1e-6).all() for t in tight) and tight[-1].mean() < tight[0].mean()
