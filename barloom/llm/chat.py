@@ -108,24 +108,28 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
     )
 
 
-#: The same in DuckDB SQL, for rows with conv_id and turn and parts that aren't crowded.
+#: The same in DuckDB SQL, for rows with conv_id and turn.
 ROTATE_SQL = f"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said
-  FROM conversations
+  SELECT *, floor(turn / {PART_TURNS})::BIGINT AS part FROM (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations)
+), r AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id, part) > {CROWD * PART_TURNS}
+    THEN (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, said) - 1) // {PART_TURNS} + 1 ELSE 0 END::BIGINT AS tie
+  FROM t
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'
 ), s AS (
-  SELECT t.*, perspective, floor(turn / {PART_TURNS})::BIGINT AS part,
+  SELECT r.*, perspective,
     '<|' || CASE WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || '|>' || chr(10) AS head
-  FROM t JOIN p USING (conv_id)
+  FROM r JOIN p USING (conv_id)
 ), o AS (
-  SELECT *, sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  SELECT *, sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective, part, tie ORDER BY turn, speaker, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM s
 )
-SELECT conv_id, perspective, part, min(turn) AS first_turn, 0::BIGINT AS tie, count(*) AS n_turns,
+SELECT conv_id, perspective, part, min(turn) AS first_turn, tie, count(*) AS n_turns,
   count(*) FILTER (WHERE speaker = perspective) AS n_target_turns,
   string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY turn, speaker, said) AS rendered,
   coalesce(string_agg((stop - length(said) - 8) || '-' || (stop - 1), ',' ORDER BY turn, speaker, said) FILTER (WHERE speaker = perspective), '') AS mask
-FROM o GROUP BY conv_id, perspective, part
+FROM o GROUP BY conv_id, perspective, part, tie
 """
