@@ -10,8 +10,10 @@ window ordered by capacity over weight, in whole numbers.
 Within a leaf, documents stand in a seeded order, anew in each epoch, and the
 leaf takes the prefix of that sequence that its budget pays for: whole epochs,
 then a prefix of the next one. The prefix is a limit on the seeded hash, found
-from sums over hash buckets, then within the one bucket where the budget ends,
-so no task holds a leaf's documents; documents are then filtered where they lie.
+from sums over ``FAN`` hash ranges, then over as many parts of the one range in which
+the budget ends, and so on until that range holds at most ``FAN`` documents or one
+hash. So no task ever has more than ``FAN`` rows of a leaf; documents are then
+filtered where they lie.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import small, stored
 
 SEED = 17
-#: Hash values: 15 hex digits of an md5, of which the first 3 name the bucket.
-BUCKETS = 4096
+#: Hash values, 15 hex digits of an md5, and the parts into which a range of them is cut.
+PLACES, FAN = 16**15, 256
 _DOMAINS = 3
 LEVELS = ("domain", "language", "source")
 #: Target weights (whole numbers up to 1000); others weigh 100.
@@ -118,22 +120,28 @@ def selection(docs: DataFrame, *, seed: int = SEED, epochs: int = 1, **how) -> t
     paid = budgets(held, epochs=epochs, **how).withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens"))
     paid = stored(paid, "mixing-budgets")
 
-    small = F.broadcast if paid.count() <= 100_000 else (lambda x: x)  # leaves of 100 bytes at most 10 MB
-    place = seeded(F.col("doc_id"), F.col("whole"), seed)
-    width = 16**15 // BUCKETS
-    placed = narrow.join(small(paid.select(*leaf, "whole", "rest")), leaf).withColumn("place", place).withColumn("bucket", F.expr(f"place div {width}"))
-    sums = placed.groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    through = F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = sums.withColumn("through", through).filter("through > rest").groupBy(*leaf).agg(F.min("bucket").alias("end"), F.min_by(F.expr("through - n"), "bucket").alias("before"))
-    ends = stored(ends, "mixing-buckets")
-    within = placed.join(small(ends), leaf).filter("bucket = end").groupBy(*leaf, "rest", "before", "place").agg(F.sum("n_tokens").alias("n"))
-    run = F.sum("n").over(Window.partitionBy(*leaf).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # The limit: the last place that is paid for, or the end of the bucket before.
-    last = within.withColumn("through", F.col("before") + run).groupBy(*leaf).agg(F.max(F.expr("case when through <= rest then place end")).alias("last"))
-    limits = paid.join(ends, leaf, "left").join(last, leaf, "left").withColumn("limit", F.coalesce("last", F.expr(f"end * {width} - 1"), F.lit(16**15)))
+    few = lambda df: small(df, leaves, 100_000)  # noqa: E731  leaves of 100 bytes at most 10 MB
+    leaves = paid.count()
+    placed = narrow.join(few(paid.select(*leaf, "whole", "rest")), leaf).withColumn("place", seeded(F.col("doc_id"), F.col("whole"), seed))
+    # Per leaf, the range [low, low + width) in which the budget ends, and the tokens before it.
+    ends, width, most = paid.select(*leaf, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before")), PLACES, FAN + 1
+    inside = lambda: placed.join(few(ends), leaf).filter(f"place >= low and place < low + {width}")
+    while width > 1 and most > FAN:
+        step = max(1, width // FAN)
+        sums = inside().groupBy(*leaf, "rest", "low", "before", F.expr(f"(place - low) div {step}").alias("part")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
+        through = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        end = F.min(F.struct("part", F.expr("through - n").alias("before"), "rows", "low"))
+        found = sums.withColumn("through", through).filter("through > rest").groupBy(*leaf).agg(end.alias("e"))
+        ends = stored(found.select(*leaf, F.expr(f"e.low + e.part * {step}").alias("low"), "e.before", "e.rows"), "mixing-ranges")
+        width, most = step, ends.agg(F.max("rows")).first()[0] or 0
+    run = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = inside().groupBy(*leaf, "rest", "before", "place").agg(F.sum("n_tokens").alias("n")).withColumn("through", run)
+    # The limit: the last place that is paid for, or the end of the range before.
+    last = within.groupBy(*leaf).agg(F.max(F.expr("case when through <= rest then place end")).alias("last"))
+    limits = paid.join(ends.select(*leaf, "low"), leaf, "left").join(last, leaf, "left").withColumn("limit", F.coalesce("last", F.expr("low - 1"), F.lit(PLACES)))
     limits = stored(limits.select(*leaf, "tokens", "budget", "whole", "limit"), "mixing-limits")
 
-    there = small(limits.select("domain", "language", F.col("source").alias("leaf_source"), "whole", "limit"))
+    there = few(limits.select("domain", "language", F.col("source").alias("leaf_source"), "whole", "limit"))
     taken = F.col("whole") + (seeded(F.col("doc_id"), F.col("whole"), seed) <= F.col("limit")).cast("long")
     chosen = named.join(there, ["domain", "language", "leaf_source"]).withColumn("epochs", taken).filter("epochs > 0")
     return chosen.select(*docs.columns, *added), limits
