@@ -8,14 +8,14 @@ kernel ridge regression is solved. As the kernel is linear in the presence
 vector, landmarks, whitening and regression fold into one weight matrix, and
 texts are scored as a batch: presence matrix times weights.
 
-Only the fit is sampled: at most ``PER_LANGUAGE`` documents of each language,
-those with the least hash of doc_id, whole texts. Every document is predicted
-from its whole text.
+Only the fit is sampled: at most ``PER_LANGUAGE`` documents of each language and
+about ``FIT_ROWS`` in all, those with the least hash of doc_id and text, whole
+texts. Every document is predicted from its whole text. There is no limit to the
+number of languages; a model takes 160 kB for each and is scored a few at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +28,12 @@ from ._common import text_slices
 
 MAX_N = 3
 BUCKETS = 1 << 15
-#: Bounds of the fit: labelled documents per language, landmarks in all, languages.
-PER_LANGUAGE = 400
+#: Bounds of the fit: labelled documents per language and, down to LEAST of each, in all;
+#: landmarks in all, down to 2 of each language.
+PER_LANGUAGE, LEAST, FIT_ROWS = 400, 8, 25_600
 LANDMARKS = 256
-MAX_LANGUAGES = 64
-#: Texts whose presence vectors make one matrix.
-ROWS = 64
+#: Texts whose presence vectors make one matrix, and languages scored at once.
+ROWS, COLUMNS = 64, 64
 RIDGE = 1e-2
 #: A language knows the n-grams that this share of its fitted texts hold. A text fits it
 #: if the share of known ones among its n-grams is at least SLACK times what all but
@@ -41,10 +41,14 @@ RIDGE = 1e-2
 KNOWN, SLACK, STRAY = 0.02, 0.8, 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether there is a character of a letter category (L); number signs aren't."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def grams(text: str, present: np.ndarray) -> None:
     """Sets ``present`` (BUCKETS floats) to 1 at the hashes of the n-grams."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,7 +65,7 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
-    known: np.ndarray  # BUCKETS x languages: 1 where the language knows the n-gram
+    known: np.ndarray  # BUCKETS x languages: whether the language knows the n-gram
     floor: np.ndarray  # the least share of known n-grams, by language
 
     def fits(self, texts: list[str | None]) -> list[bool]:
@@ -69,7 +73,7 @@ class Model:
         if null, without a letter, or if no language was learned."""
         out, present = [False] * len(texts), np.zeros(BUCKETS, np.float32)
         for i, t in enumerate(texts):
-            if t and self.languages and _LETTER.search(t):
+            if self.languages and has_letter(t):
                 present[:] = 0
                 grams(t, present)
                 at = np.flatnonzero(present)
@@ -80,7 +84,7 @@ class Model:
         """The language and a score in [0, 1] for each text; ``und`` and 0 if
         null, without a letter, or if no language was learned."""
         out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        rows = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         buffer = np.zeros((ROWS, BUCKETS), np.float32)
         for at in range(0, len(rows), ROWS):
             some = rows[at : at + ROWS]
@@ -89,7 +93,7 @@ class Model:
             for k, i in enumerate(some):
                 grams(texts[i], matrix[k])
             size = np.sqrt(matrix.sum(1, keepdims=True))
-            raw = matrix @ self.weights / size + self.bias
+            raw = np.concatenate([matrix @ self.weights[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1) / size + self.bias
             best = raw.argmax(1)
             for k, i in enumerate(some):
                 out[i] = self.languages[best[k]]
@@ -102,7 +106,7 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     BUCKETS presence bits for each labelled text, unpacked a few at a time."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((BUCKETS, 0), bool), np.zeros(0))
 
     def unit(rows: np.ndarray) -> np.ndarray:
         x = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
@@ -120,7 +124,7 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     z_mean, y_mean = np.average(z, axis=0, weights=balance), np.average(y, axis=0, weights=balance)
     zc = z - z_mean
     beta = np.linalg.solve(zc.T @ (zc * balance[:, None]) + ridge * np.eye(z.shape[1]), zc.T @ ((y - y_mean) * balance[:, None]))
-    known, floor = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages))
+    known, floor = np.zeros((BUCKETS, len(languages)), bool), np.zeros(len(languages))
     for k, lang in enumerate(languages):
         own = [np.flatnonzero(np.unpackbits(np.frombuffer(packed[i], np.uint8))) for i in np.flatnonzero(label == lang)]
         held = np.bincount(np.concatenate(own), minlength=BUCKETS)
@@ -132,19 +136,15 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
 
 def train(docs: DataFrame, usable: Column) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) that are ``usable``
-    and have a language. Sampling is by the least hash of doc_id within each
-    language; at most PER_LANGUAGE presence vectors of 4 kB per language go to
-    the driver. More than MAX_LANGUAGES languages raise an error."""
-    order = F.xxhash64(F.lit(7), F.col("doc_id").cast("string"))
-    labelled = docs.filter(usable & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model's size is bounded by that number")
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        # Twice the share wanted of the hash range: the rows are few, their number is bounded below.
-        share = min(1.0, 2 * PER_LANGUAGE / n)
-        chosen |= (F.col("lang") == lang) & (F.shiftrightunsigned(order, 11) < int(share * (1 << 53)))
+    and have a language. Sampling is by the least hash of doc_id and text within
+    each language, equal rows counting once; presence vectors of 4 kB go to the
+    driver, PER_LANGUAGE per language and about FIT_ROWS in all at most."""
+    order = F.xxhash64(F.lit(7), F.col("doc_id").cast("string"), F.col("text"))
+    labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").count().collect()  # a row per language, as the model's columns
+    most = max(LEAST, min(PER_LANGUAGE, FIT_ROWS // max(1, len(counts))))
+    # Twice the share wanted of the hash range: the rows are few, their number is bounded below.
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 2 * most / r["count"]) * (1 << 53))) for r in counts], "lang string, share long")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -155,10 +155,11 @@ def train(docs: DataFrame, usable: Column) -> Model:
                 bits.append(np.packbits(present.astype(bool)).tobytes())
             yield pa.record_batch([part.column(0), part.column(1), pa.array(bits, pa.binary())], names=["o", "lang", "bits"])
 
-    sample = labelled.filter(chosen & F.col("text").isNotNull()).select(order.alias("o"), "lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(F.shiftrightunsigned(order, 11) < F.col("share"))
+    sample = sample.select(order.alias("o"), "lang", "text").dropDuplicates(["o", "lang"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "bits"))
     made = sample.mapInArrow(features, "o long, lang string, bits binary").withColumn("rank", rank)
-    rows = made.filter(F.col("rank") <= PER_LANGUAGE).orderBy("lang", "rank").collect()
+    rows = made.filter(F.col("rank") <= most).orderBy("lang", "rank").collect()
     return fit([r.bits for r in rows], [r.lang for r in rows])
 
 
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[s
     the whole text alone. An empty table gives an empty result."""
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    spark_model = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES floats at most
+    spark_model = docs.sparkSession.sparkContext.broadcast(model)  # 160 kB per language
     at = len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
