@@ -10,8 +10,10 @@ share a key are compared by a banded bit-parallel edit distance.
 Only keys and 8-byte line hashes are shuffled for the search. Keys with a single
 line are dropped, and texts are fetched for the lines left. A key under which
 over ``HOT`` lines meet is replaced by keys of two segments out of
-``EDITS + 2``, of which a close pair shares two; those finer groups are compared
-whatever their size. Groups yield a spanning forest of their links.
+``EDITS + 2``, of which a close pair shares two. A finer group that is still larger
+is dealt out in blocks of about ``HOT`` lines, and each pair of blocks is a group. So
+no task holds more than two blocks, and no pair is left out. Groups yield a spanning
+forest of their links.
 
 A line class is a connected component of equal or close lines. Its first
 occurrence, by document, then line, stays. Equal lines count at any length but
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, least_linked, stored, text_slices
+from ._common import connected_components, least_linked, small, stored, text_slices
 
 EDITS = 2
 #: Lines under SHORT characters, the empty ones, are left alone; those under EDIT_SHORT go by equality alone.
@@ -41,8 +43,6 @@ HOT = 512
 SENT = 200_000
 #: Pairs, and characters of lines, compared at once; groups of up to SMALL lines are compared pair by pair.
 PAIRS, CHARS, SMALL = 16_384, 1 << 21, 32
-#: Line hashes, and entries of removal lists, up to which a table is broadcast (under 100 MB).
-SMALL_TABLE = 1_000_000
 
 
 def line_hash(line: str) -> int:
@@ -179,13 +179,13 @@ def within_edits(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.nd
 def close_forest(groups: list[list[str]]) -> list[tuple[str, str]]:
     """(line, another of its group) for a spanning forest of the close pairs in each group."""
     out, at = [], 0
-    small = [g for g in groups if len(g) <= SMALL]
-    while at < len(small):
+    short = [g for g in groups if len(g) <= SMALL]
+    while at < len(short):
         taken, pairs, chars = [], 0, 0
-        while at < len(small) and pairs < PAIRS and chars < CHARS:
-            taken.append(small[at])
-            pairs += len(small[at]) * (len(small[at]) - 1) // 2
-            chars += sum(map(len, small[at]))
+        while at < len(short) and pairs < PAIRS and chars < CHARS:
+            taken.append(short[at])
+            pairs += len(short[at]) * (len(short[at]) - 1) // 2
+            chars += sum(map(len, short[at]))
             at += 1
         lines = [x for g in taken for x in g]
         first = np.cumsum([0] + [len(g) for g in taken])
@@ -255,35 +255,56 @@ def _long_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _met(filed: DataFrame, hot: int | None) -> DataFrame:
-    """(key, h1, hot): the rows of ``filed``, once each, whose key has several lines."""
+def _met(filed: DataFrame, hot: int) -> DataFrame:
+    """(key, h1, hot): the rows of ``filed``, once each, whose key has several lines;
+    hot, if these are over ``hot``. At most that many rows of a key are held at once."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty(0, np.int64), np.empty(0, np.int64))
+        def rows(key: np.ndarray, h: np.ndarray, over: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(key), pa.array(h), pa.array(over)], names=["key", "h1", "hot"])
 
         def done(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])] if len(key) else np.empty(0, bool)
-            key, h = key[new], h[new]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             size = np.diff(np.r_[start, len(key)])
             size = np.repeat(size, size)
-            several = size > 1
-            return pa.record_batch([pa.array(key[several]), pa.array(h[several]), pa.array(size[several] > hot if hot else np.zeros(several.sum(), bool))], names=["key", "h1", "hot"])
+            return rows(key[size > 1], h[size > 1], size[size > 1] > hot)
 
+        none = np.empty(0, np.int64)
+        rest, before, open_key = (none, none), None, None
         for batch in batches:
-            key, h = (np.concatenate(x) for x in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy())))
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if whole:
-                yield done(key[:whole], h[:whole])
-            rest = (key[whole:], h[whole:])
+            key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            new = np.r_[before != (key[0], h[0]), (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+            before = (key[-1], h[-1])
+            key, h = np.concatenate([rest[0], key[new]]), np.concatenate([rest[1], h[new]])
+            if open_key is not None:
+                # A key known to be hot: its rows go on as they come.
+                own = int(np.searchsorted(key, open_key, side="right"))
+                yield rows(key[:own], h[:own], np.ones(own, bool))
+                key, h = key[own:], h[own:]
+            if len(key):
+                open_key, whole = None, int(np.searchsorted(key, key[-1]))
+                if whole:
+                    yield done(key[:whole], h[:whole])
+                key, h = key[whole:], h[whole:]
+                if len(key) > hot:
+                    yield done(key, h)
+                    open_key, key, h = key[-1], none, none
+            rest = (key, h)
         yield done(*rest)
 
     return filed.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(meet, "key long, h1 long, hot boolean")
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast if at most SMALL_TABLE entries, else left to a shuffle."""
-    return F.broadcast(df) if n <= SMALL_TABLE else df
+def _dealt(finer: DataFrame) -> DataFrame:
+    """(key, h1) from stored ``finer`` (key, h1, hot): the rows of a hot key under the
+    keys of all pairs of blocks that their own is in."""
+    blocks = stored(finer.filter("hot").groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")), "lines-blocks")
+    own = F.pmod("h1", "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("key", F.least(own, k), F.greatest(own, k)))
+    hot = finer.filter("hot").join(small(blocks, blocks.count()), "key").select(F.explode(pairs).alias("key"), "h1")
+    return finer.filter("not hot").select("key", "h1").unionByName(hot)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -292,7 +313,7 @@ def links(docs: DataFrame) -> DataFrame:
     met = stored(_met(_filed(docs), HOT), "lines-met")
     wanted = stored(met.select("h1").distinct(), "lines-wanted")
     line = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= EDIT_SHORT).withColumn("h1", F.xxhash64("line"))
-    texts = stored(line.join(_small(wanted, wanted.count()), "h1", "left_semi").groupBy("line").agg(F.first("h1").alias("h1")), "lines-texts")
+    texts = stored(line.join(small(wanted, wanted.count()), "h1", "left_semi").groupBy("line").agg(F.first("h1").alias("h1")), "lines-texts")
 
     def refile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +321,8 @@ def links(docs: DataFrame) -> DataFrame:
             yield _long_batch({"key": np.array([k for k, _ in rows], np.uint64).view(np.int64), "h1": np.array([h for _, h in rows], np.int64)})
 
     crowded = texts.join(met.filter("hot").select("h1").distinct(), "h1", "left_semi").select("line", "h1")
-    finer = _met(crowded.mapInArrow(refile, "key long, h1 long"), None)
-    grouped = met.filter("not hot").unionByName(finer).select("key", "h1").join(texts, "h1").select("key", "line")
+    finer = stored(_met(crowded.mapInArrow(refile, "key long, h1 long"), HOT), "lines-finer")
+    grouped = met.filter("not hot").select("key", "h1").unionByName(_dealt(finer)).join(texts, "h1").select("key", "line")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, ready, waiting = None, [], [], 0
@@ -375,7 +396,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     entries = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     names = docs.columns
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    side = _small(gone.select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__h"), F.col("lines").alias("__gone")), entries)
+    side = small(gone.select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__h"), F.col("lines").alias("__gone")), entries)
     both = keyed.join(side, keyed.doc_id.eqNullSafe(side["__id"]) & (keyed["__hash"] == side["__h"]), "left").select(*names, "__gone")
     at = names.index("text")
 
