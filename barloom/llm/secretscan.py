@@ -5,28 +5,37 @@ dates, repeats, keyboard walks and brute-force spans, of the product of the
 parts' guesses. The dynamic program goes through the value once: a part ends at
 each place and begins at most ``LONGEST`` characters before, but for runs of one
 character and brute-force spans, which are carried along and may be any length.
-A value in a credential context whose cost reaches ``10 ** THRESHOLD`` guesses
-is reported with kind ``guess``.
+A value in a credential context, that is after the keyword and ``:`` or ``=``, or a
+long one after ``bearer``, whose cost reaches ``10 ** THRESHOLD`` guesses is reported
+with kind ``guess``.
+
+The words are common password words, then the ``VOCABULARY`` words that occur in most
+documents of the corpus itself, by counting all of it; a word of a single document,
+as a leaked value is, isn't one.
 
 An automaton first tells which texts can hold anything; those are searched
-whole. Nothing is shuffled, and long texts stay with their row.
+whole. Only word counts are shuffled, and long texts stay with their row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import log10
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import text_slices
 
 THRESHOLD = 8.0
 LONGEST = 24
+#: Size of the dictionary, the documents a word must be in, and words that a task counts at once.
+VOCABULARY, LEAST_DOCUMENTS, COUNTED = 30_000, 2, 500_000
 
 # Base kinds in their order, with the group and length that a match needs.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -37,7 +46,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 #: For an automaton: a text without a match here has none of the above or below.
 MAY_HOLD = r"(?i)pass|pwd|secret|token|(api|access|private)[_-]?key|credential|auth|bearer|AKIA|[0-9a-f]{24}"
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|auth|bearer)["']?(?:\x20*[:=]\x20*|\x20)["']?([^\s"'<>,;]{6,})""", re.ASCII)
+CONTEXT = re.compile(
+    r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|auth(?:orization)?)["']?\x20*[:=]\x20*["']?(?:(?i:bearer|basic)\x20+)?([^\s"'<>,;]{6,})|(?i:\bbearer)\x20+([A-Za-z0-9._~+/=-]{16,})""",
+    re.ASCII,
+)
 
 # Common password words by rank, keyboard rows, letters written as other characters.
 WORDS = (
@@ -50,8 +62,6 @@ WORDS = (
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_WORD_LENGTHS = sorted({len(w) for w in WORDS})
 _WALKS = {(a, b) for r in ROWS for a, b in zip(r + r[::-1], (r + r[::-1])[1:]) if a != b}
 _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 #: A date's guesses: days of 120 years, times ways to write one; a year's.
@@ -64,20 +74,51 @@ def _brute(c: str) -> float:
     return log10(1000)
 
 
-def _word_cost(part: str) -> float | None:
-    """Rank, times the ways to write it in capitals and look-alikes."""
-    low = part.lower()
-    plain = low.translate(LEET)
-    rank = _RANK.get(low) or _RANK.get(plain)
-    if not rank:
-        return None
-    swaps = sum(a != b for a, b in zip(low, plain)) if low not in _RANK else 0
-    upper = sum(c.isupper() for c in part)
-    case = 0.0 if not upper else log10(2) if upper in (1, len(part)) else upper * log10(2)
-    return log10(rank + 1) + case + swaps * log10(2)
+class Words:
+    """Words by rank, those of passwords first."""
+
+    def __init__(self, corpus: Iterable[str] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys((*WORDS, *corpus)))}
+        self.lengths = sorted({len(w) for w in self.rank})
+
+    def cost(self, part: str, low: str, plain: str) -> float | None:
+        """Rank, times the ways to write it in capitals and look-alikes."""
+        rank = self.rank.get(low)
+        swaps = 0
+        if not rank:
+            rank = self.rank.get(plain)
+            if not rank:
+                return None
+            swaps = sum(a != b for a, b in zip(low, plain))
+        upper = sum(map(str.isupper, part))
+        case = 0.0 if not upper else log10(2) if upper in (1, len(part)) else upper * log10(2)
+        return log10(rank + 1) + case + swaps * log10(2)
+
+
+PLAIN = Words()
+_WORD = re.compile("[a-z]{3,%d}" % LONGEST)
 
 
-def guess_cost(value: str, enough: float = float("inf")) -> float:
+def corpus_words(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The ``most`` words (3 to LONGEST letters a-z, in lower case) that occur in most
+    documents of ``docs`` (text), in LEAST_DOCUMENTS at least; ties by the alphabet."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        made = lambda: pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        for part in text_slices(batches):
+            for text in part.column(0).to_pylist():
+                total.update(set(_WORD.findall((text or "").lower())))
+            if len(total) > COUNTED:
+                yield made()
+                total.clear()
+        yield made()
+
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def guess_cost(value: str, enough: float = float("inf"), words: Words = PLAIN) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``; where the
     cost is sure to reach ``enough``, some number of at least that."""
     n = len(value)
@@ -85,7 +126,9 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
     joint = log10(2)  # each part but the first: where it begins
     run = walk = 0  # places where the current run of one character, and walk, began
     run_best = brute_best = 0.0  # least cost before the run; cost of the open brute-force span
-    low = value.lower()
+    # One character each, so that places stay.
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+    plain = low.translate(LEET)
     dates = {}
     for at in range(n):
         if value[at].isdigit() and (m := _DATE.match(value, at)):
@@ -104,8 +147,10 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
         for i in range(max(walk, j - LONGEST), j - 2):
             turns = log10(j - i)
             best = min(best, cost[i] + (joint if i else 0.0) + _WALK_COST + turns)
-        for k in _WORD_LENGTHS:
-            if k <= j and (w := _word_cost(value[j - k : j])) is not None:
+        for k in words.lengths:
+            if k > j:
+                break
+            if (w := words.cost(value[j - k : j], low[j - k : j], plain[j - k : j])) is not None:
                 best = min(best, cost[j - k] + (joint if j > k else 0.0) + w)
         for i, d in dates.get(j, ()):
             best = min(best, cost[i] + (joint if i else 0.0) + d)
@@ -116,10 +161,11 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
     return cost[n]
 
 
-def spans(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def spans(text: str, threshold: float = THRESHOLD, words: Words = PLAIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base spans (start, kind number, end) by start and kind, and guess spans (start, end)."""
     base = sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least)
-    guess = [m.span(1) for m in CONTEXT.finditer(text) if guess_cost(m.group(1), threshold) >= threshold]
+    found = [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+    guess = [(a, b) for a, b in found if guess_cost(text[a:b], threshold, words) >= threshold]
     return base, guess
 
 
@@ -128,13 +174,14 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     spans, n_guess. Spans are whole matches (guess: the value) in code points as
     kind:start:end, by start, then kind as listed, joined with commas. Null text
     is empty: no spans, the digest of nothing. Repeated rows repeat; an empty
-    table gives no rows."""
+    table gives no rows. Words are counted over all of ``docs``."""
+    words = docs.sparkSession.sparkContext.broadcast(Words(corpus_words(docs)))  # VOCABULARY words, about 2 MB
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
     none = (0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)
     kinds = [k for k, *_ in BASE]
 
     def row(text: str) -> tuple:
-        base, guess = spans(text, threshold)
+        base, guess = spans(text, threshold, words.value)
         digest = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in base)
         every = sorted(base + [(s, len(kinds), e) for s, e in guess])
         said = ",".join(f"{[*kinds, 'guess'][k]}:{s}:{e}" for s, k, e in every)
