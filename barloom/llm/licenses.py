@@ -13,8 +13,9 @@ filters first, whole texts before their blocks:
 * positional: going through a template's tokens in order, the places that
   remain bound the overlap that is still possible.
 
-Templates are a fixed, small side, so each task holds the whole prefix index;
-blocks stream past it and nothing but counts is shuffled.
+Templates, given as a table or as pairs, are the small side, up to ``MOST_TEMPLATES``,
+so each task holds the whole prefix index; blocks stream past it and nothing but counts
+is shuffled.
 """
 
 from __future__ import annotations
@@ -39,20 +40,31 @@ Templates = tuple[tuple[str, str], ...]
 # texts with the labels that the method adds.
 BASE: Templates = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 TEMPLATES: Templates = (
+    ("agpl", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4.0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 THRESHOLD = 0.9
+#: Templates that a table may hold; each task holds their words.
+MOST_TEMPLATES = 100_000
 
 #: Folds bytes: A-Z to lower case, bytes of words (all non-ASCII ones are) to
 #: themselves, others to a space; the second table keeps line ends.
@@ -131,6 +143,14 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
     return {bytes(r.word): r.n for r in counted.collect()}  # at most a row per word of the templates
 
 
+def _listed(templates: DataFrame) -> Templates:
+    """The distinct (label, text) rows of a table that have both and a word."""
+    found = templates.filter("label is not null and text is not null").select("label", "text").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(found) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return tuple(sorted((r.label, r.text) for r in found if r.text.encode().translate(_FOLD).split()))
+
+
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which the phrase stands in words that single spaces part and enclose."""
     out, needle = [], b" " + phrase + b" "
@@ -169,12 +189,14 @@ def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]], may_match
     return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(labels)), score
 
 
-def scan(docs: DataFrame, *, templates: Templates = TEMPLATES, threshold: float = THRESHOLD, base: Templates = BASE) -> DataFrame:
+def scan(docs: DataFrame, *, templates: Templates | DataFrame = TEMPLATES, threshold: float = THRESHOLD, base: Templates = BASE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word,
     base_labels, labels, score. The score is 1 where a base phrase stands, else
     the largest containment of a template in a line or run of words that meets the
     threshold, or 0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
-    table gives no rows. A label is given once however often it is found."""
+    table gives no rows. A label is given once however often it is found. ``templates``
+    as a table: (label, text), of which rows without either or without a word say nothing."""
+    templates = _listed(templates) if isinstance(templates, DataFrame) else templates
     vocabulary = frozenset(w for _, text in templates for w in text.encode().translate(_FOLD).split())
     index = Index.build(templates, threshold, frequencies(docs, vocabulary))
     phrases = [(phrase.encode(), label) for phrase, label in base]

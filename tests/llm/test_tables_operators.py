@@ -141,6 +141,17 @@ def test_repeats_change_nothing_and_runs_keep_the_order(spark):
     assert "".join(r.rendered for r in runs) == "".join(f"<|{'assistant' if who == 'a' else 'user name=' + who}|>\n{text}<|end|>\n" for _, _, who, text in sorted(crowd))
 
 
+def test_crowded_parts_equal_the_sql(spark):
+    rows = [(1, t % 300, f"s{t % 5}", f"line {t}") for t in range(3000)] + [(2, 0, "a", f"x{k}") for k in range(1024)] + [(3, 1, "b", f"y{k}") for k in range(1025)] + [(4, 7, "c", "same")] * 3000
+    df = spark.createDataFrame(rows, TURNS)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    got = chat.rotate(df)
+    names = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({chat.ROTATE_SQL})").fetchall()
+    assert normal(got.select(*names).collect()) == normal(want)
+
+
 def test_rotation_odd_rows(spark):
     rows = [(None, 1, "a", "x"), (None, 1, "b", "y"), (2, None, "a", "p"), (2, None, "b", "q"), (3, 0, "system", "s"), (4, 0, "a", "long " * 50_000)]
     got = chat.rotate(spark.createDataFrame(rows, TURNS)).collect()
@@ -199,6 +210,19 @@ def test_prefixes_follow_the_seeded_order(spark, share):
             assert taken.get(r.doc_id, 0) == whole + (run <= rest)
 
 
+def test_rows_of_one_id_and_narrow_ranges_equal_the_sql(spark, monkeypatch):
+    """One doc_id holds a third of a leaf; ranges are cut down to single hashes."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rows = [(5 if k % 3 == 0 else k, "w " * (1 + k % 9), "en" if k % 4 else "de", f"src{k % 3}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    got = mixing.mix(df)
+    names = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({mixing.mix_sql()})").fetchall()
+    assert normal(got.select(*names).collect()) == normal(want) and want
+
+
 def test_mixing_odd_rows(spark):
     kind = "doc_id long, text string, lang string, source string"
     rows = [(1, None, None, None), (2, "", "en", None), (None, "a b", "en", "s"), (3, "a b", "en", "s"), (3, "a b", "en", "s")]

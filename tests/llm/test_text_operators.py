@@ -276,6 +276,27 @@ def test_language_id_odd_rows(odd, empty, docs):
     assert {(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def test_number_signs_are_no_letters(docs, spark):
+    texts_ = {-1: "½ ² ٣ ⅷ ①", -2: "½ é", -3: "__ 12 —", -4: "字"}
+    every = docs.unionByName(spark.createDataFrame([(k, t, None, "s", 1) for k, t in texts_.items()], docs.schema))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(every).filter("doc_id < 0").collect()}
+    assert {k for k, v in got.items() if v == "und"} == {-1, -3}
+
+
+def test_any_number_of_languages_and_rows_that_share_an_id(spark):
+    """More languages than are scored at once, rows under one doc_id, and none."""
+    rnd = random.Random(2)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    rows = []
+    for k in range(langid.COLUMNS + 6):
+        own = alphabet[20 * k : 20 * k + 20]
+        rows += [((None if k == 1 else 5), "".join(rnd.choice(own) for _ in range(40)), f"l{k:03}") for _ in range(12)]
+        rows += [(5, rows[-1][1], f"l{k:03}")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df, F.lit(True))).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
 def test_folded_weights_equal_the_kernel_form():
     """Scores are K(x, landmarks) times coefficients that a plain solution gives."""
     rnd = np.random.default_rng(0)
@@ -324,7 +345,7 @@ def brute_cost(value):
     @cache
     def part(s):
         costs = [sum(secretscan._brute(c) for c in s)]
-        if (w := secretscan._word_cost(s)) is not None:
+        if (w := secretscan.PLAIN.cost(s, s.lower(), s.lower().translate(secretscan.LEET))) is not None:
             costs.append(w)
         if m := secretscan._DATE.fullmatch(s):
             costs.append(secretscan._YEAR_COST if len(m[0]) == 4 else secretscan._DATE_COST)
@@ -352,6 +373,27 @@ def test_guess_cost_tells_random_from_weak():
     assert secretscan.guess_cost("q8Z" * 100_000, 8.0) >= 8.0
 
 
+PROSE = """The token economy grows. A secret gathering was held, and we pass through mountains.
+Bearer instruments are rare; a bearer of internationalization. My password is important to me.
+The secret: gathering mushrooms. Token: important. Authorization: necessary, auth=required."""
+
+
+def test_prose_holds_no_secrets(docs, spark):
+    told = [(-k, line) for k, line in enumerate(PROSE.split("\n"), 1)]
+    words = [(-10 - k, "gathering mushrooms is important; internationalization necessary, authorization required") for k in range(2)]
+    weak = [(-20, "password: hunter2mountains"), (-21, "Authorization: Bearer q8Zk31vTt9PwLm02"), (-22, "bearer q8Zk31vTt9PwLm02xx"), (-23, 'pwd = "vR7!kq_Z2w"'), (-24, "pass q8Zk31vTt9PwLm02")]
+    made = spark.createDataFrame(told + words + weak, "doc_id long, text string")
+    got = {r.doc_id: (r.n_guess, r.spans) for r in secretscan.scan(docs.select("doc_id", "text").unionByName(made)).collect()}
+    assert all(got[d][0] == 0 for d, _ in told + words)
+    assert {d: got[d][0] for d, _ in weak} == {-20: 0, -21: 1, -22: 1, -23: 1, -24: 0}
+
+
+def test_dictionary_is_what_most_documents_hold(spark):
+    df = spark.createDataFrame([(1, "Beta alpha beta zz leakedvalue leakedvalue"), (2, "alpha BETA gamma"), (3, None), (4, "beta gamma alphabeta")], "doc_id long, text string")
+    assert secretscan.corpus_words(df) == ["beta", "alpha", "gamma"]
+    assert secretscan.corpus_words(df, 1) == ["beta"]
+
+
 def test_secrets_odd_rows(odd, empty):
     got = secretscan.scan(odd).collect()
     assert len(got) == len(ODD)
@@ -395,6 +437,44 @@ def test_shards_are_tar_files_and_headers_suffice(docs, tmp_path):
     assert heads and all((h.width, h.bits) == (576, 8) for h in heads)
 
 
+def test_copies_are_stored_once_and_rows_tell_where(spark, tmp_path):
+    from barloom.llm._common import stored
+
+    rows = [(k, f"text {k % 7} " * 300) for k in range(60)] + [(None, "text 3 " * 300), (None, "text 9 " * 300), (None, "text 9 " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = media.media_columns(df).collect()
+    assert len(got) == len(rows) and len({r.payload_sha256 for r in got}) == len({(r.shard, r.offset) for r in got}) == 8
+    folder = f"file://{tmp_path}"
+    made = stored(media.write_shards(df, folder, stored(media.copies(df), "test-copies")), "test-rows")
+    # One text has no owner: its two rows have no doc_id.
+    assert 8 <= made.filter("shard is not null").select("digest", "shard", "offset").distinct().count() <= 9
+
+
+def test_a_repeated_task_finds_its_shard(tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}"
+    shards = [media._Shard(folder) for _ in range(3)]
+    for s in shards:
+        s.add(b"d" * 32, media.payload(b"abc"))
+    name = shards[0].close()
+    assert shards[1].close() == name
+    # A file system whose rename replaces nothing, and another attempt that comes between.
+    real, calls = shards[2].files, []
+
+    class Strict:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def get_file_info(self, path):
+            calls.append(path)
+            return real.get_file_info(path if len(calls) > 1 else path + ".absent")
+
+        def move(self, a, b):
+            raise OSError("exists")
+
+    shards[2].files = Strict()
+    assert shards[2].close() == name and [p.name for p in tmp_path.iterdir()] == [name]
+
+
 def test_damaged_media_is_an_error():
     data = bytearray(media.to_png(media.payload(b"abc")))
     data[-20] ^= 1
@@ -450,6 +530,15 @@ def test_wrapped_license_sentences_are_found(spark):
     assert {r.doc_id: r.labels for r in got} == {0: "mit", 1: "bsd", 2: "gpl,gpl-3.0", 3: "isc", 4: "mit", 5: ""}
 
 
+def test_templates_come_as_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("house", "our own house license grants you the right to read"), ("house", "our own house license grants you the right to read"), (None, "x"), ("empty", " - "), ("y", None)], "label string, text string")
+    df = spark.createDataFrame([(1, "# Our own house license grants you\n# the right to read."), (2, MIT)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df, templates=table).collect()} == {1: "house", 2: ""}
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 1)
+    with pytest.raises(ValueError):
+        licenses.scan(df, templates=table)
+
+
 def test_licenses_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert len(got) == len(ODD) and [r.n_words for r in got if r.doc_id == 1] == [0]
@@ -504,7 +593,7 @@ def test_every_close_pair_shares_a_key_and_only_close_pairs_pass(some_lines):
             assert set(lines.keys(x)) & set(lines.keys(y)) and lines.fine_keys(x) & lines.fine_keys(y)
 
 
-@pytest.mark.parametrize("hot", [lines.HOT, 3])
+@pytest.mark.parametrize("hot", [lines.HOT, 3, 1])
 def test_line_dedup_equals_brute_force(spark, some_lines, monkeypatch, hot):
     """Also with so low a bound that many groups go by finer keys."""
     monkeypatch.setattr(lines, "HOT", hot)
@@ -535,6 +624,18 @@ def test_line_dedup_equals_brute_force(spark, some_lines, monkeypatch, hot):
     assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == want
 
 
+def test_hot_keys_are_told_across_batches(spark):
+    """Rows of a key stream past in small batches, repeats count once, no key is lost."""
+    rnd = random.Random(1)
+    rows = [(k, h) for k, n in ((1, 1), (2, 5), (3, 50), (4, 2), (5, 400), (6, 1)) for h in range(n) for _ in range(rnd.choice((1, 3)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in lines._met(spark.createDataFrame(rows, "key long, h1 long"), 20).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [(k, h, n > 20) for k, n in ((2, 5), (3, 50), (4, 2), (5, 400)) for h in range(n)]
+
+
 def test_short_lines_go_by_equality_and_from_a_low_floor_by_edits(spark):
     rows = [(1, "Les.\n\nAll rights reserved.\nx\nnear enough a"), (2, "x\nLas.\nLes.\n\nAll rights reserved."), (3, "near enough bc\nAll right reserved.\nLes.\n own")]
     got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
