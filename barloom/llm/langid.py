@@ -11,7 +11,7 @@ texts are scored as a batch: presence matrix times weights.
 Only the fit is sampled: at most ``PER_LANGUAGE`` documents of each language and
 about ``FIT_ROWS`` in all, those with the least hash of doc_id and text, whole
 texts. Every document is predicted from its whole text. There is no limit to the
-number of languages; a model takes 160 kB for each and is scored a few at a time.
+number of languages; a model takes 256 kB for each and is scored a few at a time.
 """
 
 from __future__ import annotations
@@ -65,40 +65,31 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
-    known: np.ndarray  # BUCKETS x languages: whether the language knows the n-gram
+    known: np.ndarray  # BUCKETS x languages: 1 where the language knows the n-gram
     floor: np.ndarray  # the least share of known n-grams, by language
 
-    def fits(self, texts: list[str | None]) -> list[bool]:
-        """Whether some language knows enough of the n-grams of each text; not
-        if null, without a letter, or if no language was learned."""
-        out, present = [False] * len(texts), np.zeros(BUCKETS, np.float32)
-        for i, t in enumerate(texts):
-            if self.languages and has_letter(t):
-                present[:] = 0
-                grams(t, present)
-                at = np.flatnonzero(present)
-                out[i] = bool((self.known[at].mean(0) >= self.floor).any())
-        return out
-
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language and a score in [0, 1] for each text; ``und`` and 0 if
-        null, without a letter, or if no language was learned."""
-        out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language, a score in [0, 1] for each text, and whether some language
+        knows enough of its n-grams; ``und``, 0 and false if null, without a letter,
+        or if no language was learned."""
+        out, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
-        buffer = np.zeros((ROWS, BUCKETS), np.float32)
+        buffer = np.zeros((min(ROWS, len(rows)), BUCKETS), np.float32)
         for at in range(0, len(rows), ROWS):
             some = rows[at : at + ROWS]
             matrix = buffer[: len(some)]
             matrix[:] = 0
             for k, i in enumerate(some):
                 grams(texts[i], matrix[k])
-            size = np.sqrt(matrix.sum(1, keepdims=True))
-            raw = np.concatenate([matrix @ self.weights[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1) / size + self.bias
+            count = matrix.sum(1, keepdims=True)
+            raw = np.concatenate([matrix @ self.weights[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1) / np.sqrt(count) + self.bias
             best = raw.argmax(1)
             for k, i in enumerate(some):
                 out[i] = self.languages[best[k]]
             scores[some] = np.clip((raw[np.arange(len(some)), best] + 1) / 2, 0, 1)
-        return out, scores
+            known = np.concatenate([matrix @ self.known[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1)
+            fits[some] = (known / count >= self.floor).any(1)
+        return out, scores, fits
 
 
 def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -106,7 +97,7 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     BUCKETS presence bits for each labelled text, unpacked a few at a time."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((BUCKETS, 0), bool), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
 
     def unit(rows: np.ndarray) -> np.ndarray:
         x = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
@@ -124,7 +115,7 @@ def fit(packed: list[bytes], labels: list[str], *, landmarks: int = LANDMARKS, r
     z_mean, y_mean = np.average(z, axis=0, weights=balance), np.average(y, axis=0, weights=balance)
     zc = z - z_mean
     beta = np.linalg.solve(zc.T @ (zc * balance[:, None]) + ridge * np.eye(z.shape[1]), zc.T @ ((y - y_mean) * balance[:, None]))
-    known, floor = np.zeros((BUCKETS, len(languages)), bool), np.zeros(len(languages))
+    known, floor = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages))
     for k, lang in enumerate(languages):
         own = [np.flatnonzero(np.unpackbits(np.frombuffer(packed[i], np.uint8))) for i in np.flatnonzero(label == lang)]
         held = np.bincount(np.concatenate(own), minlength=BUCKETS)
@@ -163,34 +154,24 @@ def train(docs: DataFrame, usable: Column) -> Model:
     return fit([r.bits for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[str] | None = None, only_fitting: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with lang_pred and score, from
-    the whole text alone. An empty table gives an empty result."""
+    the whole text alone; ``only_fitting``: of the rows that fit some language of the
+    model. An empty table gives an empty result."""
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    spark_model = docs.sparkSession.sparkContext.broadcast(model)  # 160 kB per language
+    spark_model = docs.sparkSession.sparkContext.broadcast(model)  # 256 kB per language
     at = len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
-            lang, value = spark_model.value.score(part.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+            lang, value, fits = spark_model.value.score(part.column(at).to_pylist())
+            made = pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+            yield made.filter(pa.array(fits)) if only_fitting else made
 
     return docs.select(*keep, F.col(column).alias("__text")).mapInArrow(score, schema)
 
 
-def fitting(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text fits some language of the model."""
-    spark_model = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def fit_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            yield part.filter(pa.array(spark_model.value.fits(part.column(at).to_pylist()), pa.bool_()))
-
-    return docs.mapInArrow(fit_only, docs.schema)
-
-
 def held_out() -> Column:
     """Whether crc32 of doc_id as text leaves 2 when divided by 4; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2

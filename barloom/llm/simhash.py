@@ -343,6 +343,7 @@ def _keyed(prints: DataFrame, names: list[str], radius: int, bits: np.ndarray |
                 key = np.stack([own[:, b].astype(np.int64) @ weight + (t << width) for t, b in enumerate(bits)], axis=1)
                 row = pa.array(np.repeat(np.arange(len(raw)), tables))
                 yield pa.record_batch([pa.array(key.ravel()), *(c.take(row) for c in part.columns)], names=["key", *names])
+        pa.default_memory_pool().release_unused()
 
     return prints.select(*names).mapInArrow(file, "key long, " + ", ".join(f"{n} long" for n in names))
 
@@ -390,6 +391,7 @@ def links(prints: DataFrame, radius: int, similarity: float | None = None) -> Da
                 rest = [key[whole:], fp[whole:]]
         if rest:
             yield done(*rest)
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"{s}_{n} long" for s in "ab" for n in names) + ", d long"
     made = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema)
@@ -444,45 +446,33 @@ def _by_document(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles): the sorted distinct shingle hashes, packed, of the texts of
-    ``wanted`` (node, doc_id, h)."""
+    """(node, shingles): the distinct shingle hashes of the texts of ``wanted`` (node, doc_id, h)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in utf8(part.column(1))]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t, shingle_words)).view(np.int64) for t in utf8(part.column(1))]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
-    return found.mapInArrow(make, "node string, shingles binary").dropDuplicates(["node"])
+    return found.mapInArrow(make, "node string, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two packed sets; equal ones, empty ones too, have 1."""
-    if a == b:
-        return 1.0
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return 0.0
-    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return shared / (len(x) + len(y) - shared)
+def jaccard(x: str, y: str) -> Column:
+    """Of two array columns without repeats; two empty ones have 1."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(shared, F.size(x) + F.size(y) - shared), F.lit(1.0))
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``edges`` (a, b, ...) whose ends' ``sets`` (node, shingles) reach the similarity.
     The set of a text with many links is dealt to several tasks."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
     fans = edges.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")).filter("parts > 1")
     fans = stored(fans, "simhash-fans")
     fan = small(fans, fans.count())
     dealt = edges.join(fan, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     theirs = sets.join(fan, sets.node == fan.b, "left").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("shingles").alias("y"))
     both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(theirs, ["b", "part"])
-    return both.select("a", "b", "x", "y").mapInArrow(keep, "a string, b string")
+    return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
 
 
 def similar(docs: DataFrame, distinct: DataFrame, *, shingle_words: int, similarity: float) -> DataFrame:
