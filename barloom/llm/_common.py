@@ -3,6 +3,7 @@ Arrow batches, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker process, which outlives its task, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``limit`` bytes of text (or one row)."""
     for batch in batches:
@@ -90,7 +99,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -205,9 +204,9 @@ class _Tree:
         return None
 
 
-def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
+def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Best-fit decreasing on {length: count}. A row (length, first, last, bin,
-    each, room) says: the pieces of that length with ranks first to last - 1 go,
+    each, room), in order of length and first, says: the pieces of that length with ranks first to last - 1 go,
     ``each`` at a time, to the sequences from ``bin`` on, which have ``room`` left."""
     tree, open_bins, rows, bins = _Tree(capacity), {}, [], 0
     for length in sorted(histogram, reverse=True):
@@ -236,7 +235,7 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
                         tree.put(now, True)
                     open_bins[now].append((at, n))
             rank += placed + left
-    return pd.DataFrame(rows, columns=["length", "first", "last", "bin", "each", "room"]).astype("int64")
+    return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
 def place(found: DataFrame, *, capacity: int) -> DataFrame:
@@ -245,22 +244,26 @@ def place(found: DataFrame, *, capacity: int) -> DataFrame:
     counted = found.groupBy("length", "salt").count()
     # At most a row per length goes to the driver, so its size has a fixed bound.
     histogram = {r.length: r["count"] for r in counted.groupBy("length").agg(F.sum("count").alias("count")).collect()}
-    steps = plan(histogram, capacity).sort_values(["length", "first"])
     bound = 1 << 48
-    key = spark.sparkContext.broadcast((steps.length * bound + steps["first"]).to_numpy())
-    step = spark.sparkContext.broadcast(steps.to_numpy())
+    step = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     before = counted.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).drop("count")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")) - 1
     ranked = found.withColumn("rank", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def spot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        x = step.value[np.searchsorted(key.value, length.to_numpy() * bound + rank.to_numpy(), side="right") - 1]
-        t = rank.to_numpy() - x[:, 1]
-        return pd.DataFrame({"sequence_id": x[:, 3] + t // x[:, 4], "offset": capacity - x[:, 5] + t % x[:, 4] * length.to_numpy()})
+    kept = [c for c in found.columns if c not in ("uid", "salt")]
 
-    return ranked.withColumn("spot", spot("length", "rank")).select(*[c for c in found.columns if c not in ("uid", "salt")], "spot.sequence_id", "spot.offset")
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = step.value[:, 0] * bound + step.value[:, 1]
+        for batch in batches:
+            length, rank = (batch.column(len(kept) + k).to_numpy() for k in range(2))
+            x = step.value[np.searchsorted(key, length * bound + rank, side="right") - 1]
+            t = rank - x[:, 1]
+            cols = [*batch.columns[: len(kept)], pa.array(x[:, 3] + t // x[:, 4]), pa.array(capacity - x[:, 5] + t % x[:, 4] * length)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "sequence_id", "offset"])
+
+    ordered = ranked.select(*kept, F.col("length").alias("__length"), "rank")
+    return ordered.mapInArrow(spot, found.select(*kept).schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def pack(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

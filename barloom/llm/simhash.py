@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import connected_components, small, stored, text_slices, utf8
+from ._common import connected_components, give_back, small, stored, text_slices, utf8
 
 SEED = 42
 #: From this size on, a bucket is compared by breadth-first search over its own planes.
@@ -343,7 +343,7 @@ def _keyed(prints: DataFrame, names: list[str], radius: int, bits: np.ndarray |
                 key = np.stack([own[:, b].astype(np.int64) @ weight + (t << width) for t, b in enumerate(bits)], axis=1)
                 row = pa.array(np.repeat(np.arange(len(raw)), tables))
                 yield pa.record_batch([pa.array(key.ravel()), *(c.take(row) for c in part.columns)], names=["key", *names])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return prints.select(*names).mapInArrow(file, "key long, " + ", ".join(f"{n} long" for n in names))
 
@@ -391,7 +391,7 @@ def links(prints: DataFrame, radius: int, similarity: float | None = None) -> Da
                 rest = [key[whole:], fp[whole:]]
         if rest:
             yield done(*rest)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     schema = ", ".join(f"{s}_{n} long" for s in "ab" for n in names) + ", d long"
     made = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema)

@@ -238,11 +238,11 @@ def test_plan_equals_one_by_one_best_fit(seed):
             else:
                 rooms[rooms.index(best)] -= x
         filled = {}
-        for s in steps.itertuples():
-            for k in range(s.last - s.first):
-                at = capacity - s.room + k % s.each * s.length
-                assert filled.get(s.bin + k // s.each, 0) == at
-                filled[s.bin + k // s.each] = at + s.length
+        for length, first, last, at_bin, each, room in sorted(steps.tolist(), key=lambda s: (-s[0], s[1])):
+            for k in range(last - first):
+                at = capacity - room + k % each * length
+                assert filled.get(at_bin + k // each, 0) == at
+                filled[at_bin + k // each] = at + length
         assert sorted(capacity - v for v in filled.values()) == sorted(rooms)
 
 
