@@ -1,7 +1,8 @@
 """Rolling functions as Columns over a symbol's rows in order of time.
 
-Each takes a column name, a window length in rows and returns a Column; on a
-dense grid (see operators.panel) the length counts the panel's timestamps.
+Each takes a column name, a window length in rows and returns a Column. With
+``number``, the name of a column that numbers timestamps (see operators.panel), the
+length counts timestamps instead, whether the symbol has a row at each or not.
 """
 
 from __future__ import annotations
@@ -10,13 +11,18 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def ordered(by: tuple[str, ...] = ("symbol",), order: str = "ts") -> WindowSpec:
-    return Window.partitionBy(*by).orderBy(order)
+def ordered(by: tuple[str, ...] = ("symbol",), order: str = "ts", number: str | None = None) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(number or order)
+
+
+def _between(first: int, last: int, **how) -> WindowSpec:
+    w = ordered(**how)
+    return w.rangeBetween(first, last) if how.get("number") else w.rowsBetween(first, last)
 
 
 def rows(n: int, **how) -> WindowSpec:
     """The current row and the n - 1 before."""
-    return ordered(**how).rowsBetween(-(n - 1), 0)
+    return _between(-(n - 1), 0, **how)
 
 
 def _enough(value: Column, x: Column, w: WindowSpec, least: int) -> Column:
@@ -55,6 +61,9 @@ def filled(x: str | Column, **how) -> Column:
 
 
 def lag(x: str | Column, n: int = 1, **how) -> Column:
+    """x n rows back, or with negative n ahead."""
+    if how.get("number"):
+        return F.max(_col(x)).over(_between(-n, -n, **how))
     return F.lag(_col(x), n).over(ordered(**how))
 
 
@@ -63,9 +72,9 @@ def diff(x: str | Column, n: int, **how) -> Column:
     return _col(x) - lag(x, n, **how)
 
 
-def change(filled_x: str, n: int, **how) -> Column:
-    """Relative change over n rows of a column that was filled before."""
-    return F.try_divide(F.col(filled_x), lag(filled_x, n, **how)) - 1
+def change(x: str | Column, n: int, **how) -> Column:
+    """Relative change over n rows, nulls taking the last value before."""
+    return F.try_divide(filled(x, **how), F.last(_col(x), ignorenulls=True).over(_between(Window.unboundedPreceding, -n, **how))) - 1
 
 
 def rank(x: str | Column, n: int, **how) -> Column:

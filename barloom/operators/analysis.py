@@ -11,16 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import every_nth, grid
+from ..functions import rolling
+from ..sources.stored import stored
+from .panel import NUMBER, every_nth, numbered
 
 KEYS = ("factor", "ts", "symbol")
 
 
 def forward_returns(prices: DataFrame, periods: list[int]) -> DataFrame:
-    """(ts, symbol, ret_<p>...): p[t+n] / p[t] - 1 on the price grid, nothing filled."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    full = grid(prices.select("ts", "symbol", "close"))
-    return full.select("ts", "symbol", *[(F.try_divide(F.lead("close", p).over(w), F.col("close")) - 1).alias(f"ret_{p}") for p in periods])
+    """(ts, symbol, ret_<p>...): p[t+n] / p[t] - 1 by the panel's timestamps, nothing filled."""
+    full = numbered(prices.select("ts", "symbol", "close"))
+    return full.select("ts", "symbol", *[(F.try_divide(rolling.lag("close", -p, number=NUMBER), F.col("close")) - 1).alias(f"ret_{p}") for p in periods])
 
 
 def equal_count_bin(x: str, by: list[str], bins: int) -> Column:
@@ -56,7 +57,7 @@ def clean(factors: DataFrame, prices: DataFrame, *, periods: list[int], quantile
     else:
         # Counting needs a key's rows together only as sums: a row per factor, joined back.
         lost = joined.groupBy("factor").agg((1 - F.avg(sound.cast("double"))).alias("__loss"))
-        joined = joined.join(F.broadcast(lost), "factor").filter(F.when(F.col("__loss") > max_loss, F.raise_error(F.concat(F.lit("too much of a factor is lost: "), "factor"))).otherwise(F.lit(True)).cast("boolean")).drop("__loss")
+        joined = joined.join(lost, "factor").filter(F.when(F.col("__loss") > max_loss, F.raise_error(F.concat(F.lit("too much of a factor is lost: "), "factor"))).otherwise(F.lit(True)).cast("boolean")).drop("__loss")
     kept = joined.filter(sound)
     binned = equal_width_bin("value", ["factor", "ts"], bins) if bins else equal_count_bin("value", ["factor", "ts"], quantiles)
     return kept.withColumn("quantile", binned.cast("int"))
@@ -128,8 +129,8 @@ class Analysis:
 
 
 def analyze(factors: DataFrame, prices: DataFrame, *, periods: list[int], **how) -> Analysis:
-    """All of the above for all factors at once; the cleaned data are kept for reuse."""
-    data = clean(factors, prices, periods=periods, **how).persist()
+    """All of the above for all factors at once; the cleaned data are stored, as every result comes from them."""
+    data = stored(clean(factors, prices, periods=periods, **how), "analysis-data")
     ic = rank_ic(data, periods)
     returns = quantile_returns(data, periods)
     return Analysis(data, ic, cumulative_ic(ic), ic_summary(ic), returns, quantile_spread(returns, periods), quantile_turnover(data, periods[0]))

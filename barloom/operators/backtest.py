@@ -19,7 +19,7 @@ def leg_weights(data: DataFrame, *, long_quantile: int | None = None, short_quan
     shorts; the long leg is the highest quantile of all dates, unless given, the
     short leg 1. A symbol in both legs has a row in each."""
     top = data.groupBy(*keys).agg((F.lit(long_quantile) if long_quantile else F.max("quantile")).alias("__long"))
-    seen = data.join(F.broadcast(top), list(keys))
+    seen = data.join(top, list(keys))
     legs = F.array(F.when(F.col("quantile") == F.col("__long"), F.lit("long")), F.when(F.col("quantile") == (short_quantile or 1), F.lit("short")))
     rows = seen.select(*keys, "ts", "symbol", F.explode(F.array_compact(legs)).alias("leg"))
     n = F.count("*").over(Window.partitionBy(*keys, "ts", "leg"))
@@ -31,66 +31,79 @@ def _dates(data: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return data.select(*keys, "ts").distinct().withColumn("k", F.row_number().over(w)).withColumn("next_ts", F.lead("ts").over(w))
 
 
-def turnover(weights: DataFrame, dates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, k, turnover): summed changes of the target weights since the date before;
-    the first date changes from nothing. Dates on which all was sold count, too."""
-    net = weights.groupBy(*keys, "ts", "symbol").agg(F.sum("weight").alias("w")).join(dates.select(*keys, "ts", "k"), [*keys, "ts"])
-    change = net.select(*keys, "k", "symbol", "w").unionByName(net.select(*keys, (F.col("k") + 1).alias("k"), "symbol", (-F.col("w")).alias("w")))
-    return change.groupBy(*keys, "k", "symbol").agg(F.sum("w").alias("d")).groupBy(*keys, "k").agg(F.sum(F.abs("d")).alias("turnover"))
-
-
-def leg_returns(weights: DataFrame, prices: DataFrame, dates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts, long_return, short_return): the mean return from a date to the next
-    of a leg's symbols that have both prices; 0 without any."""
-    p = prices.select("ts", "symbol", F.col("close").alias("p0"))
-    held = weights.join(dates.filter("next_ts is not null"), [*keys, "ts"]).join(p, ["ts", "symbol"]).join(p.select(F.col("ts").alias("next_ts"), "symbol", F.col("p0").alias("p1")), ["next_ts", "symbol"])
-    r = F.try_divide("p1", "p0") - 1
-    mean = lambda leg: F.avg(F.when(F.col("leg") == leg, r))
-    return held.groupBy(*keys, "ts").agg(mean("long").alias("long_return"), mean("short").alias("short_return"))
-
-
-def weighted_returns(weights: DataFrame, prices: DataFrame, dates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts, gross): summed weight times return, for weights of any kind."""
-    p = prices.select("ts", "symbol", F.col("close").alias("p0"))
-    held = weights.join(dates.filter("next_ts is not null"), [*keys, "ts"]).join(p, ["ts", "symbol"]).join(p.select(F.col("ts").alias("next_ts"), "symbol", F.col("p0").alias("p1")), ["next_ts", "symbol"])
-    return held.groupBy(*keys, "ts").agg(F.sum(F.col("weight") * (F.try_divide("p1", "p0") - 1)).alias("gross"))
-
-
-def _period_rows(dates: DataFrame, gross: DataFrame, turned: DataFrame, bps: Column, keys: tuple[str, ...]) -> DataFrame:
-    rows = dates.filter("next_ts is not null").join(gross, [*keys, "ts"], "left").join(turned, [*keys, "k"], "left")
-    rows = rows.withColumns({"gross": F.coalesce("gross", F.lit(0.0)), "turnover": F.coalesce("turnover", F.lit(0.0))})
-    cost = F.col("turnover") * bps / 10_000
-    return rows.withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost"))
+def _per_date(held: DataFrame, prices: DataFrame, dates: DataFrame, keys: tuple[str, ...], **figures: Column) -> DataFrame:
+    """(keys, k, turnover, figures) from ``held`` (keys, ts, symbol, weight, ...), a row per
+    symbol: one pass over the positions. A row tells its date what it changed against the
+    date before, and the next date, if the symbol isn't held there, what was sold.
+    ``figures`` aggregate over ``weight``, ``r``, the return until the next date where
+    both prices are there, and held's other columns; rows of what was sold have nulls there."""
+    p0 = prices.select("ts", "symbol", F.col("close").alias("p0"))
+    p1 = prices.select(F.col("ts").alias("next_ts"), "symbol", F.col("close").alias("p1"))
+    rows = held.join(dates, [*keys, "ts"]).join(p0, ["ts", "symbol"], "left").join(p1, ["next_ts", "symbol"], "left").withColumn("r", F.try_divide("p1", "p0") - 1)
+    w = Window.partitionBy(*keys, "symbol").orderBy("k")
+    before = F.when(F.lag("k").over(w) == F.col("k") - 1, F.lag("weight").over(w)).otherwise(0.0)
+    stays = F.coalesce(F.lead("k").over(w) == F.col("k") + 1, F.lit(False))
+    rows = rows.withColumns({"__before": before, "__stays": stays})
+    other = [c for c in held.columns if c not in (*keys, "ts", "symbol", "weight")]
+    own = F.struct(F.col("k").alias("k"), F.abs(F.col("weight") - F.col("__before")).alias("change"), "weight", "r", *other)
+    kinds = dict(held.dtypes)
+    sold = F.struct((F.col("k") + 1).alias("k"), F.abs("weight").alias("change"), *[F.lit(None).cast(t).alias(c) for c, t in (("weight", "double"), ("r", "double"), *((c, kinds[c]) for c in other))])
+    moves = rows.select(*keys, F.explode(F.when(F.col("__stays"), F.array(own)).otherwise(F.array(own, sold))).alias("m")).select(*keys, "m.*")
+    return moves.groupBy(*keys, "k").agg(F.sum("change").alias("turnover"), *[f.alias(n) for n, f in figures.items()])
+
+
+def _period_rows(dates: DataFrame, found: DataFrame, bps: float, keys: tuple[str, ...]) -> DataFrame:
+    """A row for each date that has a next one; a date on which nothing is held earns and costs nothing."""
+    figures = [c for c in found.columns if c not in (*keys, "k")]
+    rows = dates.filter("next_ts is not null").join(found, [*keys, "k"], "left").fillna(0.0, figures)
+    gross = F.col("gross") if "gross" in figures else F.col("long_return") - F.col("short_return")
+    rows = rows.withColumn("gross", gross).withColumn("cost", F.col("turnover") * bps / 10_000)
+    return rows.withColumn("net", F.col("gross") - F.col("cost"))
 
 
 def long_short(data: DataFrame, prices: DataFrame, *, cost_bps: float = 0.0, long_quantile: int | None = None, short_quantile: int | None = None, signal_lag: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ts, next_ts, k, long_return, short_return, gross, turnover, cost, net): a
-    row for each of the N - 1 periods between N dates. ``signal_lag`` trades on the
-    quantiles of so many dates before."""
+    row for each of the N - 1 periods between N dates. Turnover sums the changes of
+    target weights since the date before, the first date's from nothing; a leg's return
+    is the mean over its symbols that have both prices, 0 without any. ``signal_lag``
+    trades on the quantiles of so many dates before."""
     dates = _dates(data, keys)
     if signal_lag:
         moved = dates.select(*keys, (F.col("k") - signal_lag).alias("k"), F.col("ts").alias("moved"))
         data = data.join(dates.drop("next_ts").join(moved, [*keys, "k"]), [*keys, "ts"]).withColumn("ts", F.col("moved")).drop("k", "moved")
-    weights = leg_weights(data, long_quantile=long_quantile, short_quantile=short_quantile, keys=keys)
-    legs = leg_returns(weights, prices, dates, keys).withColumns({"long_return": F.coalesce("long_return", F.lit(0.0)), "short_return": F.coalesce("short_return", F.lit(0.0))})
-    rows = _period_rows(dates, legs.withColumn("gross", F.col("long_return") - F.col("short_return")), turnover(weights, dates, keys), F.lit(cost_bps), keys)
-    return rows.fillna(0.0, ["long_return", "short_return"]).select(*keys, "ts", "next_ts", "k", "long_return", "short_return", "gross", "turnover", "cost", "net")
+    top = F.lit(long_quantile) if long_quantile else F.col("__long")
+    seen = data.select(*keys, "ts", "symbol", "quantile")
+    if not long_quantile:
+        seen = seen.join(data.groupBy(*keys).agg(F.max("quantile").alias("__long")), list(keys))
+    legs = seen.withColumns({"long": F.col("quantile") == top, "short": F.col("quantile") == (short_quantile or 1)}).filter("long or short")
+    date = Window.partitionBy(*keys, "ts")
+    share = lambda leg: F.when(F.col(leg), 1 / F.count(F.when(F.col(leg), 1)).over(date)).otherwise(0.0)
+    held = legs.select(*keys, "ts", "symbol", "long", "short", (share("long") - share("short")).alias("weight"))
+    mean = lambda leg: F.avg(F.when(F.col(leg), F.col("r")))
+    rows = _period_rows(dates, _per_date(held, prices, dates, keys, long_return=mean("long"), short_return=mean("short")), cost_bps, keys)
+    return rows.select(*keys, "ts", "next_ts", "k", "long_return", "short_return", "gross", "turnover", "cost", "net")
 
 
 def from_weights(weights: DataFrame, prices: DataFrame, *, cost_bps: float = 0.0, keys: tuple[str, ...] = KEYS, dates: DataFrame | None = None) -> DataFrame:
-    """The same periods for given target weights (keys, ts, symbol, weight); ``dates``
-    (keys, ts) adds dates on which nothing is held."""
+    """The same periods for given target weights (keys, ts, symbol, weight), which add up
+    where a symbol comes twice; ``dates`` (keys, ts) adds dates on which nothing is held."""
     days = _dates(dates if dates is not None else weights, keys)
-    return _period_rows(days, weighted_returns(weights, prices, days, keys), turnover(weights, days, keys), F.lit(cost_bps), keys).select(*keys, "ts", "next_ts", "k", "gross", "turnover", "cost", "net")
+    net = weights.groupBy(*keys, "ts", "symbol").agg(F.sum("weight").alias("weight"))
+    found = _per_date(net, prices, days, keys, gross=F.sum(F.col("weight") * F.col("r")))
+    return _period_rows(days, found, cost_bps, keys).select(*keys, "ts", "next_ts", "k", "gross", "turnover", "cost", "net")
 
 
 def nav(periods: DataFrame, keys: tuple[str, ...] = KEYS, dates: DataFrame | None = None) -> DataFrame:
     """(keys, ts, nav): 1 on the first date, then the running product of 1 + net.
     A portfolio of a single date (from ``dates``) has that first row alone."""
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    begin = (dates if dates is not None else periods).groupBy(*keys).agg(F.min("ts").alias("ts")).withColumn("nav", F.lit(1.0))
-    run = periods.select(*keys, F.col("next_ts").alias("ts"), F.product(1 + F.col("net")).over(w).alias("nav"))
-    return begin.unionByName(run)
+    w = Window.partitionBy(*keys).orderBy("ts")
+    run = periods.withColumns({"__nav": F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__place": F.row_number().over(w)})
+    value = F.struct(F.col("next_ts").alias("ts"), F.col("__nav").alias("nav"))
+    if dates is not None:
+        begin = dates.groupBy(*keys).agg(F.min("ts").alias("ts")).withColumn("nav", F.lit(1.0))
+        return begin.unionByName(run.select(*keys, value.alias("v")).select(*keys, "v.*"))
+    begin = F.struct("ts", F.lit(1.0).alias("nav"))
+    return run.select(*keys, F.explode(F.when(F.col("__place") == 1, F.array(begin, value)).otherwise(F.array(value))).alias("v")).select(*keys, "v.*")
 
 
 def drawdown(values: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -104,22 +117,26 @@ def performance(values: DataFrame, keys: tuple[str, ...] = KEYS, *, periods_per_
     two daily returns, all with fewer than two values. The drawdown is that of the
     daily returns' product, which doesn't begin at 1."""
     k = list(keys)
-    ends = values.groupBy(*k).agg(F.count("*").alias("n"), F.min_by("nav", "ts").alias("v0"), F.max_by("nav", "ts").alias("v1"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6 / (365.25 * 86_400)).alias("years"))
-    day = values.groupBy(*k, F.to_date("ts").alias("day")).agg(F.max_by("nav", "ts").alias("nav"))
+    day = values.groupBy(*k, F.to_date("ts").alias("day")).agg(F.max_by("nav", "ts").alias("nav"), F.min_by("nav", "ts").alias("first"), F.min("ts").alias("begin"), F.max("ts").alias("end"), F.count("*").alias("n"))
     w = Window.partitionBy(*k).orderBy("day")
-    r = day.withColumn("r", F.try_divide("nav", F.lag("nav").over(w)) - 1).filter("r is not null").withColumn("x", F.col("r") - risk_free / periods_per_year)
-    run = r.withColumn("p", F.product(1 + F.col("r")).over(w)).withColumn("dd", F.col("p") / F.max("p").over(w) - 1)
+    r = day.withColumn("r", F.try_divide("nav", F.lag("nav").over(w)) - 1).withColumn("x", F.col("r") - risk_free / periods_per_year)
+    # Days without a return take no part in the product, whose drawdown thus begins with the first return.
+    run = r.withColumn("p", F.when(F.col("r").isNotNull(), F.product(1 + F.col("r")).over(w))).withColumn("dd", F.col("p") / F.max("p").over(w) - 1)
     year = F.sqrt(F.lit(float(periods_per_year)))
     bad = F.stddev_pop(F.when(F.col("x") < 0, F.col("x")))
-    daily = run.groupBy(*k).agg(
-        F.count("*").alias("days"),
+    out = run.groupBy(*k).agg(
+        F.sum("n").alias("n"),
+        F.min_by("first", "day").alias("v0"),
+        F.max_by("nav", "day").alias("v1"),
+        ((F.unix_micros(F.max("end")) - F.unix_micros(F.min("begin"))) / 1e6 / (365.25 * 86_400)).alias("years"),
+        F.count("r").alias("days"),
         (F.stddev_pop("r") * year).alias("volatility"),
         F.when(F.stddev_pop("x") > 0, F.avg("x") / F.stddev_pop("x") * year).alias("sharpe"),
         F.when(bad > 0, F.avg("x") / bad * year).alias("sortino"),
         F.min("dd").alias("max_drawdown"),
     )
     total = F.when(F.col("n") >= 2, F.col("v1") / F.col("v0") - 1).otherwise(0.0)
-    out = ends.join(daily, k, "left").withColumn("total_return", total)
+    out = out.withColumn("total_return", total)
     out = out.withColumn("annual_return", F.when((F.col("years") > 0) & (F.col("total_return") > -1), F.pow(1 + F.col("total_return"), 1 / F.col("years")) - 1).otherwise(0.0))
     some = F.coalesce(F.col("days") >= 2, F.lit(False))
     ratio = lambda c: F.when(some, F.coalesce(c, F.lit(0.0))).otherwise(0.0)

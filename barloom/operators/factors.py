@@ -1,7 +1,7 @@
 """Factors on a panel: raw columns, rolling methods, and custom Columns.
 
-All factors of a call are computed in one select over one grid, so symbols are
-shuffled once; the result is long: (factor, ts, symbol, value).
+All factors of a call are computed in one select over a panel whose timestamps are
+numbered, so symbols are shuffled once; the result is long: (factor, ts, symbol, value).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling
-from .panel import grid
+from .panel import NUMBER, numbered
 
 METHODS = ("zscore", "mean", "std", "change", "diff", "rank")
 
@@ -21,7 +21,8 @@ METHODS = ("zscore", "mean", "std", "change", "diff", "rank")
 @dataclass(frozen=True)
 class Factor:
     """``kind`` raw: ``column`` itself; rolling: ``method`` over ``window``;
-    custom: ``make`` gives the Column from the panel's columns."""
+    custom: ``make`` gives the Column from the panel's columns; its rolling functions
+    count the panel's timestamps if given ``number=NUMBER``."""
 
     name: str
     kind: str = "raw"
@@ -85,20 +86,15 @@ def column_of(f: Factor) -> Column:
         return F.col(f.column)
     if f.kind == "custom":
         return f.make()
-    if f.method == "change":
-        return rolling.change(f"__{f.column}", f.window)
     method = getattr(rolling, f.method)
-    return method(f.column, f.window, f.least) if f.least and f.method in ("mean", "std", "zscore") else method(f.column, f.window)
+    least = {"least": f.least} if f.least and f.method in ("mean", "std", "zscore") else {}
+    return method(f.column, f.window, number=NUMBER, **least)
 
 
 def wide(panel: DataFrame, factors: list[Factor]) -> DataFrame:
     """(ts, symbol, a column per factor); factors that can't be computed are left out."""
     good, _ = usable(factors, panel.columns)
-    full = grid(panel)
-    padded = sorted({f.column for f in good if f.method == "change"})
-    full = full.withColumns({f"__{c}": rolling.filled(c) for c in padded}) if padded else full
-    made = full.select("ts", "symbol", "on_panel", *[column_of(f).cast("double").alias(f.name) for f in good])
-    return made.filter("on_panel").drop("on_panel")
+    return numbered(panel).select("ts", "symbol", *[column_of(f).cast("double").alias(f.name) for f in good])
 
 
 def long(table: DataFrame, names: list[str] | None = None) -> DataFrame:

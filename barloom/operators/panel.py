@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Symbols up to which their list is broadcast to make the grid (a few MB).
-FEW_SYMBOLS = 100_000
+#: Column with the number of a row's timestamp among the panel's.
+NUMBER = "__number"
 
 
-def grid(panel: DataFrame) -> DataFrame:
-    """The panel on every pair of its timestamps and symbols, absent cells null.
-
-    Rolling windows then count the panel's timestamps, not a symbol's own rows.
-    The pairs are the result's own size; each timestamp is joined with the symbol
-    list, which is broadcast while it is short.
-    """
-    times, symbols = panel.select("ts").distinct(), panel.select("symbol").distinct()
-    if symbols.count() <= FEW_SYMBOLS:
-        symbols = F.broadcast(symbols)
-    return times.crossJoin(symbols).join(panel.withColumn("on_panel", F.lit(True)), ["ts", "symbol"], "left")
+def numbered(panel: DataFrame) -> DataFrame:
+    """The panel with its timestamps' numbers, from 1. Windows over a range of numbers
+    (``number=NUMBER`` of functions.rolling) then count the panel's timestamps, not a
+    symbol's own rows, without a row for every absent cell. Timestamps are counted by
+    day; what stands in one order has a row per day."""
+    times = panel.select("ts").distinct().withColumn("__day", F.to_date("ts"))
+    days = times.groupBy("__day").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__day").orderBy("ts"))
+    numbers = times.join(days.select("__day", before.alias("__before")), "__day").select("ts", (own + F.col("__before")).alias(NUMBER))
+    return panel.join(numbers, "ts")
 
 
 def finite_only(df: DataFrame, column: str) -> DataFrame:
@@ -49,9 +49,4 @@ def universe_filter(df: DataFrame, *, suffix: str = "USDT", exclude: list[str] =
 
 def every_nth(df: DataFrame, n: int) -> DataFrame:
     """The rows of every n-th timestamp, from the first."""
-    from pyspark.sql import Window
-
-    times = df.select("ts").distinct()
-    # One row per timestamp: the only thing that stands in one order.
-    kept = times.withColumn("k", F.row_number().over(Window.orderBy("ts"))).filter((F.col("k") - 1) % n == 0).select("ts")
-    return df.join(kept, "ts", "left_semi")
+    return numbered(df).filter((F.col(NUMBER) - 1) % n == 0).select(*df.columns)

@@ -58,7 +58,7 @@ def flow_acceleration(panel: DataFrame, ofi: str = "ofi", fast: int = 7, slow: i
     return panel.withColumn("flow_acceleration", r.mean(ofi, fast) - r.mean(ofi, slow))
 
 
-def blended_flow(panel: DataFrame, ofi: str = "ofi", windows: tuple[int, int, int] = (3, 7, 14), weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+def blended_flow(panel: DataFrame, ofi: str = "ofi", windows: tuple[int, int, int] = (7, 14, 21), weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
     return panel.withColumn("blended_flow", sum((r.mean(ofi, n) * w for n, w in zip(windows, weights)), F.lit(0.0)))
 
 
@@ -68,10 +68,12 @@ def autocorrelation(panel: DataFrame, x: str, n: int = 14) -> DataFrame:
 
 
 def relational(panel: DataFrame, n: int = 7) -> DataFrame:
-    """Volume-price divergence, smart money, information asymmetry and liquidity
-    momentum from columns ret, volume, ofi, impact."""
-    made = panel.withColumns({"__dv": F.try_divide(c("volume"), r.mean("volume", n)) - 1, "__di": c("impact") - r.lag("impact")})
-    return made.withColumns({"divergence": -F.signum("ret") * F.signum("__dv"), "smart_money": c("ofi") * c("__dv"), "asymmetry": c("impact") * F.abs("ofi"), "liquidity_momentum": -r.mean("__di", n)}).drop("__dv", "__di")
+    """Sign of the return times sign of the volume's change, both over n rows; imbalance
+    times absolute return; size of the imbalance times Kyle's lambda; falling impact.
+    Columns close, ret, volume, ofi, kyle_lambda, impact."""
+    made = panel.withColumns({"__di": c("impact") - r.lag("impact"), "__n": F.try_divide("close", r.lag("close", n)) - 1, "__v": c("volume") - r.lag("volume", n)})
+    made = made.withColumns({"divergence": F.signum("__n") * F.signum("__v"), "smart_money": c("ofi") * F.abs("ret"), "asymmetry": F.abs("ofi") * c("kyle_lambda"), "liquidity_momentum": -r.mean("__di", n)})
+    return made.drop("__di", "__n", "__v")
 
 
 def against_benchmark(panel: DataFrame, symbol, n: int = 20, short: int = 20, long: int = 60) -> DataFrame:
@@ -137,32 +139,56 @@ def monotonicity(quantile_returns: DataFrame, period: int = 1) -> DataFrame:
     return pairs.groupBy("factor").agg(F.avg(F.signum(c("m2") - c("m"))).alias("tau"))
 
 
-def grid_scan(factors: DataFrame, prices: DataFrame, *, rebalances: list[int], sizes: list[int], cost_bps: float = 10.0) -> DataFrame:
-    """(config, rebalance, n, metrics): top n against bottom n of each factor at each
-    rebalancing interval; all configurations are one job."""
+def sub_periods(data: DataFrame, by: str = "month", period: int = 1) -> DataFrame:
+    """(factor, part, spread, tau): top less bottom quantile's mean return in each
+    sub-period (a unit of date_trunc), and Kendall's tau of quantile and mean return."""
+    part = F.date_format(F.date_trunc(by, "ts"), "yyyy-MM-dd").alias("part")
+    q = data.groupBy("factor", part, "quantile").agg(F.avg(f"ret_{period}").alias("m"))
+    spread = q.groupBy("factor", "part").agg((F.max_by("m", "quantile") - F.min_by("m", "quantile")).alias("spread"))
+    pairs = q.join(q.select("factor", "part", c("quantile").alias("q2"), c("m").alias("m2")), ["factor", "part"]).filter("quantile < q2")
+    return spread.join(pairs.groupBy("factor", "part").agg(F.avg(F.signum(c("m2") - c("m"))).alias("tau")), ["factor", "part"], "left")
+
+
+def grid_scan(factors: DataFrame, prices: DataFrame, *, rebalances: list[int], sizes: list[int], pools: tuple[int, ...] = (0,), weightings: tuple[str, ...] = ("equal",), volumes: DataFrame | None = None, cost_bps: float = 10.0) -> DataFrame:
+    """(config, rebalance, pool, n, weighting, metrics): top n against bottom n of each
+    factor at each rebalancing interval, out of the ``pool`` symbols of largest volume on
+    the date (ts, symbol, volume; 0: all), with equal weights or in proportion to the
+    distance from the date's mean (``signal``). All configurations are one job."""
     times = Window.partitionBy("factor").orderBy("ts")
     ranks = factors.filter("value is not null").withColumn("k", F.dense_rank().over(times))
-    every = ranks.crossJoin(F.broadcast(_configs(ranks.sparkSession, rebalances, sizes))).filter("(k - 1) % rebalance = 0")
-    weights = top_bottom_weights(every, None, keys=("config", "factor"))
+    if volumes is not None:
+        place = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("volume"), "symbol"))
+        ranks = ranks.join(volumes.select("ts", "symbol", place.alias("size_rank")), ["ts", "symbol"], "left")
+    else:
+        ranks = ranks.withColumn("size_rank", F.lit(None).cast("int"))
+    configs = _configs(ranks.sparkSession, rebalances, sizes, pools, weightings)
+    every = ranks.crossJoin(F.broadcast(configs)).filter("(k - 1) % rebalance = 0 and (pool = 0 or size_rank <= pool)")
+    by = ["config", "factor", "ts"]
+    distance = F.abs(c("value") - F.avg("value").over(Window.partitionBy(*by)))
+    every = every.withColumn("strength", F.when(c("weighting") == "signal", distance).otherwise(1.0))
+    legs = top_bottom_weights(every, None, keys=("config", "factor"), extra=("strength",))
+    side = Window.partitionBy(*by, F.signum("weight"))
+    weights = legs.withColumn("weight", F.sum("weight").over(side) * F.coalesce(F.try_divide(c("strength"), F.sum("strength").over(side)), 1 / F.count("*").over(side)))
     rows = backtest.from_weights(weights, prices, cost_bps=cost_bps, keys=("config", "factor"))
     perf = backtest.performance(backtest.nav(rows, ("config", "factor")), ("config", "factor"))
-    return perf.join(F.broadcast(_configs(ranks.sparkSession, rebalances, sizes)), "config")
+    return perf.join(F.broadcast(configs), "config")
 
 
-def _configs(spark, rebalances: list[int], sizes: list[int]) -> DataFrame:
+def _configs(spark, rebalances: list[int], sizes: list[int], pools: tuple[int, ...], weightings: tuple[str, ...]) -> DataFrame:
     """The settings, a row each: as many as were asked for."""
-    return spark.createDataFrame([(f"r{a}_n{b}", a, b) for a in rebalances for b in sizes], "config string, rebalance int, n int")
+    rows = [(f"r{a}_p{p}_n{b}_{w}", a, p, b, w) for a in rebalances for p in pools for b in sizes for w in weightings]
+    return spark.createDataFrame(rows, "config string, rebalance int, pool int, n int, weighting string")
 
 
-def top_bottom_weights(factors: DataFrame, n: int | None, keys: tuple[str, ...] = ("factor",), cap: float = 1.0) -> DataFrame:
-    """(keys, ts, symbol, weight): half the capital in the n highest, half short in the
+def top_bottom_weights(factors: DataFrame, n: int | None, keys: tuple[str, ...] = ("factor",), cap: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts, symbol, extra columns, weight): half the capital in the n highest, half short in the
     n lowest values of each date, each position at most ``cap``. ``n`` null: column n."""
     by = Window.partitionBy(*keys, "ts")
     size = F.lit(n) if n else c("n")
     ranked = factors.filter("value is not null").withColumns({"__up": F.row_number().over(by.orderBy(F.desc("value"), "symbol")), "__down": F.row_number().over(by.orderBy("value", "symbol"))})
     each = F.least(0.5 / size, F.lit(cap))
     w = F.when(c("__up") <= size, each).otherwise(0.0) - F.when(c("__down") <= size, each).otherwise(0.0)
-    return ranked.select(*keys, "ts", "symbol", w.alias("weight")).filter("weight <> 0")
+    return ranked.select(*keys, "ts", "symbol", *extra, w.alias("weight")).filter("weight <> 0")
 
 
 def buffer_zone(factors: DataFrame, n: int, buffer: int) -> DataFrame:
@@ -180,11 +206,15 @@ def buffer_zone(factors: DataFrame, n: int, buffer: int) -> DataFrame:
     return listed.select("factor", F.explode(F.aggregate("days", start, step).out).alias("ts"), "symbol")
 
 
-def ic_weights(ic: DataFrame, n: int = 60, horizon: int = 1) -> DataFrame:
+def ic_weights(ic: DataFrame, n: int = 60, horizon: int = 1, monthly: bool = False) -> DataFrame:
     """(factor, period, ts, weight): the mean of the n coefficients that were known
-    ``horizon`` dates before."""
+    ``horizon`` dates before; ``monthly``: as it was on the month's first date."""
     w = Window.partitionBy("factor", "period").orderBy("ts").rowsBetween(-(n - 1) - horizon, -horizon)
-    return ic.withColumn("weight", F.avg("ic").over(w)).select("factor", "period", "ts", "weight")
+    made = ic.withColumn("weight", F.avg("ic").over(w))
+    if monthly:
+        month = Window.partitionBy("factor", "period", F.date_trunc("month", "ts")).orderBy("ts")
+        made = made.withColumn("weight", F.first("weight").over(month))
+    return made.select("factor", "period", "ts", "weight")
 
 
 def risk_parity(weights: DataFrame, panel: DataFrame, n: int = 20, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
@@ -258,60 +288,129 @@ def vwap_features(panel: DataFrame, n: int = 20) -> DataFrame:
 
 
 def kyle_lambda(panel: DataFrame, n: int = 20, flow: str = "delta") -> DataFrame:
-    """Slope of returns on signed flow, and price impact per unit of volume."""
-    made = returns(panel, 1, "__r")
-    return made.withColumns({"kyle_lambda": r.slope("__r", flow, n), "price_impact": F.try_divide(F.abs("__r"), c("volume"))}).drop("__r")
+    """Slope of price changes on signed volume, and the bar's move per unit of volume."""
+    made = panel.withColumn("__dp", c("close") - r.lag("close"))
+    return made.withColumns({"kyle_lambda": r.slope("__dp", flow, n), "price_impact": F.try_divide(c("close") - c("open"), c("volume"))}).drop("__dp")
+
+
+def zscores(panel: DataFrame, columns: list[str], windows: tuple[int, ...] = (20, 100, 500)) -> DataFrame:
+    """Adds <column>_z<n>: z-scores over short, middle and long windows."""
+    return panel.withColumns({f"{x}_z{n}": r.zscore(x, n) for x in columns for n in windows})
 
 
 # Signals and sizing
 
 
-def order_flow_signal(panel: DataFrame, span: int = 10, n: int = 5) -> DataFrame:
-    """1 or -1 where the smoothed flow, the slope of cumulated delta and the return
-    agree in at least two of three, else 0; columns ofi, cumulative_delta, close."""
-    made = returns(panel, n, "__r").withColumn("ema_flow", r.ema("ofi", span)).withColumn("delta_slope", c("cumulative_delta") - r.lag("cumulative_delta", n))
-    votes = F.coalesce(F.signum("ema_flow"), F.lit(0)) + F.coalesce(F.signum("delta_slope"), F.lit(0)) + F.coalesce(F.signum("__r"), F.lit(0))
-    return made.withColumn("signal", F.when(votes >= 2, 1).when(votes <= -2, -1).otherwise(0)).drop("__r")
+def order_flow_signal(panel: DataFrame, *, span: int = 10, lookback: int = 5, n: int = 20, flow: float = 0.15, intensity: float = 1.5, large: float = 1.0, size: float = 1.2) -> DataFrame:
+    """1: the smoothed imbalance is over ``flow``, cumulated delta has risen over
+    ``lookback`` rows, and two of three hold: trade intensity's z-score over its
+    limit, that of the share of large trades over its own, buys ``size`` times as large
+    as sells on average. -1: the mirror image. Columns ofi, cumulative_delta,
+    trade_intensity, large_trade_ratio, avg_buy, avg_sell. Adds strength: the share of
+    the five conditions that hold."""
+    made = panel.withColumns({"ema_flow": r.ema("ofi", span), "__slope": c("cumulative_delta") - r.lag("cumulative_delta", lookback), "__zi": r.zscore("trade_intensity", n), "__zl": r.zscore("large_trade_ratio", n)})
+    held = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+
+    def side(way: int) -> tuple[Column, Column]:
+        a, b = (c("avg_buy"), c("avg_sell")) if way > 0 else (c("avg_sell"), c("avg_buy"))
+        must = held(c("ema_flow") * way > flow) + held(c("__slope") * way > 0)
+        may = held(c("__zi") > intensity) + held(c("__zl") > large) + held(a > b * size)
+        return (must == 2) & (may >= 2), must + may
+
+    (up, some), (down, other) = side(1), side(-1)
+    signal = F.when(up, 1).when(down, -1).otherwise(0)
+    return made.withColumns({"signal": signal, "strength": F.greatest(some, other) / 5}).drop("__slope", "__zi", "__zl")
+
+
+def reversion_signal(panel: DataFrame, *, span: int = 10, n: int = 500, share: float = 0.9, cool: float = 0.08, falling: int = 5) -> DataFrame:
+    """1: the close is further under the vwap than the trailing ``share`` quantile of
+    absolute deviations, the smoothed imbalance is within ``cool``, volatility falls,
+    and sells have fallen over the last ``falling`` rows. -1: the mirror image, with
+    buys. Columns vwap_deviation, ofi, realized_vol, buy_volume, sell_volume."""
+    entry = r.quantile(F.abs("vwap_deviation"), share, n)
+    calm = (F.abs(r.ema("ofi", span)) < cool) & (c("realized_vol") < r.lag("realized_vol"))
+
+    def fell(x: str) -> Column:
+        steps = [(r.lag(x, k) if k else c(x)) < r.lag(x, k + 1) for k in range(falling - 1)]
+        out = steps[0]
+        for step in steps[1:]:
+            out &= step
+        return out
+
+    made = panel.withColumns({"entry": entry, "__calm": calm, "__sells": fell("sell_volume"), "__buys": fell("buy_volume")})
+    signal = F.when((c("vwap_deviation") < -c("entry")) & c("__calm") & c("__sells"), 1).when((c("vwap_deviation") > c("entry")) & c("__calm") & c("__buys"), -1).otherwise(0)
+    return made.withColumn("signal", signal).drop("__calm", "__sells", "__buys")
+
+
+def regimes(panel: DataFrame, *, short: int = 20, long: int = 200, pace: int = 50, n: int = 100, high: float = 1.8, low: float = 0.6, quick: float = 0.5, slow: float = 2.0, crisis: float = 3.0) -> DataFrame:
+    """Classes by volatility (short over long mean) and the bar's duration over its mean:
+    crisis, expansion, contraction, normal; null where none of the four rules holds.
+    Columns realized_vol, duration, price_impact."""
+    made = panel.withColumns({"vol_ratio": F.try_divide(r.mean("realized_vol", short), r.mean("realized_vol", long)), "duration_ratio": F.try_divide("duration", r.mean("duration", pace)), "__zi": r.zscore("price_impact", n)})
+    v, d = c("vol_ratio"), c("duration_ratio")
+    name = F.when((v > crisis) | (c("__zi") > crisis), "crisis").when((v > high) & (d < quick), "expansion").when((v < low) & (d > slow), "contraction").when(v.between(low, high), "normal")
+    return made.withColumn("regime", name).drop("__zi")
+
+
+def merge_signals(momentum: Column, reversion: Column, regime: Column) -> Column:
+    """One signal of two: nothing in a crisis, momentum alone in an expansion, reversion
+    alone in a contraction; else what doesn't contradict, both adding up."""
+    both = F.when(momentum * reversion < 0, 0).otherwise(momentum + reversion)
+    return F.when(regime == "crisis", 0).when(regime == "expansion", momentum).when(regime == "contraction", reversion).otherwise(both)
+
+
+def regime_filter(panel: DataFrame, signal: str, by: str, *, mode: str = "boost", alpha: float = 0.5, threshold: float = 1.0, n: int = 60) -> DataFrame:
+    """Adds filtered: ``boost``: the signal times 1 + alpha * z where the z-score of column
+    ``by`` is over the threshold; ``filter``: 0 where it is under it; ``shrink``: the signal
+    over 1 + z where it is over 0. Without a z-score the signal stays."""
+    made = panel.withColumn("__z", r.zscore(by, n))
+    x, z = c(signal), c("__z")
+    out = {"boost": F.when(z > threshold, x * (1 + alpha * z)).otherwise(x), "filter": F.when(z < threshold, 0.0).otherwise(x), "shrink": F.when(z > 0, x / (1 + z)).otherwise(x)}[mode]
+    return made.withColumn("filtered", out).drop("__z")
 
 
-def reversion_signal(panel: DataFrame, n: int = 50) -> DataFrame:
-    """Against an unusual deviation from the vwap, once flow and volatility cool;
-    columns vwap_deviation, ofi, realized_vol."""
-    far = F.abs("vwap_deviation") > r.quantile(F.abs("vwap_deviation"), 0.9, n)
-    cool = (F.abs("ofi") < F.abs(r.lag("ofi"))) & (c("realized_vol") < r.lag("realized_vol"))
-    return panel.withColumn("signal", F.when(far & cool, -F.signum("vwap_deviation")).otherwise(0.0))
+def true_range(panel: DataFrame) -> Column:
+    before = r.lag("close")
+    return F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
 
 
-def regimes(panel: DataFrame, fast: int = 20, slow: int = 100) -> DataFrame:
-    """Four classes of volatility and bar duration against their longer means; columns realized_vol, duration."""
-    vol = F.try_divide(r.mean("realized_vol", fast), r.mean("realized_vol", slow))
-    pace = F.try_divide(r.mean("duration", fast), r.mean("duration", slow))
-    name = F.when((vol >= 1) & (pace < 1), "active").when((vol >= 1) & (pace >= 1), "stressed").when((vol < 1) & (pace < 1), "liquid").when((vol < 1) & (pace >= 1), "quiet")
-    return panel.withColumn("regime", name)
+#: Share of the base position by regime.
+REGIME_FACTOR = {"expansion": 0.5, "normal": 1.0, "contraction": 0.7, "crisis": 0.0}
 
 
-def merge_signals(a: Column, b: Column) -> Column:
-    """Signals that contradict each other cancel; else the one that speaks."""
-    return F.when(a * b < 0, 0.0).otherwise(F.signum(a + b))
+def atr_size(panel: DataFrame, *, risk: float = 0.01, multiple: float = 2.0, n: int = 100, cap: float = 0.05) -> DataFrame:
+    """Position as a share of capital: the risk over the stop distance in mean true
+    ranges of n rows, capped. Columns regime, strength (0 to 1) and kelly scale it
+    where they are there: by the regime's share, by 0.5 to 1.5, by at most 1."""
+    made = panel.withColumn("__tr", true_range(panel)).withColumn("atr", r.mean("__tr", n)).drop("__tr")
+    size = F.try_divide(F.lit(risk) * c("close"), c("atr") * multiple)
+    if "regime" in panel.columns:
+        size = size * F.coalesce(*[F.when(c("regime") == k, F.lit(v)) for k, v in REGIME_FACTOR.items()], F.lit(1.0))
+    if "strength" in panel.columns:
+        size = size * (0.5 + F.coalesce("strength", F.lit(0.5)))
+    if "kelly" in panel.columns:
+        size = size * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("kelly", F.lit(1.0))))
+    return made.withColumn("size", F.least(F.lit(cap), size))
 
 
-def regime_filter(panel: DataFrame, signal: str, guards: dict[str, float], n: int = 60, boost: float = 1.5) -> DataFrame:
-    """The signal, suppressed where a guard's z-score is over its limit, boosted where all are under -1."""
-    z = {k: r.zscore(k, n) for k in guards}
-    over = F.greatest(*[F.coalesce((z[k] > v).cast("int"), F.lit(0)) for k, v in guards.items()], F.lit(0)) == 1
-    calm = F.least(*[F.coalesce((z[k] < -1).cast("int"), F.lit(0)) for k in guards], F.lit(1)) == 1
-    return panel.withColumn("filtered", F.when(over, 0.0).when(calm, c(signal) * boost).otherwise(c(signal)))
+def capped_total(positions: DataFrame, most: float = 0.1, keys: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """``positions`` (keys, symbol, size, signed) with each side scaled down to ``most`` in all."""
+    total = F.sum(F.abs("size")).over(Window.partitionBy(*keys, F.signum("size")))
+    return positions.withColumn("size", c("size") * F.least(F.lit(1.0), F.try_divide(F.lit(most), total)))
 
 
-def true_range(panel: DataFrame) -> Column:
-    before = r.lag("close")
-    return F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
+def half_kelly(periods: DataFrame, n: int = 50, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """Adds kelly, of the n periods before: half of win rate less loss rate over the ratio of mean win to mean loss."""
+    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-n, -1)
+    rate, win, loss = F.avg((c("net") > 0).cast("double")).over(w), F.avg(F.when(c("net") > 0, c("net"))).over(w), F.avg(F.when(c("net") < 0, -c("net"))).over(w)
+    return periods.withColumn("kelly", (rate - (1 - rate) * F.try_divide(loss, win)) / 2)
 
 
-def atr_size(panel: DataFrame, *, risk: float = 0.01, multiple: float = 2.0, n: int = 14, cap: float = 0.2) -> DataFrame:
-    """Position as a share of capital: the risk over the stop distance in ATRs, capped."""
-    made = panel.withColumn("__tr", true_range(panel)).withColumn("atr", r.mean("__tr", n)).drop("__tr")
-    return made.withColumn("size", F.least(F.lit(cap), F.try_divide(F.lit(risk) * c("close"), c("atr") * multiple)))
+def slippage(periods: DataFrame, multiples: list[float], bps: float, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """(keys, multiple, total_return, profitable): the same periods at multiples of a slippage."""
+    each = periods.select(*keys, "ts", "gross", "turnover", F.explode(F.array(*[F.lit(float(m)) for m in multiples])).alias("multiple"))
+    out = each.groupBy(*keys, "multiple").agg((F.product(1 + c("gross") - c("turnover") * c("multiple") * bps / 10_000) - 1).alias("total_return"))
+    return out.withColumn("profitable", c("total_return") > 0)
 
 
 def funding(weights: DataFrame, rates: DataFrame, hours: int = 8) -> DataFrame:
@@ -356,37 +455,49 @@ def rsrs(panel: DataFrame, n: int = 18, m: int = 60) -> DataFrame:
     return made.withColumn("qrs", c("rsrs_z") * F.pow("__rho", n)).drop("__rho")
 
 
-def alligator(panel: DataFrame) -> DataFrame:
-    """Jaw, teeth and lips (shifted means of the mid price), awesome oscillator, MACD,
-    and fractals, which need the next bar and so are given one bar late."""
-    made = panel.withColumn("__mid", (c("high") + c("low")) / 2).withColumns({f"__m{n}": r.mean("__mid", n) for n in (5, 8, 13, 34)})
-    made = made.withColumns({"jaw": r.lag("__m13", 8), "teeth": r.lag("__m8", 5), "lips": r.lag("__m5", 3), "awesome": c("__m5") - c("__m34"), "macd": r.ema("close", 12) - r.ema("close", 26)})
-    up = (r.lag("high", 1) > r.lag("high", 2)) & (r.lag("high", 1) > c("high"))
-    down = (r.lag("low", 1) < r.lag("low", 2)) & (r.lag("low", 1) < c("low"))
-    return made.withColumns({"fractal_up": F.coalesce(up, F.lit(False)), "fractal_down": F.coalesce(down, F.lit(False))}).drop("__mid", "__m5", "__m8", "__m13", "__m34")
+def alligator(panel: DataFrame, share: float = 0.8, n: int = 60) -> DataFrame:
+    """Jaw, teeth and lips (shifted means of the close), the oscillator of half ranges,
+    MACD, fractals, which need the next bar and so are given one bar late, and a signal
+    from the close's place among the last n: 1 above ``share``, -1 below the rest."""
+    made = panel.withColumn("__half", (c("high") - c("low")) / 2).withColumns({f"__m{k}": r.mean("close", k) for k in (5, 8, 13)})
+    made = made.withColumns({"jaw": r.lag("__m13", 8), "teeth": r.lag("__m8", 5), "lips": r.lag("__m5", 3), "awesome": r.mean("__half", 5) - r.mean("__half", 34), "macd": r.ema("close", 12) - r.ema("close", 26)})
+    over = lambda x: (r.lag(x, 1) > r.lag(x, 2)) & (r.lag(x, 1) > c(x))
+    under = lambda x: (r.lag(x, 1) < r.lag(x, 2)) & (r.lag(x, 1) < c(x))
+    top, bottom = r.quantile("close", share, n), r.quantile("close", 1 - share, n)
+    made = made.withColumns({"fractal_up": F.coalesce(over("high") & over("low"), F.lit(False)), "fractal_down": F.coalesce(under("high") & under("low"), F.lit(False))})
+    return made.withColumn("place_signal", F.when(c("close") > top, 1).when(c("close") < bottom, -1).otherwise(0)).drop("__half", "__m5", "__m8", "__m13")
 
 
 def noise_band(panel: DataFrame, n: int = 14) -> DataFrame:
-    """Open of the day, and bands of the mean absolute move at the same time of day over n days before."""
+    """Open of the day, and bands about it and the close of the day before: the greater
+    (upper) or lesser (lower) of these, moved by the mean absolute move from the open at
+    the same time of day over n days, this one included."""
     day = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    made = panel.withColumn("day_open", F.first("close").over(day)).withColumn("__move", F.abs(F.try_divide("close", "day_open") - 1)).withColumn("__tod", F.date_format("ts", "HH:mm:ss"))
-    same = Window.partitionBy("symbol", "__tod").orderBy("ts").rowsBetween(-n, -1)
-    made = made.withColumn("__s", F.avg("__move").over(same))
-    return made.withColumns({"upper": c("day_open") * (1 + c("__s")), "lower": c("day_open") * (1 - c("__s"))}).drop("__move", "__tod", "__s")
-
-
-def net_new_highs(panel: DataFrame, n: int = 20) -> DataFrame:
-    """(ts, net_new_highs): share of symbols at the top of their window less those at the bottom."""
+    made = panel.withColumns({"day_open": F.first("open").over(day), "__end": F.last("close").over(day), "__day": F.to_date("ts")})
+    days = made.select("symbol", "__day", "__end").distinct().withColumn("day_before_close", F.lag("__end").over(Window.partitionBy("symbol").orderBy("__day"))).drop("__end")
+    made = made.drop("__end").join(days, ["symbol", "__day"]).withColumn("__tod", F.date_format("ts", "HH:mm:ss"))
+    same = Window.partitionBy("symbol", "__tod").orderBy("ts").rowsBetween(-(n - 1), 0)
+    made = made.withColumn("noise", F.avg(F.abs(F.try_divide("close", "day_open") - 1)).over(same))
+    upper, lower = F.greatest("day_open", "day_before_close"), F.least("day_open", "day_before_close")
+    return made.withColumns({"upper": upper * (1 + c("noise")), "lower": lower * (1 - c("noise"))}).drop("__day", "__tod")
+
+
+def net_new_highs(panel: DataFrame, n: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """(ts, by, net_new_highs): of each group, the share of symbols at the top of their
+    window less those at the bottom."""
     made = panel.withColumns({"__h": (c("close") >= r.highest("close", n)).cast("int"), "__l": (c("close") <= r.lowest("close", n)).cast("int")})
-    return made.groupBy("ts").agg(F.try_divide(F.sum("__h") - F.sum("__l"), F.count("close")).alias("net_new_highs"))
+    return made.groupBy("ts", *by).agg(F.try_divide(F.sum("__h") - F.sum("__l"), F.count("close")).alias("net_new_highs"))
 
 
-def quality_momentum(panel: DataFrame, n: int = 20) -> DataFrame:
-    """Mean of the cross-section ranks of return, smoothness and low volatility."""
-    made = returns(returns(panel, 1, "__r"), n, "__n").withColumns({"__path": F.try_divide(F.abs("__n"), r.total(F.abs("__r"), n)), "__vol": -r.std("__r", n)})
-    rank = lambda x: F.percent_rank().over(Window.partitionBy("ts").orderBy(x))
-    full = made.filter("__n is not null and __path is not null and __vol is not null")
-    return full.withColumn("quality_momentum", (rank("__n") + rank("__path") + rank("__vol")) / 3).drop("__r", "__n", "__path", "__vol")
+def quality_momentum(panel: DataFrame, n: int = 60, peak: int = 20, penalty: float = 3000.0) -> DataFrame:
+    """Mean of three cross-section ranks: of the greatest return of ``peak`` rows and of the
+    deviation of turnover over n, both from high to low, and of the return over n less
+    ``penalty`` times its variance, from low to high. Columns close, turnover."""
+    made = returns(returns(panel, 1, "__r"), n, "__n")
+    made = made.withColumns({"__max": r.highest("__r", peak), "__id": r.std("turnover", n), "__basic": c("__n") - penalty * F.pow(r.std("__r", n), 2)})
+    full = made.filter("__max is not null and __id is not null and __basic is not null")
+    rank = lambda x: F.rank().over(Window.partitionBy("ts").orderBy(x))
+    return full.withColumn("quality_momentum", (rank(F.desc("__max")) + rank(F.desc("__id")) + rank(F.asc("__basic"))) / 3).drop("__r", "__n", "__max", "__id", "__basic")
 
 
 def amplitude_momentum(panel: DataFrame, n: int = 20, share: float = 0.25) -> DataFrame:
@@ -399,13 +510,40 @@ def amplitude_momentum(panel: DataFrame, n: int = 20, share: float = 0.25) -> Da
     return made.withColumns({"calm_momentum": F.when(some, total(F.slice(c("__days"), F.lit(1), c("__k")))), "wild_momentum": F.when(some, total(F.slice(c("__days"), -c("__k"), c("__k"))))}).drop("__r", "__amp", "__days", "__k")
 
 
-def flip(panel: DataFrame, x: str, n: int = 20) -> DataFrame:
-    """The factor with its sign turned where it is under the date's mean, and its rolling mean."""
-    made = panel.withColumn("flip", F.signum(c(x) - F.avg(x).over(_date("ts"))) * c(x))
-    return made.withColumn("flip_mean", r.mean("flip", n))
+def coin(base: str, way: int = 1) -> Column:
+    """The sign of a column against its mean of the date, times ``way``."""
+    return F.signum((c(base) - F.avg(base).over(_date("ts"))) * way)
+
+
+def flip(panel: DataFrame, base: str, raw: str, way: int = 1, name: str = "flip") -> DataFrame:
+    """``raw`` with its sign turned where ``base`` is under (or with way -1, over) the date's mean."""
+    return panel.withColumn(name, c(raw) * coin(base, way))
+
+
+def flip_factors(panel: DataFrame, ret: str = "ret", n: int = 20, way: int = 1) -> DataFrame:
+    """Adds flip_vol (mean return over n rows, turned by volatility), flip_turn (mean over
+    n of the return turned by the change of turnover) and their mean, flip_revised.
+    Columns ``ret``, turnover."""
+    made = panel.withColumns({"__sd": r.std(ret, n), "__mean": r.mean(ret, n), "__dt": c("turnover") - r.lag("turnover")})
+    made = flip(flip(made, "__sd", "__mean", way, "flip_vol"), "__dt", ret, way, "__turned")
+    made = made.withColumn("flip_turn", r.mean("__turned", n))
+    return made.withColumn("flip_revised", (c("flip_vol") + c("flip_turn")) / 2).drop("__sd", "__mean", "__dt", "__turned")
+
+
+def coin_team(panel: DataFrame, rets: list[str], n: int = 20, way: int = 1) -> DataFrame:
+    """The sum of the revised flip factors of several returns (between days, within the day, over night)."""
+    made = panel
+    for k, x in enumerate(rets):
+        made = flip_factors(made, x, n, way).withColumnRenamed("flip_revised", f"__f{k}").drop("flip_vol", "flip_turn")
+    total = c("__f0")
+    for k in range(1, len(rets)):
+        total = total + c(f"__f{k}")
+    return made.withColumn("coin_team", total).drop(*[f"__f{k}" for k in range(len(rets))])
 
 
 def time_series_momentum(panel: DataFrame, n: int = 252, vol: int = 60, target: float = 0.4) -> DataFrame:
-    """Sign of the long return, scaled to a target volatility, times the next return's place."""
+    """position: the sign of the return over n rows, scaled to a target volatility a year;
+    tsmom: that times the next row's return."""
     made = returns(returns(panel, 1, "__r"), n, "__n")
-    return made.withColumn("tsmom", F.signum("__n") * F.try_divide(F.lit(target), r.std("__r", vol) * F.sqrt(F.lit(252.0)))).drop("__r", "__n")
+    made = made.withColumn("position", F.signum("__n") * F.try_divide(F.lit(target), r.std("__r", vol) * F.sqrt(F.lit(252.0))))
+    return made.withColumn("tsmom", c("position") * r.lag("__r", -1)).drop("__r", "__n")

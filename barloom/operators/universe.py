@@ -36,11 +36,14 @@ def pools(bars: DataFrame, n: int, *, every: str = "month", days: int = 30) -> D
 
 
 def pool_at(pool: DataFrame, times: DataFrame) -> DataFrame:
-    """(ts, symbol) of the pool that holds at each time: that of the last reselection."""
-    picks = pool.select(F.col("reselect").alias("ts")).distinct().withColumn("reselect", F.col("ts"))
-    every = times.select("ts").distinct().join(picks, "ts", "full")
-    held = F.last("reselect", ignorenulls=True).over(Window.orderBy("ts"))  # a row per timestamp
-    return every.withColumn("reselect", held).join(times.select("ts").distinct(), "ts", "left_semi").join(pool.select("reselect", "symbol"), "reselect").select("ts", "symbol")
+    """(ts, symbol) of the pool that holds at each time: that of the last reselection.
+    A reselection holds until the next; both meet by the days between."""
+    picks = pool.select("reselect").distinct().withColumn("until", F.lead("reselect").over(Window.orderBy("reselect")))  # a row per reselection
+    days = times.select("ts").distinct().withColumn("day", F.to_date("ts"))
+    last = days.agg(F.max("day").alias("last"))
+    spans = picks.crossJoin(F.broadcast(last)).select("reselect", "until", F.explode(F.expr("sequence(to_date(reselect), greatest(to_date(reselect), coalesce(to_date(until), last)), interval 1 day)")).alias("day"))
+    held = days.join(spans, "day").filter("ts >= reselect and (until is null or ts < until)")
+    return held.join(pool.select("reselect", "symbol"), "reselect").select("ts", "symbol")
 
 
 def listing_times(bars: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling
 from ..operators import analysis, backtest, bars, factors, panel, universe
+from ..operators.panel import NUMBER
 from ..sources import tables, ticks
+from ..sources.stored import stored
 from ..sources.tables import ORDER_PRICES, PANEL, QUOTES, TRADES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,14 +297,17 @@ def factor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GRID}, g AS (SELECT *, max(close) OVER w AS h, min(close) OVER w AS l FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)) SELECT {_DATE}, symbol, round(CASE WHEN h > l THEN (close - l) / (h - l) END, 6) AS stoch FROM g WHERE on_panel")
 def factor_custom_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    high, low = rolling.highest("close", 10), rolling.lowest("close", 10)
+    high, low = rolling.highest("close", 10, number=NUMBER), rolling.lowest("close", 10, number=NUMBER)
     return _wide(spark, sf_dir, factors.custom("stoch", lambda: F.when(high > low, (F.col("close") - low) / (high - low))))
 
 
-@query(f"WITH {PANEL} SELECT {_DATE}, symbol, 'pandas_ewm' AS factor, round(close, 6) AS value FROM panel")
+@query(
+    f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM panel)
+SELECT strftime(a.ts, '%Y-%m-%d') AS ts, a.symbol, 'pandas_ewm' AS factor, round(sum(b.close * pow(2 / 3, a.k - b.k)) / sum(pow(2 / 3, a.k - b.k)), 6) AS value FROM n a JOIN n b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY a.ts, a.symbol"""
+)
 def factor_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pandas escape hatch: a mean over a window of one is the column itself."""
-    return factors.apply_per_symbol(tables.panel(spark, sf_dir), "pandas_ewm", lambda d: d["close"].rolling(1).mean(), ["close"]).withColumn("ts", _day("ts"))
+    """The pandas escape hatch: an exponential mean over all of a symbol's history."""
+    return factors.apply_per_symbol(tables.panel(spark, sf_dir), "pandas_ewm", lambda d: d["close"].ewm(span=5).mean(), ["close"]).withColumn("ts", _day("ts"))
 
 
 @query(
@@ -340,11 +345,11 @@ def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     100 makes a tradable price. Values are rounded, as ties decide ranks and bins.
     No share of loss is an error here: the panel is short."""
     f, prices = _factors(spark, sf_dir)
-    return analysis.clean(f, prices, periods=PERIODS, quantiles=QUANTILES, max_loss=1.0), prices
+    return stored(analysis.clean(f, prices, periods=PERIODS, quantiles=QUANTILES, max_loss=1.0), "query-data"), prices
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = tables.panel(spark, sf_dir)
+    p = stored(tables.panel(spark, sf_dir), "query-panel")
     return factors.compute(p, FACTORS).withColumn("value", F.round("value", 9)), p.select("ts", "symbol", (100 + F.col("close") / 10).alias("close"))
 
 
@@ -352,7 +357,7 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", _day("ts"))
 
 
-@query(f"{_GRID}, r AS (SELECT *, lead(close, 1) OVER w / close - 1 AS ret_1, lead(close, 5) OVER w / close - 1 AS ret_5 FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT {_DATE}, symbol, round(ret_1, 6) AS ret_1, round(ret_5, 6) AS ret_5 FROM r")
+@query(f"{_GRID}, r AS (SELECT *, lead(close, 1) OVER w / close - 1 AS ret_1, lead(close, 5) OVER w / close - 1 AS ret_5 FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT {_DATE}, symbol, round(ret_1, 6) AS ret_1, round(ret_5, 6) AS ret_5 FROM r WHERE on_panel")
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(analysis.forward_returns(tables.panel(spark, sf_dir), PERIODS))
 
@@ -439,7 +444,7 @@ top AS (SELECT factor, max(quantile) AS q FROM data GROUP BY factor), legs AS (
 
 def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, prices = _data(spark, sf_dir)
-    return backtest.long_short(data, prices, cost_bps=COST_BPS)
+    return stored(backtest.long_short(data, prices, cost_bps=COST_BPS), "query-periods")
 
 
 @query(f"{_LS_SQL} SELECT factor, {_DATE}, round(long_return, 6) AS long_return, round(short_return, 6) AS short_return, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(cost, 6) AS cost FROM p")
@@ -452,11 +457,14 @@ def ls_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(backtest.drawdown(backtest.nav(_periods(spark, sf_dir))))
 
 
-_PERF_SQL = f"""{_LS_SQL}, e AS (SELECT factor, arg_max(nav, ts) / arg_min(nav, ts) - 1 AS total, (epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400) AS years FROM v GROUP BY factor),
+#: What follows the periods ``p`` of any portfolios: values, then metrics.
+_NAV_SQL = _LS_SQL[_LS_SQL.rindex("), v AS (") + 3 :]
+_PERF_TAIL = """, e AS (SELECT factor, arg_max(nav, ts) / arg_min(nav, ts) - 1 AS total, (epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400) AS years FROM v GROUP BY factor),
 x AS (SELECT * FROM (SELECT factor, ts, nav / lag(nav) OVER (PARTITION BY factor ORDER BY ts) - 1 AS r FROM v) WHERE r IS NOT NULL),
 y AS (SELECT *, product(1 + r) OVER (PARTITION BY factor ORDER BY ts) AS c FROM x), z AS (SELECT *, c / max(c) OVER (PARTITION BY factor ORDER BY ts) - 1 AS dd FROM y),
 m AS (SELECT factor, stddev_pop(r) * sqrt(252) AS volatility, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe, coalesce(avg(r) / nullif(stddev_pop(r) FILTER (WHERE r < 0), 0) * sqrt(252), 0) AS sortino, min(dd) AS mdd FROM z GROUP BY factor),
 perf AS (SELECT factor, total AS total_return, (1 + total) ** (1 / years) - 1 AS annual_return, volatility, sharpe, sortino, mdd AS max_drawdown, ((1 + total) ** (1 / years) - 1) / abs(mdd) AS calmar FROM e JOIN m USING (factor))"""
+_PERF_SQL = _LS_SQL + _PERF_TAIL
 
 
 @query(f"{_PERF_SQL} SELECT factor, round(total_return, 5) AS total_return, round(annual_return, 5) AS annual_return, round(volatility, 5) AS volatility, round(sharpe, 5) AS sharpe, round(sortino, 5) AS sortino, round(max_drawdown, 5) AS max_drawdown, round(calmar, 5) AS calmar FROM perf", 5)
@@ -480,7 +488,7 @@ FROM perf"""
 )
 def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, prices = _data(spark, sf_dir)
-    periods = backtest.long_short(data, prices, cost_bps=COST_BPS)
+    periods = stored(backtest.long_short(data, prices, cost_bps=COST_BPS), "query-periods")
     returns = analysis.quantile_returns(data, PERIODS)
     s = backtest.summary(analysis.ic_summary(analysis.rank_ic(data, PERIODS)), analysis.quantile_spread(returns, PERIODS), backtest.performance(backtest.nav(periods)), backtest.trading(periods), period=1)
     return s.withColumns({c: F.round(c, 4 if c == "bt_annual_return" else 5) for c in s.columns if c.startswith("bt_") and c != "bt_n_rebalances"})

@@ -103,7 +103,6 @@ def test_analysis_in_one_call(spark):
     prices = p.select("ts", "symbol", (100 + F.col("close") / 10).alias("close"))
     a = analysis.analyze(factors.compute(p, [factors.raw("close"), factors.raw("volume")]), prices, periods=[1, 2], quantiles=3)
     assert a.summary.count() == 4 and a.spread.count() == 2 and a.turnover.count() > 0
-    a.data.unpersist()
 
 
 def test_warmup(spark):
