@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as r
+from ..sources.stored import stored
 from . import analysis, backtest
 
 c = F.col
@@ -169,7 +170,7 @@ def grid_scan(factors: DataFrame, prices: DataFrame, *, rebalances: list[int], s
     legs = top_bottom_weights(every, None, keys=("config", "factor"), extra=("strength",))
     side = Window.partitionBy(*by, F.signum("weight"))
     weights = legs.withColumn("weight", F.sum("weight").over(side) * F.coalesce(F.try_divide(c("strength"), F.sum("strength").over(side)), 1 / F.count("*").over(side)))
-    rows = backtest.from_weights(weights, prices, cost_bps=cost_bps, keys=("config", "factor"))
+    rows = backtest.from_weights(stored(weights, "grid-weights"), prices, cost_bps=cost_bps, keys=("config", "factor"))
     perf = backtest.performance(backtest.nav(rows, ("config", "factor")), ("config", "factor"))
     return perf.join(F.broadcast(configs), "config")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling
 from ..operators import bars, factors, research
 from ..sources import tables
+from ..sources.stored import stored
 from ..sources.tables import ORDER_PRICES, PANEL, TRADES
 from . import queries as base
 from .queries import _DATE, _FACTOR_SQL, _IC_SQL, _LS_SQL, _QR, _dated, _day, query
@@ -443,7 +444,7 @@ p AS (SELECT d.factor, d.ts, d.next_ts, coalesce(gross, 0) AS gross, coalesce(tu
 )
 def grid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, prices = base._factors(spark, sf_dir)
-    volumes = tables.panel(spark, sf_dir).select("ts", "symbol", "volume")
+    volumes = stored(tables.panel(spark, sf_dir).select("ts", "symbol", "volume"), "query-volumes")
     made = research.grid_scan(f, prices, rebalances=[1, 3], sizes=[3, 10], pools=(0, 40), weightings=("equal", "signal"), volumes=volumes)
     return made.select("config", "factor", "total_return", "volatility", "max_drawdown")
 
