@@ -34,6 +34,8 @@ PER_LANGUAGE, LEAST, FIT_ROWS = 400, 8, 25_600
 LANDMARKS = 256
 #: Texts whose presence vectors make one matrix, and languages scored at once.
 ROWS, COLUMNS = 64, 64
+#: Text bytes scored at once.
+BYTES = 1 << 20
 RIDGE = 1e-2
 #: A language knows the n-grams that this share of its fitted texts hold. A text fits it
 #: if the share of known ones among its n-grams is at least SLACK times what all but
@@ -161,15 +163,17 @@ def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[s
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     spark_model = docs.sparkSession.sparkContext.broadcast(model)  # 256 kB per language
-    at = len(keep)
+    # The text goes to the workers once.
+    sent = keep if column in keep else [*keep, column]
+    at = sent.index(column)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "__text"):
+        for part in text_slices(batches, column, BYTES):
             lang, value, fits = spark_model.value.score(part.column(at).to_pylist())
-            made = pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+            made = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
             yield made.filter(pa.array(fits)) if only_fitting else made
 
-    return docs.select(*keep, F.col(column).alias("__text")).mapInArrow(score, schema)
+    return docs.select(*sent).mapInArrow(score, schema)
 
 
 def held_out() -> Column:
