@@ -89,7 +89,7 @@ def rolling_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT r.*, mr, mn FROM r LEFT JOIN m USING (ts)), k AS (
   SELECT *, CASE WHEN count(r1 + mr) OVER v >= 2 THEN covar_samp(r1, mr) OVER v END / nullif(var_samp(mr) OVER v, 0) AS beta, CASE WHEN count(r1 + mr) OVER l >= 2 THEN covar_samp(r1, mr) OVER l END / nullif(var_samp(mr) OVER l, 0) AS beta_60
   FROM j WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), l AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING)), e AS (SELECT *, r1 - beta * mr AS e FROM k)
-SELECT symbol, {_TS}, round(rn - mn, 4) AS relative_strength, round(beta, 4) AS beta, round(beta - beta_60, 4) AS beta_change, round(CASE WHEN count(e) OVER v >= 2 THEN stddev_samp(e) OVER v END, 4) AS idiosyncratic_vol
+SELECT symbol, {_TS}, round(rn - mn, 4) + 0.0 AS relative_strength, round(beta, 4) + 0.0 AS beta, round(beta - beta_60, 4) + 0.0 AS beta_change, round(CASE WHEN count(e) OVER v >= 2 THEN stddev_samp(e) OVER v END, 4) + 0.0 AS idiosyncratic_vol
 FROM e WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)""",
     4,
 )
@@ -281,9 +281,9 @@ def vwap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(research.vwap_features(_bars(spark, sf_dir)), "rolling_vwap", "vwap_deviation")
 
 
-@query(f"{_KYLE_SQL} SELECT symbol, {_TS}, round(lambda_20, 4) + 0.0 AS kyle_lambda, round((close - open) / nullif(volume, 0), 4) + 0.0 AS price_impact FROM k", 4)
+@query(f"{_KYLE_SQL} SELECT symbol, {_TS}, round(lambda_20, 4) + 0.0 AS kyle_lambda, round((close - open) / nullif(volume, 0), 9) + 0.0 AS price_impact FROM k", 9)
 def kyle_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(research.kyle_lambda(_with_flow(spark, sf_dir)), "kyle_lambda", "price_impact")
+    return _out(research.kyle_lambda(_with_flow(spark, sf_dir)).withColumn("kyle_lambda", F.round("kyle_lambda", 4)), "kyle_lambda", "price_impact")
 
 
 _ATR_SQL = f"""WITH {BARS}, t AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM b {_W}), a AS (SELECT *, avg(tr) OVER (w ROWS 99 PRECEDING) AS atr FROM t {_W})"""
@@ -335,11 +335,13 @@ def rsrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {BARS}, a AS (SELECT *, avg(close) OVER (w ROWS 12 PRECEDING) AS m13, avg(close) OVER (w ROWS 7 PRECEDING) AS m8, avg(close) OVER (w ROWS 4 PRECEDING) AS m5, avg((high - low) / 2) OVER (w ROWS 4 PRECEDING) - avg((high - low) / 2) OVER (w ROWS 33 PRECEDING) AS ao,
   lag(high) OVER w AS h1, lag(high, 2) OVER w AS h2, lag(low) OVER w AS l1, lag(low, 2) OVER w AS l2, quantile_cont(close, 0.8) OVER (w ROWS 59 PRECEDING) AS top, quantile_cont(close, 0.2) OVER (w ROWS 59 PRECEDING) AS bottom FROM b {_W})
-SELECT symbol, {_TS}, round(lag(m13, 8) OVER w, 6) AS jaw, round(lag(m8, 5) OVER w, 6) AS teeth, round(lag(m5, 3) OVER w, 6) AS lips, round(ao, 6) + 0.0 AS awesome, coalesce(h1 > h2 AND h1 > high AND l1 > l2 AND l1 > low, false) AS fractal_up, coalesce(h1 < h2 AND h1 < high AND l1 < l2 AND l1 < low, false) AS fractal_down,
-  CASE WHEN close > top THEN 1 WHEN close < bottom THEN -1 ELSE 0 END::BIGINT AS place_signal FROM a {_W}"""
+SELECT symbol, {_TS}, round(lag(m13, 8) OVER w, 6) AS jaw, round(lag(m8, 5) OVER w, 6) AS teeth, round(lag(m5, 3) OVER w, 6) AS lips, round(ao, 9) + 0.0 AS awesome, coalesce(h1 > h2 AND h1 > high AND l1 > l2 AND l1 > low, false) AS fractal_up, coalesce(h1 < h2 AND h1 < high AND l1 < l2 AND l1 < low, false) AS fractal_down,
+  CASE WHEN close > top THEN 1 WHEN close < bottom THEN -1 ELSE 0 END::BIGINT AS place_signal FROM a {_W}""",
+    9,
 )
 def alligator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(research.alligator(_bars(spark, sf_dir)), "jaw", "teeth", "lips", "awesome", "fractal_up", "fractal_down", "place_signal")
+    made = research.alligator(_bars(spark, sf_dir))
+    return _out(made.withColumns({x: F.round(x, 6) for x in ("jaw", "teeth", "lips")}), "jaw", "teeth", "lips", "awesome", "fractal_up", "fractal_down", "place_signal")
 
 
 @query(
