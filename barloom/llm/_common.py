@@ -6,7 +6,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,9 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one step inside a task works on; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: The setting that bounds an Arrow batch by bytes.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of ids, hashes and the like up to which a table is broadcast (under 100 MB).
 SMALL_ROWS = 1_000_000
 
@@ -85,6 +88,16 @@ def give_back() -> None:
         trim(0)
 
 
+def map_texts(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` for rows with texts: executor and worker hold batches of about
+    ``SLICE_BYTES`` instead of 64 MB, however long the texts. Lowers the session's
+    setting, unless it is lower already; no row goes, as it only bounds a batch."""
+    conf, as_bytes = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if as_bytes(conf.get(_BATCH_BYTES)) > SLICE_BYTES:
+        conf.set(_BATCH_BYTES, f"{SLICE_BYTES}b")
+    return df.mapInArrow(make, schema)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``limit`` bytes of text (or one row)."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import map_texts, text_slices
 
 MAX_N = 3
 BUCKETS = 1 << 15
@@ -151,7 +151,7 @@ def train(docs: DataFrame, usable: Column) -> Model:
     sample = labelled.join(F.broadcast(shares), "lang").filter(F.shiftrightunsigned(order, 11) < F.col("share"))
     sample = sample.select(order.alias("o"), "lang", "text").dropDuplicates(["o", "lang"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "bits"))
-    made = sample.mapInArrow(features, "o long, lang string, bits binary").withColumn("rank", rank)
+    made = map_texts(sample, features, "o long, lang string, bits binary").withColumn("rank", rank)
     rows = made.filter(F.col("rank") <= most).orderBy("lang", "rank").collect()
     return fit([r.bits for r in rows], [r.lang for r in rows])
 
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[s
             made = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
             yield made.filter(pa.array(fits)) if only_fitting else made
 
-    return docs.select(*sent).mapInArrow(score, schema)
+    return map_texts(docs.select(*sent), score, schema)
 
 
 def held_out() -> Column:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices, utf8
+from ._common import map_texts, text_slices, utf8
 
 Templates = tuple[tuple[str, str], ...]
 
@@ -139,7 +139,7 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
                     total[w] += own[w]
         yield pa.record_batch([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_texts(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in counted.collect()}  # at most a row per word of the templates
 
 
@@ -210,4 +210,4 @@ def scan(docs: DataFrame, *, templates: Templates | DataFrame = TEMPLATES, thres
             rows = [scan_text(raw, index, phrases, m) for raw, m in zip(utf8(part.column(1)), may)]
             yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    return map_texts(docs.select("doc_id", "text"), find, schema)

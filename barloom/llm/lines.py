@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, least_linked, small, stored, text_slices
+from ._common import connected_components, least_linked, map_texts, small, stored, text_slices
 
 EDITS = 2
 #: Lines under SHORT characters, the empty ones, are left alone; those under EDIT_SHORT go by equality alone.
@@ -248,7 +248,7 @@ def _filed(docs: DataFrame) -> DataFrame:
                         h += [line_hash(line)] * len(own)
             yield _long_batch({"key": np.array(key, np.uint64).view(np.int64), "h1": np.array(h, np.int64)})
 
-    return docs.select("text").mapInArrow(file, "key long, h1 long")
+    return map_texts(docs.select("text"), file, "key long, h1 long")
 
 
 def _long_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -321,7 +321,7 @@ def links(docs: DataFrame) -> DataFrame:
             yield _long_batch({"key": np.array([k for k, _ in rows], np.uint64).view(np.int64), "h1": np.array([h for _, h in rows], np.int64)})
 
     crowded = texts.join(met.filter("hot").select("h1").distinct(), "h1", "left_semi").select("line", "h1")
-    finer = stored(_met(crowded.mapInArrow(refile, "key long, h1 long"), HOT), "lines-finer")
+    finer = stored(_met(map_texts(crowded, refile, "key long, h1 long"), HOT), "lines-finer")
     grouped = met.filter("not hot").select("key", "h1").unionByName(_dealt(finer)).join(texts, "h1").select("key", "line")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def links(docs: DataFrame) -> DataFrame:
                 group.append(text)
         yield done([*ready, group] if len(group) > 1 else ready)
 
-    made = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long")
+    made = map_texts(grouped.repartition("key").sortWithinPartitions("key"), compare, "a1 long, a2 long, b1 long, b2 long")
     return made.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b"))
 
 
@@ -368,7 +368,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             at, pair = pa.array(row, pa.int64()), np.array(h, np.int64).reshape(-1, 2)
             yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(no, pa.int32()), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["doc_id", "doc_hash", "line_no", "h1", "h2"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), "text").mapInArrow(make, "doc_id long, doc_hash long, line_no int, h1 long, h2 long")
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), "text"), make, "doc_id long, doc_hash long, line_no int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -414,4 +414,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             cols = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(part.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
-    return both.mapInArrow(strip, docs.schema.add("n_lines", "long").add("n_removed", "long"))
+    return map_texts(both, strip, docs.schema.add("n_lines", "long").add("n_removed", "long"))

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, small, stored, text_slices, utf8
+from ._common import map_texts, shared_dir, small, stored, text_slices, utf8
 
 WIDTH = 576
 PAD = b"\xff"
@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, folder: str, repeated: DataFrame | None = None
         sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
         keep = F.col("owner").isNull() | F.col("doc_id").eqNullSafe(F.col("owner"))
         marked = docs.select("doc_id", "text", sha.alias("sha")).join(small(repeated, repeated.count()), "sha", "left").select("doc_id", "text", keep.alias("keep"))
-    return marked.mapInArrow(write, "doc_id long, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long")
+    return map_texts(marked, write, "doc_id long, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long")
 
 
 def _ranges(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, pa.NativeFile]]]]:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, text_slices
+from ._common import map_texts, stored, text_slices
 
 #: Words whose ids a worker remembers; beyond that it keeps those of the batch at hand.
 REMEMBERED = 300_000
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, capacity: int, end_id: int = 0)
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
             yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Tree:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import map_texts, text_slices
 
 THRESHOLD = 8.0
 LONGEST = 24
@@ -114,7 +114,7 @@ def corpus_words(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
                 total.clear()
         yield made()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_texts(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counted.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -197,4 +197,4 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    return map_texts(docs.select("doc_id", "text"), find, schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import connected_components, give_back, small, stored, text_slices, utf8
+from ._common import connected_components, give_back, map_texts, small, stored, text_slices, utf8
 
 SEED = 42
 #: From this size on, a bucket is compared by breadth-first search over its own planes.
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64, id_ty
             found = np.array([one(t) for t in utf8(part.column(1))], np.uint64).reshape(-1, words)
             yield pa.record_batch([part.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
+    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
 
 
 # Bit-sliced comparison
@@ -454,7 +454,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> Data
             yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
-    return found.mapInArrow(make, "node string, shingles array<bigint>").dropDuplicates(["node"])
+    return map_texts(found, make, "node string, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def jaccard(x: str, y: str) -> Column:
