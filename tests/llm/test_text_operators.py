@@ -648,3 +648,27 @@ def test_line_dedup_odd_rows(odd, empty):
     assert [r.text for r in got if r.doc_id == 1] == [None]
     assert sorted(len(r.text) for r in got if r.doc_id in (4, 5)) == [0, 31, 31]
     assert lines.dedup(empty).count() == 0
+
+
+def test_texts_travel_in_bounded_batches(spark):
+    """Every row arrives, in batches of about SLICE_BYTES; a lower setting stays."""
+    from barloom.llm import _common
+
+    key = _common._BATCH_BYTES
+    before = spark.conf.get(key)
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+
+    def count(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        spark.conf.set(key, "64m")
+        rows = _common.map_texts(texts, count, "n long, bytes long").collect()
+        assert sum(r.n for r in rows) == 6000 and len(rows) > 1
+        assert max(r.bytes for r in rows) < _common.SLICE_BYTES + 100_000
+        spark.conf.set(key, "1m")
+        assert _common.map_texts(texts, count, "n long, bytes long").agg({"n": "sum"}).first()[0] == 6000
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
