@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk
+from . import chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk, windows
 
-#: Fixed value: the vocabulary of the packing query.
-VOCABULARY = "word_bpe_49k.json"
+#: The vocabularies of the packing queries.
+VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return windows.pack(_table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path(BYTE_VOCABULARY), window=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_media_columns,
         op10_license_scan,
+        op13_least_squares_packing,
     )
 }
 
