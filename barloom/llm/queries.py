@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk, windows
+from . import centroids, chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk, windows
 
 #: The vocabularies of the packing queries.
 VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dimensions=64, scale=1024)
+
+
 def op13_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_media_columns,
         op10_license_scan,
+        op12_centroid_clustering,
         op13_least_squares_packing,
     )
 }
@@ -90,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": topk.TOP_K_SQL,
     "op2_perspective_rotation": chat.ROTATE_SQL,
     "op6_source_mixing": mixing.mix_sql(),
+    "op12_centroid_clustering": centroids.cluster_sql(),
 }
