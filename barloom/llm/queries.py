@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk, windows
+from . import alignment, centroids, chat, langid, licenses, lines, media, mixing, packing, secretscan, simhash, topk, windows
 
-#: The vocabularies of the packing queries.
+#: The vocabularies of the packing and alignment queries.
 VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), path_a=public_tokenizers.path(BYTE_VOCABULARY), path_b=public_tokenizers.path(PIECE_VOCABULARY))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dimensions=64, scale=1024)
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_media_columns,
         op10_license_scan,
+        op11_tokenizer_alignment,
         op12_centroid_clustering,
         op13_least_squares_packing,
     )
