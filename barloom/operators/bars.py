@@ -186,7 +186,15 @@ def _fold(days: DataFrame) -> DataFrame:
     return listed.select("symbol", F.inline(F.aggregate("days", start, step).out))
 
 
-def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame, *, before_first: str = "first", advanced: bool = True, most_pieces: int = 100_000) -> DataFrame:
+def _amount(trades: DataFrame, amount: str) -> DataFrame:
+    """Ticks with notional, with their day and exact amount; ``exact``, if the trades have
+    it, is the amount of what an earlier run carried over."""
+    t = _timed(trades).filter(F.col("notional") > 0).withColumn("day", _epoch_day())
+    own = (F.round("notional", 6) if amount == "dollar" else F.col("quantity")).cast(AMOUNT)
+    return t.withColumn("amount", F.coalesce("exact", own) if "exact" in t.columns else own)
+
+
+def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame, *, before_first: str = "first", advanced: bool = True, most_pieces: int = 100_000, opened: DataFrame | None = None, resumable: bool = False) -> DataFrame:
     """Volume (``amount='volume'``) or dollar (``'dollar'``) bars.
 
     ``threshold``: a number, or (symbol, day, threshold) rows, of which each day
@@ -195,9 +203,12 @@ def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame,
     changes goes on with the new one. Ticks without notional are skipped. A bar
     after the first starts at the time of the tick that closed the one before.
     A tick that would span over ``most_pieces`` bars is an error.
+
+    ``opened`` (symbol, bars, begin_ms) goes on from an earlier run: bars are numbered
+    from ``bars``, and the first begins at ``begin_ms``. ``resumable`` adds ``first``, the
+    piece each bar begins with; see ``operators.resume``.
     """
-    t = _timed(trades).filter(F.col("notional") > 0).withColumn("day", _epoch_day())
-    t = t.withColumn("amount", (F.round("notional", 6) if amount == "dollar" else F.col("quantity")).cast(AMOUNT))
+    t = _amount(trades, amount)
     days = t.groupBy("symbol", "day").agg(F.sum("amount").cast(AMOUNT).alias("total"))
     if isinstance(threshold, DataFrame):
         w = Window.partitionBy("symbol").orderBy("day")
@@ -219,24 +230,39 @@ def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame,
     run = run.withColumn("lo", (F.col("hi") - F.col("amount")).cast("decimal(38,8)"))
     run = run.withColumn("k0", F.expr("case when rn = 1 then 0 else lo div thr end")).withColumn("k1", F.greatest("k0", F.expr("hi div thr - cast(hi % thr = 0 as int)")))
     run = run.withColumn("k", F.explode(F.when(F.col("k1") - F.col("k0") > most_pieces, F.raise_error(F.lit("a tick spans too many bars: the threshold is too small"))).otherwise(F.sequence("k0", "k1"))))
-    part = F.expr("least(hi, cast((k + 1) * thr as decimal(38,8))) - case when k = k0 then lo else cast(k * thr as decimal(38,8)) end").cast("double")
-    pieces = run.withColumn("part", part).withColumn("bar_id", F.col("bars") + F.col("k"))
+    exact = F.expr("least(hi, cast((k + 1) * thr as decimal(38,8))) - case when k = k0 then lo else cast(k * thr as decimal(38,8)) end").cast(AMOUNT)
+    pieces = run.withColumn("exact", exact).withColumn("part", F.col("exact").cast("double")).withColumn("bar_id", F.col("bars") + F.col("k"))
     if amount == "dollar":
         pieces = pieces.withColumns({"notional": F.col("part"), "quantity": F.col("part") / F.col("price")})
     else:
         pieces = pieces.withColumns({"quantity": F.col("part"), "notional": F.col("part") * F.col("price")})
-    bar = aggregate(pieces, ["symbol", "bar_id"], advanced=advanced, extra=[F.max(F.expr("case when hi >= (k + 1) * thr then true else false end")).alias("is_complete")])
+    extra = [F.max(F.expr("case when hi >= (k + 1) * thr then true else false end")).alias("is_complete")]
+    if resumable:
+        extra.append(F.min_by(F.struct("ts", "trade_id", "price", "quantity", "is_buyer_maker", "exact"), F.struct("ts", "trade_id")).alias("first"))
+    bar = aggregate(pieces, ["symbol", "bar_id"], advanced=advanced, extra=extra)
     start = F.lag("end_time_ms").over(Window.partitionBy("symbol").orderBy("bar_id"))
-    bar = bar.withColumn("start_time_ms", F.coalesce(start, "start_time_ms"))
-    return bar.select("symbol", "bar_id", *BASIC, *(ADVANCED if advanced else ()), "is_complete")
+    if opened is not None:
+        # A row per symbol.
+        bar = bar.join(opened.select("symbol", "bars", "begin_ms"), "symbol", "left").withColumn("start_time_ms", F.coalesce(start, "begin_ms", "start_time_ms")).withColumn("bar_id", F.col("bar_id") + F.coalesce("bars", F.lit(0)))
+    else:
+        bar = bar.withColumn("start_time_ms", F.coalesce(start, "start_time_ms"))
+    return bar.select("symbol", "bar_id", *BASIC, *(ADVANCED if advanced else ()), "is_complete", *(["first"] if resumable else []))
+
 
+def adaptive_bars(trades: DataFrame, amount: str, threshold: float | DataFrame | str, *, lookback: int = 10, bars_per_day: int = 50, discard_months: int = 1, **how) -> DataFrame:
+    """Threshold bars, ``'auto'`` being the threshold of each day's own past."""
+    if isinstance(threshold, str):
+        if threshold != "auto":
+            raise ValueError(f"no threshold: {threshold!r}")
+        threshold = daily_thresholds(daily_profile(trades, amount), lookback=lookback, bars_per_day=bars_per_day, discard_months=discard_months)
+    return threshold_bars(trades, amount, threshold, **how)
 
-def volume_bars(trades: DataFrame, threshold: float | DataFrame, **how) -> DataFrame:
-    return threshold_bars(trades, "volume", threshold, **how)
 
+def volume_bars(trades: DataFrame, threshold: float | DataFrame | str, **how) -> DataFrame:
+    """Volume bars with a fixed, given or automatic threshold."""
+    return adaptive_bars(trades, "volume", threshold, **how)
 
-def dollar_bars(trades: DataFrame, threshold: float | DataFrame | str = "auto", *, lookback: int = 10, bars_per_day: int = 50, discard_months: int = 1, **how) -> DataFrame:
+
+def dollar_bars(trades: DataFrame, threshold: float | DataFrame | str = "auto", **how) -> DataFrame:
     """Dollar bars with a fixed, given or automatic threshold."""
-    if isinstance(threshold, str):
-        threshold = daily_thresholds(daily_profile(trades), lookback=lookback, bars_per_day=bars_per_day, discard_months=discard_months)
-    return threshold_bars(trades, "dollar", threshold, **how)
+    return adaptive_bars(trades, "dollar", threshold, **how)

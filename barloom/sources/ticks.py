@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stored import Store
+
 # Raw column names, in order, of the venues' files.
 SPOT_TRADE_COLUMNS = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "timestamp", "is_buyer_maker", "is_best_match")
 FUTURES_TRADE_COLUMNS = SPOT_TRADE_COLUMNS[:7]
@@ -87,14 +89,17 @@ def csv_to_parquet(spark: SparkSession, pattern: str, out: str, columns: tuple[s
     _csv(spark, pattern, columns, header).write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
-def _stored(df: DataFrame, *keys: str):
-    return df.repartition(*keys).write.mode("overwrite").option("compression", "zstd").partitionBy(*keys)
+def replace_partitions(df: DataFrame, keys: tuple[str, ...], path: str, fmt: str = "parquet", **options) -> None:
+    """Writes ``df`` by ``keys``: the partitions it has rows of are replaced, all others
+    stay. Files are moved into place when all tasks are done, so a run that fails leaves the
+    old ones and one that is repeated changes nothing. A large partition gets several files."""
+    writer = df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", "zstd" if fmt == "parquet" else "none").options(**options).partitionBy(*keys).format(fmt).save(path)
 
 
 def write_ticks(ticks: DataFrame, path: str) -> None:
-    ticks = ticks.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    # Days keep one symbol-month from being one task's work.
-    ticks.repartition("symbol", "month", F.to_date("ts")).write.mode("overwrite").option("compression", "zstd").partitionBy("symbol", "month").parquet(path)
+    """By symbol and month; a symbol's month is replaced as a whole."""
+    replace_partitions(ticks.withColumn("month", F.date_format("ts", "yyyy-MM")), ("symbol", "month"), path)
 
 
 def read_ticks(spark: SparkSession, path: str, *, symbols: list[str] | None = None, start_month: str | None = None, end_month: str | None = None) -> DataFrame:
@@ -115,14 +120,18 @@ def dedup(ticks: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Complete bars by symbol and month of their end (time bars carry ``month``);
-    incomplete ones beside them under ``_incomplete`` of the same name."""
+    """Complete bars by symbol and month of their end (time bars carry ``month``); a
+    symbol's month is replaced as a whole. Beside them, under ``_incomplete`` of the same
+    name, the open bars by symbol: a symbol's latest replace the one before. The bars are
+    computed once."""
     if "month" not in bars.columns:
         bars = bars.withColumn("month", F.date_format(F.timestamp_millis("end_time_ms"), "yyyy-MM"))
     if "is_complete" not in bars.columns:
         bars = bars.withColumn("is_complete", F.lit(True))
-    for done, at in ((True, path), (False, f"{path.rstrip('/')}_incomplete")):
-        _stored(bars.filter(F.col("is_complete") == done).drop("is_complete"), "symbol", "month").parquet(at)
+    with Store(bars.sparkSession) as store:
+        made = store(bars, "bars")
+        replace_partitions(made.filter("is_complete").drop("is_complete"), ("symbol", "month"), path)
+        replace_partitions(made.filter("not is_complete").drop("is_complete"), ("symbol",), f"{path.rstrip('/')}_incomplete")
 
 
 def load_panel(spark: SparkSession, path: str, *, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -167,14 +176,14 @@ def coverage_gaps(present: DataFrame, *, start: str | None = None, end: str | No
 
 
 def write_factors(factors: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """(factor, ts, symbol, value), a folder per factor."""
-    factors.repartition("factor").write.mode("overwrite").partitionBy("factor").format(fmt).options(header=True).save(path)
+    """(factor, ts, symbol, value) by factor and month; a factor's month is replaced as a whole."""
+    replace_partitions(factors.withColumn("month", F.date_format("ts", "yyyy-MM")), ("factor", "month"), path, fmt, header=True)
 
 
 def read_factors(spark: SparkSession, path: str, names: list[str] | None = None, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.format(fmt).options(header=True)
-    df = (reader if fmt == "parquet" else reader.schema("ts timestamp, symbol string, value double, factor string")).load(path)
-    return df.filter(F.col("factor").isin(names)) if names else df
+    df = (reader if fmt == "parquet" else reader.schema("ts timestamp, symbol string, value double, factor string, month string")).load(path)
+    return (df.filter(F.col("factor").isin(names)) if names else df).select("factor", "ts", "symbol", "value")
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
