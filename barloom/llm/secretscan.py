@@ -9,9 +9,15 @@ A value in a credential context, that is after the keyword and ``:`` or ``=``, o
 long one after ``bearer``, whose cost reaches ``10 ** THRESHOLD`` guesses is reported
 with kind ``guess``.
 
-The words are common password words, then the ``VOCABULARY`` words that occur in most
-documents of the corpus itself, by counting all of it; a word of a single document,
-as a leaked value is, isn't one.
+The words are common password words, plain words that stand after such keywords in prose,
+then the ``VOCABULARY`` words of the corpus itself that occur in most classes of texts,
+by counting all of it. A text's class is that of its least hashed word, so copies and nearly all
+near copies are of one class; a word counts once per class, words inside a credential context
+don't count, and a word of fewer than ``LEAST_CLASSES`` isn't one. So a leaked value
+stays costly however often its document is copied.
+
+Values that go on as code or an address does (a call, an index, names joined by dots, ``://``
+without a password) are no credentials.
 
 An automaton first tells which texts can hold anything; those are searched
 whole. Only word counts are shuffled, and long texts stay with their row.
@@ -21,12 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +41,9 @@ from ._common import map_texts, text_slices
 
 THRESHOLD = 8.0
 LONGEST = 24
-#: Size of the dictionary, the documents a word must be in, and words that a task counts at once.
-VOCABULARY, LEAST_DOCUMENTS, COUNTED = 30_000, 2, 500_000
+#: Size of the dictionary, the classes of texts that a word must be in, of CLASSES, and words
+#: that a task counts at once.
+VOCABULARY, LEAST_CLASSES, CLASSES, COUNTED = 30_000, 24, 256, 500_000
 
 # Base kinds in their order, with the group and length that a match needs.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -59,6 +67,23 @@ WORDS = (
     "cheese flower purple yellow green black white blue red happy angel money access server root user guest default change "
     "system oracle mysql azure cloud token private public example sample demo temp dev prod stage data team work home"
 ).split()
+# Fixed value: plain words of prose and headings after credential keywords.
+PLAIN_WORDS = (
+    "access account accepted according active administration administrator advanced agency agent agreement allowed another application applications approval approved "
+    "authentication authorities authority authorization authorized automatic available bearer because before business canceled certificate certificates certification changed "
+    "character characters client code collection commission committee community company complete confidential configuration confirmed connection contains control corporation "
+    "council country create credential credentials customer daily database deleted department description details different digital director disabled division document documents "
+    "economy education electronic empty enabled encrypted encryption enter every example expired external federal field file following forgot forgotten future gathering general "
+    "generated government granted group hidden history however identification identity important incorrect individual information initial instead institute instructions insurance "
+    "international internationalization invalid issued justice key known language leader letters license located logged management manager manual meeting member message minimum "
+    "ministry missing mixed mountains mushrooms must name national necessary needed never none number numbers office officer official operation optional order organization other "
+    "outside owner panel paper parameter payment people permission personal phone phrase please policy position possible private procedure process program project property protected "
+    "protection provided public question random ready reason recovery regional registration remember reminder report request required requirement requirements reset resource response "
+    "restricted result review role rules safety saved school section secure security send sent service services session setting settings shared should signature simple single social "
+    "society some source special standard state statement status stored strength string strong support system temporary test text their there these this through title transfer type "
+    "undefined unique university unknown update updated used user users valid value values verification verified version village website weak when where which with without word words "
+    "world writer written wrong year years your zone"
+).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -78,7 +103,7 @@ class Words:
     """Words by rank, those of passwords first."""
 
     def __init__(self, corpus: Iterable[str] = ()):
-        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys((*WORDS, *corpus)))}
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys((*WORDS, *PLAIN_WORDS, *corpus)))}
         self.lengths = sorted({len(w) for w in self.rank})
 
     def cost(self, part: str, low: str, plain: str) -> float | None:
@@ -96,26 +121,60 @@ class Words:
 
 
 PLAIN = Words()
-_WORD = re.compile("[a-z]{3,%d}" % LONGEST)
+#: What a value that is code or an address looks like.
+_CODE = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*[(\[{]|[A-Za-z_$]{1,24}(?:(?:\.|->|::)[A-Za-z_$]{1,24})+\W*\Z|[A-Za-z][A-Za-z0-9+.-]*://(?![^/\s]*:[^/\s]*@)|\$\{|\{\{|%\(", re.ASCII)
+
+
+def _classes(part: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, rows): the words (3 to LONGEST letters a-z, in lower case) of the texts that
+    stand outside credential contexts, and for each the classes it is in as bits of bytes."""
+    may = pc.fill_null(pc.match_substring_regex(part, MAY_HOLD), False)
+    outside = iter([CONTEXT.sub(" ", ASSIGN.sub(" ", t)) for t in part.filter(may).to_pylist()])
+    texts = pa.array([next(outside) if m else t for m, t in zip(may.to_pylist(), part.to_pylist())], pa.string()) if pc.any(may).as_py() else part
+    listed = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[^a-z]+")
+    coded, row = listed.flatten().dictionary_encode(), pc.list_parent_indices(listed).to_numpy()
+    words, code = coded.dictionary, coded.indices.to_numpy()
+    size = pc.binary_length(words).to_numpy()
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    fits = ((size >= 3) & (size <= LONGEST))[code]
+    code, row = code[fits], row[fits]
+    if not len(code):
+        return pa.array([], pa.string()), np.empty((0, CLASSES // 8), np.uint8)
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    least = np.minimum.reduceat(hashed[code], at)
+    own = np.repeat((least % np.uint64(CLASSES)).astype(np.int64), np.diff(np.r_[at, len(row)]))
+    pair = np.unique(code.astype(np.int64) * CLASSES + own)
+    used, place = np.unique(pair // CLASSES, return_inverse=True)
+    bits = np.zeros((len(used), CLASSES), bool)
+    bits[place, pair % CLASSES] = True
+    return words.take(pa.array(used)), np.packbits(bits, axis=1)
+
+
+def corpus_words(docs: DataFrame, most: int = VOCABULARY, least: int = LEAST_CLASSES) -> list[str]:
+    """The ``most`` words that occur in most classes of the texts of ``docs`` (text), in
+    ``least`` at least; ties by the alphabet. Exact copies change nothing."""
+    lanes = CLASSES // 64
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
 
-def corpus_words(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The ``most`` words (3 to LONGEST letters a-z, in lower case) that occur in most
-    documents of ``docs`` (text), in LEAST_DOCUMENTS at least; ties by the alphabet."""
+        def made() -> pa.RecordBatch:
+            rows = np.stack(list(total.values())).view(np.int64) if total else np.empty((0, lanes), np.int64)
+            return pa.record_batch([pa.array(list(total), pa.string()), *(pa.array(rows[:, k]) for k in range(lanes))], names=["word", *(f"c{k}" for k in range(lanes))])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        made = lambda: pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
         for part in text_slices(batches):
-            for text in part.column(0).to_pylist():
-                total.update(set(_WORD.findall((text or "").lower())))
+            words, rows = _classes(part.column(0))
+            for w, r in zip(words.to_pylist(), rows):
+                total[w] = total[w] | r if w in total else r
             if len(total) > COUNTED:
                 yield made()
                 total.clear()
         yield made()
 
-    counted = map_texts(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).collect()]
+    names = [f"c{k}" for k in range(lanes)]
+    counted = map_texts(docs.select("text"), count, "word string, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.bit_or(c).alias(c) for c in names])
+    in_classes = sum((F.bit_count(c) for c in names[1:]), F.bit_count(names[0]))
+    return [r.word for r in counted.withColumn("n", in_classes).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def guess_cost(value: str, enough: float = float("inf"), words: Words = PLAIN) -> float:
@@ -164,7 +223,7 @@ def guess_cost(value: str, enough: float = float("inf"), words: Words = PLAIN) -
 def spans(text: str, threshold: float = THRESHOLD, words: Words = PLAIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base spans (start, kind number, end) by start and kind, and guess spans (start, end)."""
     base = sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least)
-    found = [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+    found = [m.span(m.lastindex) for m in CONTEXT.finditer(text) if not _CODE.match(text, m.start(m.lastindex), m.end(m.lastindex))]
     guess = [(a, b) for a, b in found if guess_cost(text[a:b], threshold, words) >= threshold]
     return base, guess
 
