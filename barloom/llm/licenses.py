@@ -1,10 +1,11 @@
 """License scan by an exact set-similarity join.
 
-Text blocks and license templates are sets of words. Blocks are the lines and,
-for sentences that wrap, all runs of words as long as a template (longer by
-1 / ``threshold``), whatever line ends they pass. A block matches a template if it
-contains at least ``threshold`` of the template's words. The join is exact and
-filters first, whole texts before their blocks:
+Text blocks and license templates are sets of words. Blocks are all runs of words as
+long as a template (longer by 1 / ``threshold``), whatever line ends they pass; so words of
+a template that are scattered over a long line make no match. A block matches a template
+if it contains at least ``threshold`` of the template's words, and for templates under
+``ORDERED`` words in the template's order. The join is exact and filters first, whole
+texts before their blocks:
 
 * tokens are ordered by their frequency over all documents, rare ones first;
 * prefix: a match must hold one of the template's first
@@ -20,15 +21,12 @@ is shuffled.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +64,12 @@ THRESHOLD = 0.9
 #: Templates that a table may hold; each task holds their words.
 MOST_TEMPLATES = 100_000
 
+#: Templates with fewer words than this are matched in order.
+ORDERED = 10
+
 #: Folds bytes: A-Z to lower case, bytes of words (all non-ASCII ones are) to
-#: themselves, others to a space; the second table keeps line ends.
+#: themselves, others to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 
 
 @dataclass
@@ -80,7 +80,9 @@ class Index:
     needed: list[int]
     labels: list[str]
     prefix: dict[bytes, list[int]]  # token: templates
+    words: list[list[bytes]]  # of each template, as they stand
     width: list[int]  # words in a run that may match
+    threshold: float
 
     @classmethod
     def build(cls, templates: Templates, threshold: float, frequency: dict[bytes, int]) -> Index:
@@ -90,8 +92,9 @@ class Index:
         for i, (t, k) in enumerate(zip(tokens, needed)):
             for w in t[: len(t) - k + 1]:
                 prefix.setdefault(w, []).append(i)
-        width = [ceil(len(text.encode().translate(_FOLD).split()) / threshold - 1e-9) for _, text in templates]
-        return cls(tokens, needed, [label for label, _ in templates], prefix, width)
+        words = [text.encode().translate(_FOLD).split() for _, text in templates]
+        width = [ceil(len(w) / threshold - 1e-9) for w in words]
+        return cls(tokens, needed, [label for label, _ in templates], prefix, words, width, threshold)
 
     def overlap(self, i: int, block: set[bytes]) -> int:
         """Shared tokens with template i; 0 as soon as the places passed leave too few."""
@@ -110,11 +113,14 @@ class Index:
                 yield i, shared / len(self.tokens[i])
 
     def best_run(self, i: int, words: list[bytes]) -> float:
-        """Containment of template i in the run of words that holds most of it; 0 if too little."""
+        """Containment of template i in the run of words that holds most of it, in order if
+        the template is short; 0 if too little."""
+        whole = self.words[i]
+        least = max(1, ceil(self.threshold * len(whole) - 1e-9))
         own, width = set(self.tokens[i]), self.width[i]
         places = [p for p, w in enumerate(words) if w in own]
         inside: Counter[bytes] = Counter()
-        first = most = 0
+        first = most = in_order = 0
         for p in places:
             inside[words[p]] += 1
             while places[first] <= p - width:
@@ -124,9 +130,24 @@ class Index:
                     del inside[w]
                 first += 1
             most = max(most, len(inside))
+            if len(whole) < ORDERED and len(inside) >= self.needed[i]:
+                in_order = max(in_order, _common_length(whole, words[max(0, p - width + 1) : p + 1]))
+        if len(whole) < ORDERED:
+            return in_order / len(whole) if in_order >= least else 0.0
         return most / len(own) if most >= self.needed[i] else 0.0
 
 
+def _common_length(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence of two short lists."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
 def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """How often each word of the (fixed) vocabulary occurs in all texts."""
 
@@ -163,51 +184,41 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]], may_match: bool) -> tuple:
+def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]]) -> tuple:
     """(words, base places, first and last of them, base labels, all labels, score)."""
     plain = raw.translate(_FOLD)
-    inside = np.frombuffer(b" " + plain, np.uint8) != 32
-    n_words = int((inside[1:] & ~inside[:-1]).sum())
+    words = plain.split()
     places, found, joined = [], set(), b""
     for phrase, label in base:
         if all(w in plain for w in phrase.split()):
-            joined = joined or b" %b " % b" ".join(plain.split())
+            joined = joined or b" %b " % b" ".join(words)
             if at := _places(joined, phrase):
                 found.add(label)
                 places += at
     labels, score = set(found), 1.0 if found else 0.0
-    words = plain.split() if may_match else []
-    if some := [i for i, _ in index.matches(set(words))]:
-        for i in some:
-            if share := index.best_run(i, words):
-                labels.add(index.labels[i])
-                score = max(score, share)
-        for line in raw.translate(_FOLD_LINES).split(b"\n"):
-            for i, share in index.matches(set(line.split())):
-                labels.add(index.labels[i])
-                score = max(score, share)
-    return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(labels)), score
+    for i, _ in index.matches(set(words)):
+        if share := index.best_run(i, words):
+            labels.add(index.labels[i])
+            score = max(score, share)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(labels)), score
 
 
 def scan(docs: DataFrame, *, templates: Templates | DataFrame = TEMPLATES, threshold: float = THRESHOLD, base: Templates = BASE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word,
     base_labels, labels, score. The score is 1 where a base phrase stands, else
-    the largest containment of a template in a line or run of words that meets the
-    threshold, or 0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
+    the largest containment of a template in a run of words that meets the threshold, or 0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
     table gives no rows. A label is given once however often it is found. ``templates``
     as a table: (label, text), of which rows without either or without a word say nothing."""
     templates = _listed(templates) if isinstance(templates, DataFrame) else templates
     vocabulary = frozenset(w for _, text in templates for w in text.encode().translate(_FOLD).split())
     index = Index.build(templates, threshold, frequencies(docs, vocabulary))
     phrases = [(phrase.encode(), label) for phrase, label in base]
-    some_prefix = "|".join(sorted(re.escape(w.decode()) for w in index.prefix)) or "$^"
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            may = pc.fill_null(pc.match_substring_regex(part.column(1), some_prefix, ignore_case=True), False).to_pylist()
-            rows = [scan_text(raw, index, phrases, m) for raw, m in zip(utf8(part.column(1)), may)]
+            rows = [scan_text(raw, index, phrases) for raw in utf8(part.column(1))]
             yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[c.split()[0] for c in schema.split(", ")])
 
     return map_texts(docs.select("doc_id", "text"), find, schema)

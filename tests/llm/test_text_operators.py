@@ -1,6 +1,7 @@
 """The text operators against brute force, and their handling of odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -388,10 +389,41 @@ def test_prose_holds_no_secrets(docs, spark):
     assert {d: got[d][0] for d, _ in weak} == {-20: 0, -21: 1, -22: 1, -23: 1, -24: 0}
 
 
-def test_dictionary_is_what_most_documents_hold(spark):
-    df = spark.createDataFrame([(1, "Beta alpha beta zz leakedvalue leakedvalue"), (2, "alpha BETA gamma"), (3, None), (4, "beta gamma alphabeta")], "doc_id long, text string")
-    assert secretscan.corpus_words(df) == ["beta", "alpha", "gamma"]
-    assert secretscan.corpus_words(df, 1) == ["beta"]
+def test_dictionary_is_what_most_classes_of_texts_hold(spark):
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    rows = [(k, f"{w} alpha" + (" Beta, beta" if k % 2 else "") + " zz") for k, w in enumerate(words)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = [w for w in secretscan.corpus_words(df) if w in ("alpha", "beta")]
+    assert some == ["alpha", "beta"] and secretscan.corpus_words(df, 1) == ["alpha"]
+    # Copies and words inside a credential context don't count.
+    leaked = spark.createDataFrame([(1000 + k, "notes once leakedvalue") for k in range(500)] + [(2000 + k, f"{w} password: innercontext") for k, w in enumerate(words)], "doc_id long, text string")
+    assert not {"leakedvalue", "innercontext"} & set(secretscan.corpus_words(df.unionByName(leaked)))
+
+
+LEAKS = ["notes pwd: zqxjkvwpmrtbl end", "the zqxjkvwpmrtbl again, token=zqxjkvwpmrtbl", 'api_key = "vR7!kq_Z2wPq"', "postgres password: https://user:q8Zk31vTt9@host/db"]
+UNPLANTED = """password = os.environ['DB_PASSWORD']
+password=getPasswordFromVault()
+Authorization: https://example.org/a/long/path/of/an/address
+Auth: Administration department
+bearer internationalization-certificate
+secret: ${VAULT_SECRET_OF_THE_DAY}
+token = self.session.current.token
+password = config[passwords]
+token: this.props.accessToken
+Token: required"""
+
+
+def test_copies_change_no_verdict_and_prose_and_code_hold_no_secret(docs, spark):
+    once = [(10**6 + k, t) for k, t in enumerate(LEAKS + UNPLANTED.split("\n"))]
+    copies = [(10**7 + 100 * k + j, t) for k, (_, t) in enumerate(once) for j in range(40)]
+    near = [(10**8 + j, f"{LEAKS[0]} {chr(97 + j % 26)}{chr(97 + j // 26)}x") for j in range(60)]
+    said = []
+    for rows in (once, once + copies, once + copies + near):
+        every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+        said.append({r.doc_id: (r.spans, r.n_guess) for r in secretscan.scan(every).collect()})
+        assert [said[-1][i][1] for i, _ in once] == [1, 1, 1, 1] + [0] * (len(once) - 4)
+    assert all(said[0][i] == said[1][i] == said[2][i] for i in said[0])
+    assert all(said[1][10**7 + 100 * k + j] == said[0][i] for k, (i, _) in enumerate(once) for j in range(40))
 
 
 def test_secrets_odd_rows(odd, empty):
@@ -485,20 +517,37 @@ def test_damaged_media_is_an_error():
 # License scan
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def ordered_length(a, b):
+    """Longest common subsequence, by recursion on prefixes."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+    return table[-1][-1]
+
+
 def brute_licenses(text):
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    """Every run of words against every template."""
+    w = words_of(text)
     hits = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
-    labels, score = {b for _, b in hits}, float(bool(hits))
-    for line in (text or "").split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-        for label, template in licenses.TEMPLATES:
-            tokens = set(re.findall("[0-9a-z]+", template))
-            share = len(tokens & own) / len(tokens)
+    found = {label for _, label in hits}
+    labels, score = set(found), float(bool(hits))
+    for label, template in licenses.TEMPLATES:
+        own = words_of(template)
+        width = math.ceil(len(own) / licenses.THRESHOLD - 1e-9)
+        for at in range(max(1, len(w) - width + 1)):
+            run = w[at : at + width]
+            share = len(set(own) & set(run)) / len(set(own))
+            if len(own) < licenses.ORDERED:
+                share = min(share, ordered_length(own, run) / len(own)) if share >= licenses.THRESHOLD - 1e-9 else 0
             if share >= licenses.THRESHOLD - 1e-9:
                 labels.add(label)
                 score = max(score, share)
-    places = sorted(i for i, _ in hits)
-    return len(w), len(hits), places[0] if places else None, places[-1] if places else None, ",".join(sorted({b for _, b in hits})), ",".join(sorted(labels)), score
+    return len(w), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted(found)), ",".join(sorted(labels)), score
 
 
 def test_licenses_equal_brute_force(docs, spark):
@@ -530,6 +579,17 @@ def test_wrapped_license_sentences_are_found(spark):
     assert {r.doc_id: r.labels for r in got} == {0: "mit", 1: "bsd", 2: "gpl,gpl-3.0", 3: "isc", 4: "mit", 5: ""}
 
 
+def test_scattered_words_are_no_license(spark):
+    """Words of a template in a long line, or in another order, say nothing."""
+    filler = ["alpha", "beta", "gamma", "delta", "omega"]
+    line = filler * 180
+    for k, w in enumerate(("mit", "released", "under", "license", "the")):
+        line.insert(100 + 170 * k, w)
+    rows = [(0, " ".join(line)), (1, "the mit team released a license under pressure"), (2, "the mit license released it under"), (3, "It is released under the MIT license."), (4, " ".join(filler * 200) + " released under the MIT license " + " ".join(filler * 200))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("mit", 1.0), 4: ("mit", 1.0)}
+
+
 def test_templates_come_as_a_table(spark, monkeypatch):
     table = spark.createDataFrame([("house", "our own house license grants you the right to read"), ("house", "our own house license grants you the right to read"), (None, "x"), ("empty", " - "), ("y", None)], "label string, text string")
     df = spark.createDataFrame([(1, "# Our own house license grants you\n# the right to read."), (2, MIT)], "doc_id long, text string")
