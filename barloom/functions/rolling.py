@@ -125,12 +125,3 @@ def weighted(x: str | Column, weights: list[float], **how) -> Column:
     num = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in listed), F.lit(0.0))
     den = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in listed), F.lit(0.0))
     return F.try_divide(num, den)
-
-
-def ema(x: str | Column, span: int, **how) -> Column:
-    """Exponential mean of the given span, cut off where its weights fall under a thousandth."""
-    alpha, out, w = 2 / (span + 1), [], 1.0
-    while w > 1e-3:
-        out.append(w)
-        w *= 1 - alpha
-    return weighted(x, out, **how)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as r
 from ..sources.stored import stored
-from . import analysis, backtest
+from . import analysis, backtest, blocks
 
 c = F.col
 
@@ -194,17 +194,12 @@ def top_bottom_weights(factors: DataFrame, n: int | None, keys: tuple[str, ...]
 
 def buffer_zone(factors: DataFrame, n: int, buffer: int) -> DataFrame:
     """(factor, ts, symbol): holdings that enter at rank n and stay until rank n +
-    buffer is passed. Each symbol's dates are folded in order: a row per date."""
+    buffer is passed."""
     by = Window.partitionBy("factor", "ts").orderBy(F.desc("value"), "symbol")
     ranked = factors.filter("value is not null").withColumn("k", F.row_number().over(by))
-    listed = ranked.groupBy("factor", "symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "k"))).alias("days"))
-    start = F.struct(F.lit(False).alias("held"), F.array().cast("array<timestamp>").alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        held = (d.k <= n) | (s.held & (d.k <= n + buffer))
-        return F.struct(held.alias("held"), F.when(held, F.concat(s.out, F.array(d.ts))).otherwise(s.out).alias("out"))
-
-    return listed.select("factor", F.explode(F.aggregate("days", start, step).out).alias("ts"), "symbol")
+    never = F.lit(False)
+    held = blocks.positions(ranked, long=c("k") <= n, leave_long=c("k") > n + buffer, short=never, leave_short=never, by=("factor", "symbol"))
+    return held.filter("position = 1").select("factor", "ts", "symbol")
 
 
 def ic_weights(ic: DataFrame, n: int = 60, horizon: int = 1, monthly: bool = False) -> DataFrame:
@@ -309,7 +304,7 @@ def order_flow_signal(panel: DataFrame, *, span: int = 10, lookback: int = 5, n:
     as sells on average. -1: the mirror image. Columns ofi, cumulative_delta,
     trade_intensity, large_trade_ratio, avg_buy, avg_sell. Adds strength: the share of
     the five conditions that hold."""
-    made = panel.withColumns({"ema_flow": r.ema("ofi", span), "__slope": c("cumulative_delta") - r.lag("cumulative_delta", lookback), "__zi": r.zscore("trade_intensity", n), "__zl": r.zscore("large_trade_ratio", n)})
+    made = blocks.exponential(panel, {"ema_flow": ("ofi", span)}).withColumns({"__slope": c("cumulative_delta") - r.lag("cumulative_delta", lookback), "__zi": r.zscore("trade_intensity", n), "__zl": r.zscore("large_trade_ratio", n)})
     held = lambda x: F.coalesce(x.cast("int"), F.lit(0))
 
     def side(way: int) -> tuple[Column, Column]:
@@ -328,8 +323,9 @@ def reversion_signal(panel: DataFrame, *, span: int = 10, n: int = 500, share: f
     absolute deviations, the smoothed imbalance is within ``cool``, volatility falls,
     and sells have fallen over the last ``falling`` rows. -1: the mirror image, with
     buys. Columns vwap_deviation, ofi, realized_vol, buy_volume, sell_volume."""
-    entry = r.quantile(F.abs("vwap_deviation"), share, n)
-    calm = (F.abs(r.ema("ofi", span)) < cool) & (c("realized_vol") < r.lag("realized_vol"))
+    made = blocks.order_statistics(panel.withColumn("__far", F.abs("vwap_deviation")), {"entry": ("__far", n, share)})
+    made = blocks.exponential(made, {"__flow": ("ofi", span)})
+    calm = (F.abs("__flow") < cool) & (c("realized_vol") < r.lag("realized_vol"))
 
     def fell(x: str) -> Column:
         steps = [(r.lag(x, k) if k else c(x)) < r.lag(x, k + 1) for k in range(falling - 1)]
@@ -338,9 +334,31 @@ def reversion_signal(panel: DataFrame, *, span: int = 10, n: int = 500, share: f
             out &= step
         return out
 
-    made = panel.withColumns({"entry": entry, "__calm": calm, "__sells": fell("sell_volume"), "__buys": fell("buy_volume")})
+    made = made.withColumns({"__calm": calm, "__sells": fell("sell_volume"), "__buys": fell("buy_volume")})
     signal = F.when((c("vwap_deviation") < -c("entry")) & c("__calm") & c("__sells"), 1).when((c("vwap_deviation") > c("entry")) & c("__calm") & c("__buys"), -1).otherwise(0)
-    return made.withColumn("signal", signal).drop("__calm", "__sells", "__buys")
+    return made.withColumn("signal", signal).drop("__calm", "__sells", "__buys", "__far", "__flow")
+
+
+def reversion_position(panel: DataFrame, *, leave: float = 0.0005, **how) -> DataFrame:
+    """``reversion_signal`` with its exit: ``position`` is the last signal's side until the
+    deviation is within ``leave``."""
+    made = reversion_signal(panel, **how)
+    near = F.abs("vwap_deviation") <= leave
+    return blocks.positions(made, long=c("signal") == 1, leave_long=near, short=c("signal") == -1, leave_short=near)
+
+
+def macd(panel: DataFrame, *, column: str = "close", fast: int = 12, slow: int = 26, smooth: int = 9) -> DataFrame:
+    """Adds macd (fast less slow exponential mean), macd_signal (its own mean), macd_histogram
+    (their difference), macd_cross (1 where the line passes its signal upward, so that
+    the histogram turns positive, -1 downward) and macd_rule: the crosses that the zero line
+    bears out, upward above it, downward below."""
+    made = blocks.exponential(panel, {"__fast": (column, fast), "__slow": (column, slow)}).withColumn("macd", c("__fast") - c("__slow"))
+    made = blocks.exponential(made, {"macd_signal": ("macd", smooth)}).withColumn("macd_histogram", c("macd") - c("macd_signal"))
+    was = r.lag("macd_histogram")
+    up, down = (c("macd_histogram") > 0) & (was <= 0), (c("macd_histogram") < 0) & (was >= 0)
+    made = made.withColumn("macd_cross", F.when(up, 1).when(down, -1).otherwise(0))
+    rule = F.when((c("macd_cross") == 1) & (c("macd") > 0), 1).when((c("macd_cross") == -1) & (c("macd") < 0), -1).otherwise(0)
+    return made.withColumn("macd_rule", rule).drop("__fast", "__slow")
 
 
 def regimes(panel: DataFrame, *, short: int = 20, long: int = 200, pace: int = 50, n: int = 100, high: float = 1.8, low: float = 0.6, quick: float = 0.5, slow: float = 2.0, crisis: float = 3.0) -> DataFrame:
@@ -432,12 +450,11 @@ def unified_features(panel: DataFrame, n: int = 20) -> DataFrame:
     """ema, price to mean, Bollinger position, RSI, Parkinson volatility, volume
     ratio, Amihud illiquidity, deviation from the vwap."""
     made = returns(panel, 1, "__r").withColumns({"__up": F.greatest(c("close") - r.lag("close"), F.lit(0.0)), "__down": F.greatest(r.lag("close") - c("close"), F.lit(0.0)), "__hl": F.pow(F.ln(F.try_divide(c("high"), c("low"))), 2)})
-    made = made.withColumn("__a", F.try_divide(F.abs("__r"), c("dollar_volume")))
+    made = blocks.exponential(made.withColumn("__a", F.try_divide(F.abs("__r"), c("dollar_volume"))), {f"ema_{n}": ("close", n)})
     mean, sd = r.mean("close", n), r.std("close", n)
     up, down = r.mean("__up", n), r.mean("__down", n)
     return made.withColumns(
         {
-            f"ema_{n}": r.ema("close", n),
             f"price_sma_{n}": F.try_divide("close", mean) - 1,
             f"bb_pos_{n}": F.try_divide(c("close") - mean, 2 * sd),
             f"rsi_{n}": 100 * F.try_divide(up, up + down),
@@ -458,10 +475,11 @@ def rsrs(panel: DataFrame, n: int = 18, m: int = 60) -> DataFrame:
 
 def alligator(panel: DataFrame, share: float = 0.8, n: int = 60) -> DataFrame:
     """Jaw, teeth and lips (shifted means of the close), the oscillator of half ranges,
-    MACD, fractals, which need the next bar and so are given one bar late, and a signal
+    MACD with its signal and rule, fractals, which need the next bar and so are given one bar late, and a signal
     from the close's place among the last n: 1 above ``share``, -1 below the rest."""
     made = panel.withColumn("__half", (c("high") - c("low")) / 2).withColumns({f"__m{k}": r.mean("close", k) for k in (5, 8, 13)})
-    made = made.withColumns({"jaw": r.lag("__m13", 8), "teeth": r.lag("__m8", 5), "lips": r.lag("__m5", 3), "awesome": r.mean("__half", 5) - r.mean("__half", 34), "macd": r.ema("close", 12) - r.ema("close", 26)})
+    made = made.withColumns({"jaw": r.lag("__m13", 8), "teeth": r.lag("__m8", 5), "lips": r.lag("__m5", 3), "awesome": r.mean("__half", 5) - r.mean("__half", 34)})
+    made = macd(made)
     over = lambda x: (r.lag(x, 1) > r.lag(x, 2)) & (r.lag(x, 1) > c(x))
     under = lambda x: (r.lag(x, 1) < r.lag(x, 2)) & (r.lag(x, 1) < c(x))
     top, bottom = r.quantile("close", share, n), r.quantile("close", 1 - share, n)

@@ -31,12 +31,10 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ema_sql(source: str, x: str, span: int, name: str) -> str:
-    """(symbol, ts, name): the exponential mean with weights down to a thousandth, by row numbers k of ``source``."""
-    q, last = 1 - 2 / (span + 1), 0
-    while q ** (last + 1) > 1e-3:
-        last += 1
+    """(symbol, ts, name): the exponential mean over all rows before, by row numbers k of ``source``."""
+    q = 1 - 2 / (span + 1)
     power = f"pow({q!r}, a.k - b.k)"
-    return f"(SELECT a.symbol, a.ts, sum(b.{x} * {power}) / sum({power}) AS {name} FROM {source} a JOIN {source} b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {last} AND a.k GROUP BY ALL)"
+    return f"(SELECT a.symbol, a.ts, sum(b.{x} * {power}) / sum({power}) AS {name} FROM {source} a JOIN {source} b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY ALL)"
 
 
 def _z_sql(x: str, n: int) -> str:
@@ -504,11 +502,3 @@ def regime_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Without SQL: derived bar columns.
-
-
-@query()
-def factors_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All built-in factors on four-hour bars."""
-    t = tables.trades(spark, sf_dir)
-    b = bars.time_bars(t, "4h").withColumn("ts", F.timestamp_millis("start_time_ms"))
-    return factors.compute(factors.bar_features(b, factors.tick_features(t, "4h")), [*factors.RAW, *factors.ROLLING])
