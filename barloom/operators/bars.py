@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AMOUNT = "decimal(28,8)"
+#: Thresholds, and numbers of bars in a day, so that their products keep all digits.
+THRESHOLD, COUNT = "decimal(19,8)", "decimal(18,0)"
+#: Running sums: so short of 38 digits that sums and differences keep all digits, too.
+RUNNING = "decimal(30,8)"
 DAY_MS = 86_400_000
 _UNITS = {"ms": 1, "s": 1_000, "m": 60_000, "min": 60_000, "h": 3_600_000, "d": DAY_MS, "w": 7 * DAY_MS}
 
@@ -172,15 +176,13 @@ def tick_bars(trades: DataFrame, n: int, *, advanced: bool = True) -> DataFrame:
 
 def _fold(days: DataFrame) -> DataFrame:
     """``days`` (symbol, day, total, thr) with the amount carried into each day and the bars before it."""
-    start = F.struct(F.lit(0).cast(AMOUNT).alias("carry"), F.lit(0).cast("long").alias("bars"), F.array().cast(f"array<struct<day: bigint, carry: {AMOUNT}, bars: bigint, thr: {AMOUNT}>>").alias("out"))
+    start = F.struct(F.lit(0).cast(AMOUNT).alias("carry"), F.lit(0).cast("long").alias("bars"), F.array().cast(f"array<struct<day: bigint, carry: {AMOUNT}, bars: bigint, thr: {THRESHOLD}>>").alias("out"))
 
     def step(s: Column, d: Column) -> Column:
-        held = (s.carry + d.total).cast("decimal(38,8)")
-        full = F.floor(held / d.thr).cast("long")
-        # The quotient is rounded; the remainder tells whether it went one too far.
-        over = held < (full * d.thr).cast("decimal(38,8)")
-        full = full - over.cast("long")
-        return F.struct((held - (full * d.thr).cast("decimal(38,8)")).cast(AMOUNT).alias("carry"), (s.bars + full).alias("bars"), F.concat(s.out, F.array(F.struct(d.day.alias("day"), s.carry.alias("carry"), s.bars.alias("bars"), d.thr.alias("thr")))).alias("out"))
+        held = (s.carry + d.total).cast(RUNNING)
+        # Quotient and remainder of decimals are exact, products of such digits aren't.
+        full = F.call_function("div", held, d.thr)
+        return F.struct((held % d.thr).cast(AMOUNT).alias("carry"), (s.bars + full).alias("bars"), F.concat(s.out, F.array(F.struct(d.day.alias("day"), s.carry.alias("carry"), s.bars.alias("bars"), d.thr.alias("thr")))).alias("out"))
 
     listed = days.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "total", "thr"))).alias("days"))
     return listed.select("symbol", F.inline(F.aggregate("days", start, step).out))
@@ -212,7 +214,7 @@ def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame,
     days = t.groupBy("symbol", "day").agg(F.sum("amount").cast(AMOUNT).alias("total"))
     if isinstance(threshold, DataFrame):
         w = Window.partitionBy("symbol").orderBy("day")
-        known = threshold.select("symbol", "day", F.col("threshold").cast(AMOUNT).alias("thr"))
+        known = threshold.select("symbol", "day", F.col("threshold").cast(THRESHOLD).alias("thr"))
         joined = days.join(known, ["symbol", "day"], "full").withColumn("thr", F.last("thr", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         first = F.first("thr", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         if before_first == "first":
@@ -223,20 +225,21 @@ def threshold_bars(trades: DataFrame, amount: str, threshold: float | DataFrame,
     else:
         if threshold <= 0:
             raise ValueError("a threshold must be positive")
-        days = days.withColumn("thr", F.lit(str(threshold)).cast(AMOUNT))
+        days = days.withColumn("thr", F.lit(str(threshold)).cast(THRESHOLD))
 
     w = Window.partitionBy("symbol", "day").orderBy("ts", "trade_id")
-    run = t.join(_fold(days), ["symbol", "day"]).withColumn("hi", (F.col("carry") + F.sum("amount").over(w)).cast("decimal(38,8)")).withColumn("rn", F.row_number().over(w))
-    run = run.withColumn("lo", (F.col("hi") - F.col("amount")).cast("decimal(38,8)"))
+    run = t.join(_fold(days), ["symbol", "day"]).withColumn("hi", (F.col("carry") + F.sum("amount").over(w).cast(AMOUNT)).cast(RUNNING)).withColumn("rn", F.row_number().over(w))
+    run = run.withColumn("lo", (F.col("hi") - F.col("amount")).cast(RUNNING))
     run = run.withColumn("k0", F.expr("case when rn = 1 then 0 else lo div thr end")).withColumn("k1", F.greatest("k0", F.expr("hi div thr - cast(hi % thr = 0 as int)")))
     run = run.withColumn("k", F.explode(F.when(F.col("k1") - F.col("k0") > most_pieces, F.raise_error(F.lit("a tick spans too many bars: the threshold is too small"))).otherwise(F.sequence("k0", "k1"))))
-    exact = F.expr("least(hi, cast((k + 1) * thr as decimal(38,8))) - case when k = k0 then lo else cast(k * thr as decimal(38,8)) end").cast(AMOUNT)
+    run = run.withColumns({"from": (F.col("k").cast(COUNT) * F.col("thr")).cast(RUNNING), "upto": ((F.col("k") + 1).cast(COUNT) * F.col("thr")).cast(RUNNING)})
+    exact = F.expr("least(hi, upto) - case when k = k0 then lo else from end").cast(AMOUNT)
     pieces = run.withColumn("exact", exact).withColumn("part", F.col("exact").cast("double")).withColumn("bar_id", F.col("bars") + F.col("k"))
     if amount == "dollar":
         pieces = pieces.withColumns({"notional": F.col("part"), "quantity": F.col("part") / F.col("price")})
     else:
         pieces = pieces.withColumns({"quantity": F.col("part"), "notional": F.col("part") * F.col("price")})
-    extra = [F.max(F.expr("case when hi >= (k + 1) * thr then true else false end")).alias("is_complete")]
+    extra = [F.max(F.col("hi") >= F.col("upto")).alias("is_complete")]
     if resumable:
         extra.append(F.min_by(F.struct("ts", "trade_id", "price", "quantity", "is_buyer_maker", "exact"), F.struct("ts", "trade_id")).alias("first"))
     bar = aggregate(pieces, ["symbol", "bar_id"], advanced=advanced, extra=extra)

@@ -19,6 +19,9 @@ from .queries import _4H, _threshold_sql, query
 
 # Streams
 
+#: How late ticks of the replayed streams may be; what that leaves waiting is given as open.
+_LATE = "1 days"
+
 
 def _replayed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], fold: streaming.TimeFold | streaming.ThresholdFold) -> DataFrame:
     """The trades as a stream that is read to its end: bars given, and those still open."""
@@ -32,7 +35,7 @@ def _replayed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], Data
     made = make(session.readStream.schema(trades.schema).parquet(f"{folder}/in"))
     query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    streaming.open_bars(session, f"{folder}/state", fold).write.parquet(f"{folder}/open")
+    streaming.open_bars(session, f"{folder}/state", fold, late=_LATE).write.parquet(f"{folder}/open")
     given, still = (spark.read.schema(made.schema).parquet(f"{folder}/{x}") for x in ("out", "open"))
     return given.unionByName(still)
 
@@ -40,7 +43,7 @@ def _replayed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], Data
 @query(base.ORACLE_SQL["bars_time_moves"])
 def stream_time_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves within four-hour bars from a stream."""
-    b = _replayed(spark, sf_dir, lambda s: streaming.time_bars(s, "4h", advanced=True), streaming.TimeFold(_4H))
+    b = _replayed(spark, sf_dir, lambda s: streaming.time_bars(s, "4h", advanced=True, late=_LATE), streaming.TimeFold(_4H))
     return b.select("symbol", "start_time_ms", "up_move_ratio", "down_move_ratio", "reversals", "tick_interval_mean", F.round("tick_interval_std", 4).alias("tick_interval_std"), "path_efficiency")
 
 
@@ -48,7 +51,7 @@ def stream_time_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dollar_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dollar bars with each day's own threshold from a stream."""
     fold = streaming.ThresholdFold(True, 0, 3, 10, 0)
-    b = _replayed(spark, sf_dir, lambda s: streaming.threshold_bars(s, "dollar", "auto", lookback=3, bars_per_day=10, discard_months=0), fold)
+    b = _replayed(spark, sf_dir, lambda s: streaming.threshold_bars(s, "dollar", "auto", late=_LATE, lookback=3, bars_per_day=10, discard_months=0), fold)
     return b.select("symbol", "bar_id", "end_time_ms", "open", "close", F.round("dollar_volume", 1).alias("dollar_volume"), "tick_count")
 
 
@@ -150,7 +153,7 @@ def long_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Order lines as daily bars: the number of the line is the symbol, even suppliers buy.
 LINES = """lines AS (
-  SELECT 'L' || l_linenumber AS symbol, l_shipdate AS ts, arg_max(l_extendedprice / l_quantity, l_orderkey) AS close, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_quantity) AS volume, sum(l_extendedprice) AS dollar_volume,
+  SELECT 'L' || l_linenumber AS symbol, l_shipdate AS ts, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_partkey, l_extendedprice)) AS close, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_quantity) AS volume, sum(l_extendedprice) AS dollar_volume,
     coalesce(sum(l_quantity) FILTER (WHERE l_suppkey % 2 = 0), 0) AS buy_volume, coalesce(sum(l_quantity) FILTER (WHERE l_suppkey % 2 = 1), 0) AS sell_volume
   FROM lineitem WHERE l_quantity > 0 GROUP BY ALL)"""
 
@@ -160,7 +163,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda odd: F.sum(F.when(c("l_suppkey") % 2 == odd, c("l_quantity")).otherwise(0.0))
     lines = tables.table(spark, sf_dir, "lineitem").filter("l_quantity > 0")
     day = lines.groupBy(F.concat(F.lit("L"), "l_linenumber").alias("symbol"), c("l_shipdate").cast("timestamp").alias("ts")).agg(
-        F.max_by(price, "l_orderkey").alias("close"), F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("dollar_volume"), of(0).alias("buy_volume"), of(1).alias("sell_volume")
+        F.max_by(price, F.struct("l_orderkey", "l_partkey", "l_extendedprice")).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("dollar_volume"), of(0).alias("buy_volume"), of(1).alias("sell_volume")
     )
     return day.withColumns({"ofi": (c("buy_volume") - c("sell_volume")) / c("volume"), "realized_vol": F.ln(c("high") / c("low"))})
 
