@@ -68,9 +68,9 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
-def rank_ic(data: DataFrame, periods: list[int], *, least: int = 3) -> DataFrame:
-    """(factor, ts, period, ic): Spearman correlation of value and forward return per date."""
-    by = ["factor", "ts"]
+def rank_ic(data: DataFrame, periods: list[int], *, least: int = 3, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """(keys, ts, period, ic): Spearman correlation of value and forward return per date."""
+    by = [*keys, "ts"]
     stacked = data.select(*by, "value", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"ret_{p}").alias("ret")) for p in periods])).alias("r")).select(*by, "value", "r.period", "r.ret").filter("ret is not null")
     by = [*by, "period"]
     ranked = stacked.withColumn("a", average_rank("value", by)).withColumn("b", average_rank("ret", by))

@@ -68,12 +68,14 @@ def autocorrelation(panel: DataFrame, x: str, n: int = 14) -> DataFrame:
     return made.withColumn("autocorrelation", r.correlation(x, "__lag", n)).drop("__lag")
 
 
-def relational(panel: DataFrame, n: int = 7) -> DataFrame:
+def relational(panel: DataFrame, n: int = 7, *, whales: str = "ofi", informed: Column | None = None) -> DataFrame:
     """Sign of the return times sign of the volume's change, both over n rows; imbalance
-    times absolute return; size of the imbalance times Kyle's lambda; falling impact.
-    Columns close, ret, volume, ofi, kyle_lambda, impact."""
+    of ``whales`` times absolute return; share of ``informed`` trading times Kyle's lambda;
+    falling impact. Columns close, ret, volume, kyle_lambda, impact. Operators.flow makes
+    whale_imbalance and vpin of ticks; without them the bars' ofi and its size stand in."""
+    informed = F.abs("ofi") if informed is None else informed
     made = panel.withColumns({"__di": c("impact") - r.lag("impact"), "__n": F.try_divide("close", r.lag("close", n)) - 1, "__v": c("volume") - r.lag("volume", n)})
-    made = made.withColumns({"divergence": F.signum("__n") * F.signum("__v"), "smart_money": c("ofi") * F.abs("ret"), "asymmetry": F.abs("ofi") * c("kyle_lambda"), "liquidity_momentum": -r.mean("__di", n)})
+    made = made.withColumns({"divergence": F.signum("__n") * F.signum("__v"), "smart_money": c(whales) * F.abs("ret"), "asymmetry": informed * c("kyle_lambda"), "liquidity_momentum": -r.mean("__di", n)})
     return made.drop("__di", "__n", "__v")
 
 

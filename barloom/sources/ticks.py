@@ -59,28 +59,28 @@ def _number(name: str, kind: str = "double") -> Column:
     return F.expr(f"try_cast({name} as {kind})")
 
 
-def normalize_maker_trades(raw: DataFrame, symbol: str) -> DataFrame:
+def normalize_maker_trades(raw: DataFrame, symbol: str | Column) -> DataFrame:
     """Spot and futures trade files, which carry a maker flag and milliseconds."""
     return trades(raw, symbol=F.lit(symbol), ts=as_time(_number("timestamp", "bigint")), trade_id=_number("agg_trade_id", "bigint"), price=_number("price"), quantity=_number("quantity"), maker=F.lower("is_buyer_maker").isin("true", "1"))
 
 
-def normalize_side_trades(raw: DataFrame, symbol: str) -> DataFrame:
+def normalize_side_trades(raw: DataFrame, symbol: str | Column) -> DataFrame:
     """Trade files that name the taker's side: a sell has a buyer as maker."""
     return trades(raw, symbol=F.lit(symbol), ts=as_time(_number("timestamp", "bigint")), trade_id=_number("trade_id", "bigint"), price=_number("price"), quantity=_number("size"), maker=F.lower("side") == "sell")
 
 
-def normalize_quotes(raw: DataFrame, symbol: str) -> DataFrame:
+def normalize_quotes(raw: DataFrame, symbol: str | Column) -> DataFrame:
     """Best-quote files; the transaction time is the time."""
     return quotes(raw, symbol=F.lit(symbol), ts=as_time(_number("transaction_time", "bigint")), bid=_number("best_bid_price"), bid_qty=_number("best_bid_qty"), ask=_number("best_ask_price"), ask_qty=_number("best_ask_qty"))
 
 
-def read_trade_csv(spark: SparkSession, path: str, symbol: str, *, side_based: bool = False, header: bool = False) -> DataFrame:
+def read_trade_csv(spark: SparkSession, path: str, symbol: str | Column, *, side_based: bool = False, header: bool = False) -> DataFrame:
     columns = SIDE_TRADE_COLUMNS if side_based else SPOT_TRADE_COLUMNS
     raw = _csv(spark, path, columns, header)
     return normalize_side_trades(raw, symbol) if side_based else normalize_maker_trades(raw, symbol)
 
 
-def read_quote_csv(spark: SparkSession, path: str, symbol: str, *, header: bool = False) -> DataFrame:
+def read_quote_csv(spark: SparkSession, path: str, symbol: str | Column, *, header: bool = False) -> DataFrame:
     return normalize_quotes(_csv(spark, path, QUOTE_COLUMNS, header), symbol)
 
 
