@@ -3,10 +3,10 @@
 A dialogue of several parties is rendered once for every participant: that
 speaker's turns as the assistant's, all others' as named users', system turns as
 they are, and a mask that covers what the assistant says. Long dialogues come in
-parts of ``part_turns`` turn numbers, and a part in which many more different rows
-crowd (they share turn numbers) is split into runs of ``part_turns`` rows in their
-order, so no group grows with a dialogue; joined in order of part, first_turn and
-tie, the parts of a perspective are the whole dialogue.
+parts of ``part_turns`` turn numbers, and every part in runs of ``part_turns`` different
+rows in their order (rows may share turn numbers), so no group grows with a dialogue;
+joined in order of part, first_turn and tie, the runs of a perspective are the whole
+dialogue.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 PART_TURNS = 256
-#: Different rows in a part, as a multiple of its turn numbers, from which it is split.
-CROWD = 4
-#: Crowded parts up to which their list is broadcast (under 10 MB).
-FEW = 100_000
+#: Characters of a text by which rows are dealt out in order; within a task all count.
+DEALT = 256
 SYSTEM = "system"
 UNKNOWN = "unknown"
 #: The markers of a rendering.
@@ -32,25 +30,29 @@ def _head(speaker: Column, perspective: Column) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit(CLOSE))
 
 
-def _in(turns: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-    """``turns`` whose part is among (left_semi) or not among (left_anti) the stored ``parts``."""
-    side = parts.select(*[F.col(k).alias(f"_{k}") for k in parts.columns])
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    """Equality of columns that ``b`` has under ``_`` names, nulls being equal."""
     same = F.lit(True)
-    for k in parts.columns:
-        same &= turns[k].eqNullSafe(side[f"_{k}"])
-    return turns.join(F.broadcast(side) if parts.count() <= FEW else side, same, how)
+    for k in names:
+        same &= a[k].eqNullSafe(b[f"_{k}"])
+    return same
 
 
-def _runs(crowded: DataFrame, size: int) -> DataFrame:
-    """``crowded``, different rows of parts that have numbers, with ``tie``: the number,
-    from 1, of the run of ``size`` rows of the part. Rows are sorted across partitions
-    and numbered by how many of their part come in earlier ones."""
-    sorted_ = stored(crowded.orderBy("conv_id", "part", "t").select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n")), "chat-sorted")
-    held = sorted_.groupBy("conv_id", "part", "_p").agg(F.min("_n").alias("_first"), F.count("*").alias("_held"))
-    before = F.coalesce(F.sum("_held").over(Window.partitionBy("conv_id", "part").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sorted_.join(held.withColumn("_before", before), ["conv_id", "part", "_p"])
-    rank = F.col("_before") + F.col("_n") - F.col("_first")
-    return ranked.withColumn("tie", F.floor(rank / size) + 1).select(*crowded.columns, "tie")
+def _sorted(turns: DataFrame, key: list[str]) -> DataFrame:
+    """``turns``, different rows, sorted across tasks wherever a part begins, and stored
+    with their task and their number, which grows within it."""
+    dealt = turns.repartitionByRange(*key, F.col("t.turn"), F.col("t.speaker"), F.left("t.said", F.lit(DEALT))).sortWithinPartitions(*key, "t")
+    return stored(dealt.select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("n")), "chat-sorted")
+
+
+def _runs(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """(key, t, tie) of ``_sorted`` rows: ``tie`` is the number, from 0, of the row's run of
+    ``size`` rows of its part, by how many of the part come in earlier tasks."""
+    held = rows.groupBy(*key, "task").agg(F.min("n").alias("first"), F.count("*").alias("rows"))
+    # A row per part and task that has some of it.
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = held.select(*[F.col(k).alias(f"_{k}") for k in (*key, "task")], (F.col("first") - before).alias("begin"))
+    return rows.join(begin, _same(rows, begin, [*key, "task"])).select(*key, "t", F.floor((F.col("n") - F.col("begin")) / size).alias("tie"))
 
 
 def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFrame:
@@ -60,7 +62,7 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
     ``mask`` lists the half-open character spans of ``rendered`` that the
     perspective's speaker says, end marker included. Turns are in order of turn,
     then speaker, then text, within and across parts; equal rows count once. ``tie``
-    is 0, or the number of the run in a part that is split. A null role is the speaker
+    is the number of the run in its part, from 0. A null role is the speaker
     ``unknown``, a null text is empty. A row without turn number is a part of
     its own (part null) of its dialogue, a row without conv_id a dialogue of its
     own. A dialogue of system turns alone has no participant and gives no rows.
@@ -76,15 +78,10 @@ def rotate(conversations: DataFrame, *, part_turns: int = PART_TURNS) -> DataFra
         F.struct("turn", F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"), said.alias("said")).alias("t"),
     )
     key = ["conv_id", "lone", "part", "loose"]
-    most = CROWD * part_turns
-    # Rows that many equal ones repeat are made one before they count; other parts needn't be.
-    many = stored(turns.groupBy(*key).count().filter(F.col("count") > most).select(*key), "chat-many")
-    once = stored(_in(turns, many, "left_semi").distinct(), "chat-once")
-    crowded = stored(once.groupBy(*key).count().filter(F.col("count") > most).select(*key), "chat-crowded")
-    rest = _in(turns, many, "left_anti").unionByName(_in(once, crowded, "left_anti")).withColumn("tie", F.lit(0).cast("long"))
-    parts = rest.unionByName(_runs(_in(once, crowded, "left_semi"), part_turns)).groupBy(*key, "tie").agg(F.array_sort(F.collect_set("t")).alias("turns"))
-    seats = turns.filter(F.col("t.speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.col("t.speaker").alias("perspective")).distinct()
-    each = parts.join(seats, parts.conv_id.eqNullSafe(seats.c) & (parts.lone == seats.l))
+    rows = _sorted(turns.distinct(), key)
+    parts = _runs(rows, key, part_turns).groupBy(*key, "tie").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    seats = rows.filter(F.col("t.speaker") != SYSTEM).select(F.col("conv_id").alias("_conv_id"), F.col("lone").alias("_lone"), F.col("t.speaker").alias("perspective")).distinct()
+    each = parts.join(seats, _same(parts, seats, ["conv_id", "lone"]))
 
     me = F.col("perspective")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
@@ -114,8 +111,7 @@ WITH t AS (
   SELECT *, floor(turn / {PART_TURNS})::BIGINT AS part FROM (
     SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations)
 ), r AS (
-  SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id, part) > {CROWD * PART_TURNS}
-    THEN (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, said) - 1) // {PART_TURNS} + 1 ELSE 0 END::BIGINT AS tie
+  SELECT *, ((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, said) - 1) // {PART_TURNS})::BIGINT AS tie
   FROM t
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'

@@ -137,12 +137,12 @@ def test_repeats_change_nothing_and_runs_keep_the_order(spark):
     got = chat.rotate(spark.createDataFrame(whole * 129 + crowd, TURNS)).filter("perspective = 'a'").orderBy("conv_id", "part", "first_turn", "tie").collect()
     assert [r.asDict() for r in got if r.conv_id == 1] == [r.asDict() for r in chat.rotate(spark.createDataFrame(whole, TURNS)).filter("perspective = 'a'").collect()]
     runs = [r for r in got if r.conv_id == 2]
-    assert [r.tie for r in runs] == list(range(1, 9)) and [r.n_turns for r in runs] == [256] * 7 + [208]
+    assert [r.tie for r in runs] == list(range(8)) and [r.n_turns for r in runs] == [256] * 7 + [208]
     assert "".join(r.rendered for r in runs) == "".join(f"<|{'assistant' if who == 'a' else 'user name=' + who}|>\n{text}<|end|>\n" for _, _, who, text in sorted(crowd))
 
 
 def test_crowded_parts_equal_the_sql(spark):
-    rows = [(1, t % 300, f"s{t % 5}", f"line {t}") for t in range(3000)] + [(2, 0, "a", f"x{k}") for k in range(1024)] + [(3, 1, "b", f"y{k}") for k in range(1025)] + [(4, 7, "c", "same")] * 3000
+    rows = [(1, t % 300, f"s{t % 5}", f"line {t}") for t in range(3000)] + [(2, 0, "a", f"x{k}") for k in range(1024)] + [(3, 1, "b", f"y{k}") for k in range(1025)] + [(5, 3, "d", f"z{k}") for k in range(256)] + [(6, 3, "e", "w" * 300 + f"{k}") for k in range(257)] + [(4, 7, "c", "same")] * 3000
     df = spark.createDataFrame(rows, TURNS)
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
