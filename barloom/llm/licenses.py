@@ -14,9 +14,10 @@ texts before their blocks:
 * positional: going through a template's tokens in order, the places that
   remain bound the overlap that is still possible.
 
-Templates, given as a table or as pairs, are the small side, up to ``MOST_TEMPLATES``,
-so each task holds the whole prefix index; blocks stream past it and nothing but counts
-is shuffled.
+Templates given as pairs are a program's own list: each task holds their prefix index,
+texts stream past it and nothing but counts is shuffled. A table of templates may be of any
+size: its prefix words meet the texts' words in a join, behind a bit set of fixed size that
+keeps words of no prefix from the shuffle, and each pair that this leaves is verified.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import md5
 from math import ceil
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts, text_slices, utf8
+from ._common import map_texts, stored, text_slices, utf8
 
 Templates = tuple[tuple[str, str], ...]
 
@@ -61,8 +66,10 @@ TEMPLATES: Templates = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 THRESHOLD = 0.9
-#: Templates that a table may hold; each task holds their words.
-MOST_TEMPLATES = 100_000
+#: Bits of the set that holds the prefix words of a table of templates.
+BITS = 1 << 20
+#: Templates of a table that a task keeps ready.
+READY = 4096
 
 #: Templates with fewer words than this are matched in order.
 ORDERED = 10
@@ -148,28 +155,83 @@ def _common_length(a: list[bytes], b: list[bytes]) -> int:
     return row[-1]
 
 
-def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each word of the (fixed) vocabulary occurs in all texts."""
+def _counted(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataFrame:
+    """(word, n): how often each word, or each of the vocabulary, occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
         for part in text_slices(batches):
+            total: Counter[bytes] = Counter()
             for raw in utf8(part.column(0)):
                 own = Counter(raw.translate(_FOLD).split())
-                for w in vocabulary & own.keys():
+                for w in own if vocabulary is None else vocabulary & own.keys():
                     total[w] += own[w]
-        yield pa.record_batch([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            yield pa.record_batch([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
+    return map_texts(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
+    """How often each word of a program's own templates occurs in all texts."""
+    return {bytes(r.word): r.n for r in _counted(docs, vocabulary).collect()} if vocabulary else {}  # at most a row per word
 
-    counted = map_texts(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counted.collect()}  # at most a row per word of the templates
 
+# A table of templates
+
+
+def _folded(templates: DataFrame) -> DataFrame:
+    """(tid, label, words) of the distinct templates that have a label and a word."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            rows = [(label, b" ".join(raw.translate(_FOLD).split())) for label, raw in zip(part.column(0).to_pylist(), utf8(part.column(1)))]
+            rows = [(md5(label.encode() + b"\0" + words).digest(), label, words) for label, words in rows if words]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.binary()))], names=["tid", "label", "words"])
+
+    sound = templates.filter("label is not null and text is not null").select("label", "text")
+    return map_texts(sound, fold, "tid binary, label string, words binary").dropDuplicates(["tid"])
 
-def _listed(templates: DataFrame) -> Templates:
-    """The distinct (label, text) rows of a table that have both and a word."""
-    found = templates.filter("label is not null and text is not null").select("label", "text").distinct().limit(MOST_TEMPLATES + 1).collect()
-    if len(found) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    return tuple(sorted((r.label, r.text) for r in found if r.text.encode().translate(_FOLD).split()))
+
+def _prefixes(folded: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """(word, tid, needed) of each template's prefix words in the order of their frequency."""
+    words = folded.select("tid", F.explode(F.array_distinct(F.split(F.col("words").cast("string"), " "))).alias("w")).select("tid", F.col("w").cast("binary").alias("word"))
+    order = words.join(counts, "word", "left").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("order"))
+    size = F.size("order")
+    needed = F.greatest(F.lit(1), F.ceil(size * F.lit(threshold) - 1e-9)).cast("int")
+    return order.select("tid", needed.alias("needed"), F.explode(F.slice("order", F.lit(1), size - needed + 1)).alias("o")).select("o.word", "tid", "needed")
+
+
+def _matches(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(key, labels, score) of the texts of ``docs`` (key, text) in which a template of the table stands."""
+    folded = stored(_folded(templates), "license-templates")
+    prefixes = stored(_prefixes(folded, _counted(docs), threshold), "license-prefixes")
+    bits = np.zeros(BITS, bool)
+    bits[[r.b for r in prefixes.select((F.crc32("word") % BITS).alias("b")).distinct().collect()]] = True  # at most BITS numbers
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            rows = []
+            for key, raw in zip(part.column(0).to_pylist(), utf8(part.column(1))):
+                own = set(raw.translate(_FOLD).split())
+                rows += [(key, w, len(own)) for w in own if bits[crc32(w) % BITS]]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int32()))], names=["key", "word", "size"])
+
+    met = map_texts(docs.select("key", "text"), words, "key string, word binary, size int").distinct().join(prefixes, "word").filter("size >= needed")
+    pairs = stored(met.select("key", "tid").distinct(), "license-pairs")
+    texts = docs.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    each = pairs.join(folded, "tid").join(texts, "key").select("key", "label", "words", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = lru_cache(READY)(lambda words: Index.build((("", words.decode()),), threshold, {}))
+        for part in text_slices(batches):
+            rows = []
+            for key, label, own, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), utf8(part.column(3))):
+                index, text = ready(own), raw.translate(_FOLD).split()
+                if index.overlap(0, set(text)) and (share := index.best_run(0, text)):
+                    rows.append((key, label, share))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["key", "label", "score"])
+
+    # A text's distinct labels are its result.
+    return map_texts(each, verify, "key string, label string, score double").groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("most"))
 
 
 def _places(joined: bytes, phrase: bytes) -> list[int]:
@@ -206,19 +268,33 @@ def scan_text(raw: bytes, index: Index, base: list[tuple[bytes, str]]) -> tuple:
 def scan(docs: DataFrame, *, templates: Templates | DataFrame = TEMPLATES, threshold: float = THRESHOLD, base: Templates = BASE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word,
     base_labels, labels, score. The score is 1 where a base phrase stands, else
-    the largest containment of a template in a run of words that meets the threshold, or 0. Null text is empty: no words, no labels. Repeated rows repeat; an empty
+    the largest containment of a template in a run of words that meets the threshold, or 0.
+    Null text is empty: no words, no labels. Repeated rows repeat; an empty
     table gives no rows. A label is given once however often it is found. ``templates``
-    as a table: (label, text), of which rows without either or without a word say nothing."""
-    templates = _listed(templates) if isinstance(templates, DataFrame) else templates
+    as a table of any size: (label, text), of which rows without either or without a word say
+    nothing; a label holds no comma. Both forms give the same rows."""
+    if isinstance(templates, DataFrame):
+        keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+        found = _matches(keyed.select("key", "text"), templates, threshold)
+        plain = _scan(keyed, Index.build((), threshold, {}), base)
+        every = F.array_sort(F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.coalesce("found", F.array().cast("array<string>"))))
+        both = plain.join(found, "key", "left").withColumns({"labels": F.array_join(every, ","), "score": F.greatest("score", F.coalesce("most", F.lit(0.0)))})
+        return both.select(*[c for c in plain.columns if c != "key"])
     vocabulary = frozenset(w for _, text in templates for w in text.encode().translate(_FOLD).split())
-    index = Index.build(templates, threshold, frequencies(docs, vocabulary))
+    return _scan(docs.select("doc_id", "text"), Index.build(templates, threshold, frequencies(docs, vocabulary)), base)
+
+
+def _scan(docs: DataFrame, index: Index, base: Templates) -> DataFrame:
+    """The result's columns of each row of ``docs`` (doc_id, text, others), the others after them."""
     phrases = [(phrase.encode(), label) for phrase, label in base]
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+    others = docs.columns[2:]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             rows = [scan_text(raw, index, phrases) for raw in utf8(part.column(1))]
-            yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[c.split()[0] for c in schema.split(", ")])
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.record_batch([part.column(0), *made, *part.columns[2:]], names=[*(c.split()[0] for c in schema.split(", ")), *others])
 
-    return map_texts(docs.select("doc_id", "text"), find, schema)
+    return map_texts(docs, find, ", ".join([schema, *(f"{c} string" for c in others)]))

@@ -590,13 +590,25 @@ def test_scattered_words_are_no_license(spark):
     assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("mit", 1.0), 4: ("mit", 1.0)}
 
 
-def test_templates_come_as_a_table(spark, monkeypatch):
+def test_templates_come_as_a_table(spark):
     table = spark.createDataFrame([("house", "our own house license grants you the right to read"), ("house", "our own house license grants you the right to read"), (None, "x"), ("empty", " - "), ("y", None)], "label string, text string")
     df = spark.createDataFrame([(1, "# Our own house license grants you\n# the right to read."), (2, MIT)], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in licenses.scan(df, templates=table).collect()} == {1: "house", 2: ""}
-    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 1)
-    with pytest.raises(ValueError):
-        licenses.scan(df, templates=table)
+    assert [r.labels for r in licenses.scan(df, templates=table.limit(0)).collect()] == ["", ""]
+
+
+def test_a_table_of_templates_gives_what_pairs_give(spark):
+    """Templates by the hundred with shared words, also over a bit set that is nearly full."""
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(400)] + ["é1", "the", "of"]
+    pairs = tuple((f"l{k % 90}", " ".join(rnd.choices(words, k=rnd.randint(1, 25)))) for k in range(600)) + licenses.TEMPLATES
+    rows = [(k, " ".join(rnd.choices(words, k=40)) + rnd.choice([" ", "\n"]) + " ".join(w for w in rnd.choice(pairs)[1].split() if rnd.random() < 0.95).upper() + " all rights reserved" * (k % 7 == 0)) for k in range(150)]
+    df = spark.createDataFrame(rows + rows[:5] + [(900, None), (901, "")], "doc_id long, text string").withColumn("key", F.lit("clash"))
+    normal = lambda d: sorted(map(tuple, d.collect()), key=str)
+    want = licenses.scan(df, templates=pairs)
+    got = licenses.scan(df, templates=spark.createDataFrame(list(pairs), "label string, text string").withColumn("words", F.lit(1)))
+    assert got.columns == want.columns and normal(got) == normal(want)
+    assert sum(r.labels not in ("", r.base_labels) for r in want.collect()) > 100
 
 
 def test_licenses_odd_rows(odd, empty):
