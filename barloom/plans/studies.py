@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, bars, flow, panel, research, robustness
+from ..operators import analysis, backtest, bars, factors, flow, panel, research, robustness
 from ..sources import tables, ticks
 from ..sources.stored import shared_dir
 from ..sources.tables import ORDER_PRICES, QUOTES, TRADES
+from . import histories
 from . import queries as base
 from . import research as formulas
-from .queries import _FACTOR_SQL, _threshold_sql, query
+from .queries import _FACTOR_SQL, _IC_SQL, _threshold_sql, query
 from .research import _KYLE_SQL, BARS, _STEP, _TS, _W, _out
 
 _G = "(PARTITION BY symbol, edge ORDER BY ts, trade_id)"
@@ -201,3 +202,32 @@ def panel_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = panel.universe_filter(h, suffix="H").unionByName(panel.universe_filter(h, suffix="M", exclude=["3-MEDIUM"]))
     kept = panel.finite_only(panel.trim_warmup(some, "1995-03-15", 30), "close")
     return _out(kept.withColumn("loaded_from", F.date_format(panel.warmup_start("1995-03-15", 30, "1d"), "yyyy-MM-dd")), "close", "loaded_from")
+
+
+@query(f"{_IC_SQL} SELECT factor, period, round(avg(ic), 6) AS mean_ic, count(ic) AS n FROM ic GROUP BY factor, period")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients' summary as a report of CSV with a header, read again."""
+    folder = _folder(spark, "report")
+    ic = analysis.rank_ic(base._data(spark, sf_dir)[0], base.PERIODS)
+    ticks.write_report({"summary": analysis.ic_summary(ic)}, folder)
+    return spark.read.csv(f"{folder}/summary", header=True, schema="factor string, period long, mean_ic double, icir double, n long").select("factor", "period", "mean_ic", "n")
+
+
+@query(f"{_FACTOR_SQL} SELECT factor, round(1 - avg((value IS NOT NULL AND ret_1 IS NOT NULL AND ret_5 IS NOT NULL)::INT), 6) AS loss, count(*) FILTER (WHERE value IS NOT NULL AND ret_1 IS NOT NULL AND ret_5 IS NOT NULL) AS kept FROM longf GROUP BY factor")
+def factor_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a factor's rows that lack a value or a forward return."""
+    made, prices = base._factors(spark, sf_dir)
+    data = analysis.clean(made, prices, periods=base.PERIODS, quantiles=base.QUANTILES, max_loss=None)
+    return data.groupBy("factor").agg(F.first("loss").alias("loss"), F.count("*").alias("kept"))
+
+
+_W168 = "(PARTITION BY symbol ORDER BY num RANGE BETWEEN 167 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"{histories._BUILTIN_SQL.split(', f2 AS (')[0]} SELECT symbol, {_TS}, round(CASE WHEN count(amihud) OVER {_W168} >= 6 THEN 1000 * avg(amihud) OVER {_W168} END, 6) AS amihud_168 FROM f1")
+def illiquidity_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's mean of hourly illiquidity, from six values on; the bars here are of four hours."""
+    t = tables.trades(spark, sf_dir)
+    b = bars.time_bars(t, "4h").withColumn("ts", F.timestamp_millis("start_time_ms"))
+    made = factors.wide(factors.bar_features(b, factors.tick_features(t, "4h")), [factors.roll("amihud_168", "amihud", "mean", 168, least=6)])
+    return _out(made.withColumn("amihud_168", 1000 * F.col("amihud_168")), "amihud_168")
