@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from types import TracebackType
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,10 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: what several
-    results are made of is then computed once, and plans stay short."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    results are made of is then computed once, lost executors cost no recomputation,
+    and plans stay short. The table goes with the session."""
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again; the table is removed when
+    the session's driver ends, if it wasn't before."""
+    spark = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    file_system, there = _located(spark, path)
+    file_system.deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes the table or folder at ``path``, if it is there."""
+    file_system, there = _located(spark, path)
+    file_system.delete(there, True)
+    file_system.cancelDeleteOnExit(there)
+
+
+def _located(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 class Store:
@@ -40,13 +62,10 @@ class Store:
         self.spark, self.folder = spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, f"{self.folder}/{name}")
 
     def __enter__(self) -> Store:
         return self
 
     def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(self.spark, self.folder)

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +124,23 @@ def test_month_by_month_equals_all_at_once(spark, trades, tmp_path, amount, thre
 def test_an_unknown_threshold_is_an_error(spark, trades):
     with pytest.raises(ValueError, match="no threshold"):
         bars.volume_bars(trades, "automatic")
+
+
+SESSION = """
+import os, sys
+from pyspark.sql import SparkSession
+from barloom.sources.stored import Store, stored
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", folder).getOrCreate()
+kept = stored(spark.range(5), "kept")
+with Store(spark) as store:
+    assert store(spark.range(3), "inner").count() == 3 and any(n.startswith("store-") for n in os.listdir(folder))
+assert not any(n.startswith("store-") for n in os.listdir(folder))
+assert kept.count() == 5 and any(n.startswith("kept-") for n in os.listdir(folder))
+spark.stop()
+"""
+
+
+def test_stored_tables_go_with_their_block_or_with_the_session(tmp_path):
+    subprocess.run([sys.executable, "-c", SESSION, str(tmp_path)], cwd=Path(__file__).parent.parent, check=True, timeout=300)
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith(("kept-", "store-"))]
