@@ -4,10 +4,10 @@ Arrow batches, and connected components."""
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.stored import removed, shared_dir, written
+
 #: Text bytes that one step inside a task works on; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: The setting that bounds an Arrow batch by bytes.
@@ -24,49 +26,32 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SMALL_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, that of the session.
-    Without either, a session on this machine alone (tests) gets a temporary
-    folder; on a cluster that is an error, as executors wouldn't share it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-#: Tables stored since each open ``workspace`` began.
-_OPEN: list[list[str]] = []
+#: Tables stored since the innermost open ``workspace`` of this thread began.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open workspace", default=None)
 
 
 def stored(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its work is
     done once, lost executors cost no recomputation, and its size is known. Unless
-    ``lasting``, the table goes with the ``workspace`` it was made in."""
+    ``lasting``, the table goes with the ``workspace`` it was made in; else with the session."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN and not lasting:
-        _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = _OPEN.get()
+    if made is not None and not lasting:
+        made.append(path)
+    return written(df, path)
 
 
 @contextmanager
 def workspace(spark: SparkSession):
-    """Deletes on exit the tables stored within: for work whose result was written by then."""
+    """Deletes on exit the tables stored within, by this thread: for work whose result was written by then."""
     made: list[str] = []
-    _OPEN.append(made)
+    before = _OPEN.set(made)
     try:
         yield
     finally:
-        _OPEN.remove(made)
-        for path in map(spark._jvm.org.apache.hadoop.fs.Path, made):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _OPEN.reset(before)
+        for path in made:
+            removed(spark, path)
 
 
 def small(df: DataFrame, n: int, most: int = SMALL_ROWS) -> DataFrame:

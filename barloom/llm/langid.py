@@ -70,10 +70,10 @@ class Model:
     known: np.ndarray  # BUCKETS x languages: 1 where the language knows the n-gram
     floor: np.ndarray  # the least share of known n-grams, by language
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The language, a score in [0, 1] for each text, and whether some language
-        knows enough of its n-grams; ``und``, 0 and false if null, without a letter,
-        or if no language was learned."""
+    def score(self, texts: list[str | None], *, fitting: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language, a score in [0, 1] for each text, and, if ``fitting`` is asked
+        for, whether some language knows enough of its n-grams (else false); ``und``, 0
+        and false if null, without a letter, or if no language was learned."""
         out, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         buffer = np.zeros((min(ROWS, len(rows)), BUCKETS), np.float32)
@@ -89,8 +89,9 @@ class Model:
             for k, i in enumerate(some):
                 out[i] = self.languages[best[k]]
             scores[some] = np.clip((raw[np.arange(len(some)), best] + 1) / 2, 0, 1)
-            known = np.concatenate([matrix @ self.known[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1)
-            fits[some] = (known / count >= self.floor).any(1)
+            if fitting:
+                known = np.concatenate([matrix @ self.known[:, k : k + COLUMNS] for k in range(0, len(self.languages), COLUMNS)], axis=1)
+                fits[some] = (known / count >= self.floor).any(1)
         return out, scores, fits
 
 
@@ -149,10 +150,10 @@ def train(docs: DataFrame, usable: Column) -> Model:
             yield pa.record_batch([part.column(0), part.column(1), pa.array(bits, pa.binary())], names=["o", "lang", "bits"])
 
     sample = labelled.join(F.broadcast(shares), "lang").filter(F.shiftrightunsigned(order, 11) < F.col("share"))
-    sample = sample.select(order.alias("o"), "lang", "text").dropDuplicates(["o", "lang"])
+    # Texts become bits where they are read; only these are shuffled.
+    made = map_texts(sample.select(order.alias("o"), "lang", "text"), features, "o long, lang string, bits binary").dropDuplicates(["o", "lang"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "bits"))
-    made = map_texts(sample, features, "o long, lang string, bits binary").withColumn("rank", rank)
-    rows = made.filter(F.col("rank") <= most).orderBy("lang", "rank").collect()
+    rows = made.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("lang", "rank").collect()
     return fit([r.bits for r in rows], [r.lang for r in rows])
 
 
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: Model, *, column: str = "text", keep: list[s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, column, BYTES):
-            lang, value, fits = spark_model.value.score(part.column(at).to_pylist())
+            lang, value, fits = spark_model.value.score(part.column(at).to_pylist(), fitting=only_fitting)
             made = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
             yield made.filter(pa.array(fits)) if only_fitting else made
 
