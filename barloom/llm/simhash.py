@@ -20,7 +20,9 @@ rows is dealt out as pairs of bounded blocks.
 
 ``deduplicate`` takes the links of the sampled way as candidates only: each is
 held against the shingle sets of its two texts, and counts from a Jaccard
-similarity of ``similarity`` on. As a forest prefers near links, a candidate left
+similarity of ``similarity`` on. Sets travel only for candidates whose sketches of
+512 bytes leave the similarity possible, so a corpus of pages from one template,
+somewhat alike, doesn't send each text along with each of its candidates. As a forest prefers near links, a candidate left
 out is one that nearer ones already connect.
 """
 
@@ -437,6 +439,10 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, radius: int = 2,
 FIRST_LINKS = 4
 #: Links of one text whose sets meet in one task.
 FAN = 4096
+#: Ranges of hash values in a sketch, a power of two, and the deviations below the
+#: expected share of common bytes from which a pair is left out: of pairs at the
+#: threshold 1 in 30,000, fewer above it.
+SKETCH, SKETCH_SLACK = 512, 4.0
 
 
 def _by_document(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
@@ -445,16 +451,44 @@ def _by_document(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     return docs.join(small(there, side.count()), docs.doc_id.eqNullSafe(there["__id"]) & (F.xxhash64(docs.text) == there["__h"]), how)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """SKETCH bytes for ascending distinct hashes, and their number as 4 more: for each
+    of as many equal ranges of hash values 0 if none lies there, else 1 to 255 by the
+    least one. Of the ranges where one of two sets has a value, the share whose bytes
+    are equal estimates the sets' Jaccard similarity without bias (one-permutation
+    minhash: Li, Owen, Zhang 2012), but for one chance meeting in 255, which only
+    keeps a pair in."""
+    out = np.zeros(SKETCH, np.uint8)
+    place = (values >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    least = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[least]] = 1 + values[least] % np.uint64(255)
+    return out.tobytes() + np.uint32(len(values)).tobytes()
+
+
+def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches x, y [pairs, SKETCH + 4 bytes] leave that similarity possible.
+    The used ranges are a sample without repeats of the union, whose size follows from
+    the sets' sizes at the similarity, so small sets have next to no deviation."""
+    size = sum(np.ascontiguousarray(z[:, SKETCH:]).view(np.uint32)[:, 0].astype(np.float64) for z in (x, y))
+    x, y = x[:, :SKETCH], y[:, :SKETCH]
+    used = ((x | y) != 0).sum(1)
+    common = ((x == y) & (x != 0)).sum(1)
+    union = size / (1 + similarity)
+    unseen = np.maximum(union - used, 0) / np.maximum(union - 1, 1)
+    return common >= used * similarity - SKETCH_SLACK * np.sqrt(used * similarity * (1 - similarity) * unseen) - 0.5
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles): the distinct shingle hashes of the texts of ``wanted`` (node, doc_id, h)."""
+    """(node, shingles, sketch): the distinct shingle hashes of the texts of ``wanted`` (node, doc_id, h)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            sets = [np.unique(shingle_hashes(t, shingle_words)).view(np.int64) for t in utf8(part.column(1))]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t, shingle_words)) for t in utf8(part.column(1))]
+            made = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.record_batch([part.column(0), *made], names=["node", "shingles", "sketch"])
 
     found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
-    return map_texts(found, make, "node string, shingles array<bigint>").dropDuplicates(["node"])
+    return map_texts(found, make, "node string, shingles array<bigint>, sketch binary").dropDuplicates(["node"])
 
 
 def jaccard(x: str, y: str) -> Column:
@@ -463,16 +497,34 @@ def jaccard(x: str, y: str) -> Column:
     return F.coalesce(F.try_divide(shared, F.size(x) + F.size(y) - shared), F.lit(1.0))
 
 
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b, ...) whose ends' ``sets`` (node, shingles) reach the similarity.
-    The set of a text with many links is dealt to several tasks."""
+def _with_ends(edges: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): the ``edges`` (a, b, ...), stored, with their ends' ``column`` of
+    ``sets``. What belongs to a text with many links is dealt to several tasks."""
     fans = edges.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")).filter("parts > 1")
     fans = stored(fans, "simhash-fans")
     fan = small(fans, fans.count())
     dealt = edges.join(fan, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    theirs = sets.join(fan, sets.node == fan.b, "left").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("shingles").alias("y"))
-    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(theirs, ["b", "part"])
-    return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
+    theirs = sets.join(fan, sets.node == fan.b, "left").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col(column).alias("y"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(theirs, ["b", "part"])
+    return both.select("a", "b", "x", "y")
+
+
+def plausible(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), stored: the ``edges`` whose ends' sketches leave the similarity possible."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH + 4) for c in part.columns[2:])
+                yield part.select(["a", "b"]).filter(pa.array(possible(x, y, similarity)))
+
+    return stored(_with_ends(edges, sets, "sketch").mapInArrow(keep, "a string, b string"), "simhash-plausible")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the ``edges`` (a, b), stored, whose ends' ``sets`` (node, shingles) reach the similarity."""
+    return _with_ends(edges, sets, "shingles").filter(jaccard("x", "y") >= similarity).select("a", "b")
 
 
 def similar(docs: DataFrame, distinct: DataFrame, *, shingle_words: int, similarity: float) -> DataFrame:
@@ -484,12 +536,14 @@ def similar(docs: DataFrame, distinct: DataFrame, *, shingle_words: int, similar
     sets = stored(shingle_sets(docs, wanted, shingle_words), "simhash-sets")
     place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("d", "a", "b"))
     near = [candidates.withColumn("k", place(end)).filter(F.col("k") <= FIRST_LINKS).select("a", "b") for end in "ab"]
-    early = stored(verified(near[0].unionByName(near[1]).distinct(), sets, similarity), "simhash-early")
+    check = lambda edges: verified(plausible(edges, sets, similarity), sets, similarity)
+    first = stored(near[0].unionByName(near[1]).distinct(), "simhash-first")
+    early = stored(check(first), "simhash-early")
     # Other candidates matter where they would join what is still apart.
     roots = stored(connected_components(early), "simhash-roots")
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
     apart = candidates.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    late = verified(apart.join(near[0].unionByName(near[1]), ["a", "b"], "left_anti"), sets, similarity)
+    late = check(stored(apart.join(first, ["a", "b"], "left_anti"), "simhash-apart"))
     return stored(early.unionByName(late), "simhash-similar")
 
 

@@ -181,6 +181,53 @@ def test_recall_of_near_copies(spark, similarity, least):
     assert gone >= 200 * least if similarity >= 0.8 else gone == 0
 
 
+def test_sketches_keep_what_reaches_the_similarity():
+    """Sets of one to thousands of hashes: pairs at 0.8 stay, those well under it go, but for tiny sets."""
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 60, 400, 3000):
+        for similarity in (1.0, 0.9, 0.8, 0.5, 0.0):
+            shared = -(-round(1e6 * 2 * similarity * n / (1 + similarity)) // 10**6)
+            kept = shared / (2 * n - shared) >= 0.8
+            for _ in range(40):
+                h = rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)
+                x, y = (np.frombuffer(simhash.sketch(np.sort(part)), np.uint8)[None] for part in (h[:n], h[n - shared :]))
+                if kept or n >= 60:
+                    assert simhash.possible(x, y, 0.8)[0] == kept
+    none = np.zeros((1, simhash.SKETCH + 4), np.uint8)
+    assert simhash.sketch(np.empty(0, np.uint64)) == none.tobytes() and simhash.possible(none, none, 0.8)[0]
+
+
+def test_pages_of_one_template_send_sketches_and_few_sets(spark, monkeypatch):
+    """800 pages, alike by about 0.7: none goes, and few sets travel. Copies by 0.9 go."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    page, rows = _page(rnd, words, 300), []
+    for k in range(800):
+        own = list(page)
+        for i in range(6 + k % 4, 300, 50):
+            own[rnd.randrange(i, min(i + 40, 300))] = f"own{rnd.random()}"
+        rows.append((k, " ".join(own)))
+    rows += [(5000 + k, " ".join([*text.split()[:-12], *(f"new{rnd.random()}" for _ in range(12))])) for k, text in rows[::50]]
+    counts, real_plausible, real_verified = {"sketches": 0, "sets": 0}, simhash.plausible, simhash.verified
+
+    def plausible(edges, sets, similarity):
+        counts["sketches"] += edges.count()
+        return real_plausible(edges, sets, similarity)
+
+    def verified(edges, sets, similarity):
+        counts["sets"] += edges.count()
+        return real_verified(edges, sets, similarity)
+
+    monkeypatch.setattr(simhash, "plausible", plausible)
+    monkeypatch.setattr(simhash, "verified", verified)
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5, similarity=0.8, planes=256).collect()}
+    assert got == set(range(800))
+    # Bytes of sets and sketches sent, two of each for a pair.
+    per_set = 8 * 296
+    assert counts["sketches"] > 10_000
+    assert counts["sketches"] * (simhash.SKETCH + 4) + counts["sets"] * per_set < 0.4 * counts["sketches"] * per_set
+
+
 def test_widths_grow_with_the_number_of_fingerprints():
     sizes = [simhash.samples(n, 256, 0.8).shape for n in (0, 10**5, 10**7, 10**9)]
     assert sizes[0] == sizes[1] == (95, 16) and sizes[2][1] == 20 and sizes[3][1] == 26
