@@ -22,13 +22,19 @@ rows is dealt out as pairs of bounded blocks.
 held against the shingle sets of its two texts, and counts from a Jaccard
 similarity of ``similarity`` on. Sets travel only for candidates whose sketches of
 512 bytes leave the similarity possible, so a corpus of pages from one template,
-somewhat alike, doesn't send each text along with each of its candidates. As a forest prefers near links, a candidate left
-out is one that nearer ones already connect.
+somewhat alike, doesn't send each text along with each of its candidates.
+
+That joins most of what belongs together, but not all: a pair at the similarity may
+meet in no bucket, differ on more planes than the radius, fail a sketch, or be left
+out by a forest for nearer links that fail. ``remaining`` finds all links that are
+missing, without a cut: sets that share enough share one of their rarest shingles
+(prefix filter: Chaudhuri, Ganti, Kaushik 2006; Xiao et al. 2008), so texts that are
+still apart meet under each of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, ceil, log2, pi
 
@@ -94,18 +100,21 @@ def majority(h: np.ndarray, planes: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, *, shingle_words: int, planes: int = 64, id_type: str = "long", distinct: bool = False) -> DataFrame:
     """(doc_id, f0, f1, ...) per row of ``docs``; null or wordless text: zeros.
-    ``distinct``: a repeated shingle counts once."""
+    ``distinct``: a repeated shingle counts once, and ``s`` is a hash of the set."""
     words = planes // 64
-    names = [f"f{i}" for i in range(words)]
+    names = [f"f{i}" for i in range(words)] + ["s"] * distinct
 
     def one(raw: bytes) -> np.ndarray:
         h = shingle_hashes(raw, shingle_words)
-        return majority(np.unique(h) if distinct else h, planes)
+        if not distinct:
+            return majority(h, planes)
+        h = np.unique(h)
+        return np.append(majority(h, planes), np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = np.array([one(t) for t in utf8(part.column(1))], np.uint64).reshape(-1, words)
-            yield pa.record_batch([part.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(words))], names=["doc_id", *names])
+            found = np.array([one(t) for t in utf8(part.column(1))], np.uint64).reshape(-1, len(names))
+            yield pa.record_batch([part.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(len(names)))], names=["doc_id", *names])
 
     return map_texts(docs.select("doc_id", "text"), make, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
 
@@ -439,6 +448,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, radius: int = 2,
 FIRST_LINKS = 4
 #: Links of one text whose sets meet in one task.
 FAN = 4096
+#: Shingles at most that come ordered by how many texts have them, after all others. For
+#: that, one text in COUNTED is counted, if there are over FEW.
+FREQUENT, COUNTED, FEW = 1 << 18, 8, 8192
+#: Pairs of rows that are held in memory at once.
+PAIRS = 1 << 20
 #: Ranges of hash values in a sketch, a power of two, and the deviations below the
 #: expected share of common bytes from which a pair is left out: of pairs at the
 #: threshold 1 in 30,000, fewer above it.
@@ -478,17 +492,18 @@ def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return common >= used * similarity - SKETCH_SLACK * np.sqrt(used * similarity * (1 - similarity) * unseen) - 0.5
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles, sketch): the distinct shingle hashes of the texts of ``wanted`` (node, doc_id, h)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, brief: Callable[[np.ndarray], bytes] = sketch) -> DataFrame:
+    """(node, shingles, sketch): the distinct shingle hashes of the texts of ``wanted``
+    (node, doc_id, h), and what ``brief`` makes of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle_words)) for t in utf8(part.column(1))]
-            made = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary())]
+            made = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(brief, sets), pa.binary())]
             yield pa.record_batch([part.column(0), *made], names=["node", "shingles", "sketch"])
 
     found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
-    return map_texts(found, make, "node string, shingles array<bigint>, sketch binary").dropDuplicates(["node"])
+    return map_texts(found, make, f"node {wanted.schema['node'].dataType.simpleString()}, shingles array<bigint>, sketch binary").dropDuplicates(["node"])
 
 
 def jaccard(x: str, y: str) -> Column:
@@ -547,6 +562,170 @@ def similar(docs: DataFrame, distinct: DataFrame, *, shingle_words: int, similar
     return stored(early.unionByName(late), "simhash-similar")
 
 
+# The links that buckets, radius, sketches and forests leave out
+
+
+def least_shared(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that sets of together ``total`` share at least at that similarity;
+    rounding makes it less, never more."""
+    return np.ceil(total * (similarity / (1 + similarity) - 1e-9)).astype(np.int64)
+
+
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by a power of two, four times their number
+    or more: whether it occurs an odd number of times; and their number as 4 bytes."""
+    width = max(64, 1 << (4 * len(values)).bit_length())
+    odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes() + np.uint32(len(values)).tobytes()
+
+
+def reachable(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether ``parity`` of two sets leaves that similarity possible: no more bits
+    differ than there are values in one set alone (bitmap filter: Sandes, Teodoro,
+    Melo 2020), so no pair that has the similarity is left out."""
+    if len(x) < len(y):
+        x, y = y, x
+    total = int.from_bytes(x[-4:], "little") + int.from_bytes(y[-4:], "little")
+    wide, width = int.from_bytes(x[:-4], "little"), 8 * (len(x) - 4)
+    while width > 8 * (len(y) - 4):
+        width //= 2
+        wide = (wide >> width) ^ (wide & ((1 << width) - 1))
+    return (wide ^ int.from_bytes(y[:-4], "little")).bit_count() <= total - 2 * int(least_shared(np.int64(total), similarity))
+
+
+def frequent(docs: DataFrame, units: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, ascending, and how many of ``units`` (id, first) have
+    each. This decides in what order shingles come and how work is dealt, not what is found."""
+    rate = COUNTED if units.count() > FEW else 1
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            found = np.concatenate([np.unique(shingle_hashes(t, shingle_words)) for t in utf8(part.column(0))])
+            yield pa.record_batch([pa.array(found.view(np.int64))], names=["shingle"])
+
+    some = units.filter(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("first.*")
+    texts = _by_document(docs.select("doc_id", "text"), some, "inner").select("text")
+    counted = stored(map_texts(texts, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"), "simhash-counted")
+    least, most = 2, 0
+    for times, n in sorted(map(tuple, counted.groupBy("times").count().collect()), reverse=True):
+        most += n
+        if most > FREQUENT:
+            least = times + 1
+            break
+    found = counted.filter(F.col("times") >= least).toArrow()
+    often, times = (np.concatenate([np.empty(0, np.int64), found[c].to_numpy()]) for c in ("shingle", "times"))
+    often = often.view(np.uint64)
+    order = np.argsort(often)
+    return often[order], times[order] * rate
+
+
+def prefixes(docs: DataFrame, units: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(key, id, root, n, left): for each of ``units`` (id, first, root) the rarest of its n
+    shingles, of which any set that reaches the similarity has one, and how many come from
+    there on. One that over ``HOT`` units have is dealt out in pairs of blocks."""
+    often, times = frequent(docs, units, shingle_words)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle_words)) for t in utf8(part.column(2))]
+            size = np.array([len(x) for x in sets], np.int64)
+            whole = np.concatenate(sets)
+            known = np.zeros(len(whole), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, whole), len(often) - 1)
+                known = np.where(often[at] == whole, times[at], 0)
+            take = np.where(size > 0, size - np.ceil(size * (similarity - 1e-9)).astype(np.int64) + 1, 0)
+            first = np.cumsum(size) - size
+            chosen = [f + np.argsort(known[f : f + n], kind="stable")[:k] for f, n, k in zip(first, size, take)]
+            rows = np.concatenate(chosen)
+            unit = np.repeat(np.arange(len(sets)), take)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(take) - take, take)
+            blocks = np.maximum(-(-known[rows] // HOT), 1)
+            row = np.repeat(np.arange(len(rows)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = part.column(0).to_numpy()[unit[row]] % blocks[row]
+            pair = np.minimum(own, other) * blocks[row] + np.maximum(own, other) + 1
+            key = whole[rows[row]] + np.where(blocks[row] > 1, pair, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            at, n = unit[row], size[unit[row]]
+            made = [pa.array(key.view(np.int64)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))]
+            yield pa.record_batch([*made, pa.array(n.astype(np.int32)), pa.array((n - place[row]).astype(np.int32))], names=["key", "id", "root", "n", "left"])
+
+    texts = _by_document(docs.select("doc_id", "text"), units.select("first.*", "id", "root"), "inner").select("id", "root", "text")
+    return map_texts(texts, make, "key long, id long, root long, n int, left int")
+
+
+def meeting(key: np.ndarray, unit: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (greater, less) of units of one key and different roots (0: a root of its own)
+    whose shingles from there on may be enough. Rows come sorted by key and root."""
+
+    def ends(new: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+
+    if not len(key):
+        return
+    group = np.append(True, key[1:] != key[:-1])
+    own = ends(group | (root == 0) | np.append(True, root[1:] != root[:-1]))
+    many = ends(group) - own
+    row = np.flatnonzero(many)
+    total, at = np.cumsum(many[row]), 0
+    while at < len(row):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        m = many[row[at:end]]
+        i = np.repeat(row[at:end], m)
+        j = own[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        kept = (np.minimum(left[i], left[j]) >= least_shared(n[i] + n[j], similarity)) & (unit[i] != unit[j])
+        a, b = unit[i[kept]], unit[j[kept]]
+        yield np.maximum(a, b), np.minimum(a, b)
+        at = end
+
+
+def meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the units of ``prefixes`` that may reach the similarity, each pair once."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in meeting(*columns, similarity):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            rest = [np.concatenate(x) for x in zip(rest, new)] if rest else new
+            whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            if whole:
+                yield from done([c[:whole] for c in rest])
+                rest = [c[whole:] for c in rest]
+        if rest:
+            yield from done(rest)
+        give_back()
+
+    return rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(compare, "a long, b long").distinct()
+
+
+def remaining(docs: DataFrame, units: DataFrame, edges: DataFrame, *, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b), stored: nodes of ``units`` (s, first, node: a row per set of shingles) that
+    have a link at the similarity, and that ``edges`` (a, b) leave apart: all such links."""
+    roots = stored(connected_components(edges), "simhash-joined")
+    rooted = units.select(F.col("s").alias("id"), "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("root").agg(F.count("*").alias("rows")).filter("rows > 1").select("root", F.xxhash64("root").alias("r"))
+    rooted = stored(rooted.join(several, "root", "left").select("id", "first", "node", F.coalesce("r", F.lit(0)).alias("root")), "simhash-rooted")
+    met = stored(meetings(prefixes(docs, rooted, shingle_words, similarity), similarity), "simhash-met")
+    ends = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    wanted = stored(ends.join(rooted, "id").select(F.col("id").alias("node"), "first.*"), "simhash-wanted")
+    sets = stored(shingle_sets(docs, wanted, shingle_words, parity), "simhash-sets")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [reachable(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
+
+    left = stored(_with_ends(met, sets, "sketch").mapInArrow(keep, "a long, b long"), "simhash-left")
+    node = lambda end: rooted.select(F.col("id").alias(end), F.col("node").alias(f"n{end}"))
+    found = verified(left, sets, similarity).join(node("a"), "a").join(node("b"), "b")
+    return stored(found.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct(), "simhash-remaining")
+
+
 def deduplicate(docs: DataFrame, *, shingle_words: int, similarity: float, planes: int) -> DataFrame:
     """``docs`` without near-duplicates: texts are linked whose sets of shingles have
     at least the Jaccard ``similarity``, and of each component the rows whose doc_id is
@@ -556,8 +735,13 @@ def deduplicate(docs: DataFrame, *, shingle_words: int, similarity: float, plane
     doc_id and text."""
     named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
     prints = stored(fingerprints(named, shingle_words=shingle_words, planes=planes, id_type="struct<doc_id: bigint, h: bigint>", distinct=True), "simhash-prints")
+    names = [c for c in prints.columns if c not in ("doc_id", "s")]
+    units = stored(prints.groupBy(*names, "s").agg(F.min("doc_id").alias("first")).select("s", "first", node_of([F.col(n) for n in names]).alias("node")), "simhash-units")
+    prints = prints.drop("s")
     distinct = distinct_prints(prints)
-    found = components(prints, distinct, similar(docs, distinct, shingle_words=shingle_words, similarity=similarity))
+    edges = similar(docs, distinct, shingle_words=shingle_words, similarity=similarity)
+    edges = edges.unionByName(remaining(docs, units, edges, shingle_words=shingle_words, similarity=similarity))
+    found = components(prints, distinct, edges)
     gone = stored(found.filter("doc_id != component_id").select("doc_id.*").distinct(), "simhash-gone")
     return _by_document(docs, gone, "left_anti")
 

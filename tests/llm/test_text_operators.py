@@ -181,6 +181,55 @@ def test_recall_of_near_copies(spark, similarity, least):
     assert gone >= 200 * least if similarity >= 0.8 else gone == 0
 
 
+def test_no_link_is_left_out(spark):
+    """Groups of pages with a few changes each, in which near candidates that fail displace
+    farther ones that pass, and some pairs meet in no bucket: as the shingle sets of all pairs have it."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for group in range(60):
+        page = _page(rnd, words, rnd.choice((40, 104, 204)))
+        for k in range(20):
+            own = list(page)
+            for _ in range(rnd.randint(0, 5)):
+                i = rnd.randrange(len(own) - 8)
+                own[i : i + rnd.choice((1, 2, 4))] = [f"own{rnd.random()}"]
+            rows.append((1000 * group + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.deduplicate(df, shingle_words=5, similarity=0.8, planes=256).collect()}
+    assert got == brute_survivors(rows)
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_remaining_links_need_no_bucket(spark, monkeypatch, hot):
+    """With forests that give no link at all, copies of all sizes go as they should."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "forest", lambda bucket, prints, radius: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = [(0, None), (1, ""), (2, " "), (3, "a b c d e"), (4, "a b c d"), (3, "A b c d e"), (None, "a b c d e f g h"), (5, "a b c d e f g h i")]
+    for n in (9, 14, 60, 300):
+        page = _page(rnd, words, n)
+        rows += [(100 * n + k, " ".join(_changed(rnd, page, rnd.choice((0.75, 0.8, 0.805, 0.9))))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in simhash.deduplicate(df, shingle_words=5, similarity=0.8, planes=256).collect()]
+    want = brute_survivors([(d, t) for d, t in rows if d != 3 and d is not None] + [(3, "a b c d e"), (-1, "a b c d e f g h")])
+    assert sorted(-1 if d is None else d for d in got) == sorted(want)
+
+
+def test_parities_leave_out_no_pair_at_the_similarity():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 0), (1, 1), (4, 5), (60, 60), (60, 74), (400, 330), (3000, 2500)):
+        for similarity in (1.0, 0.9, 0.8, 0.7, 0.4):
+            shared = min(n, m, -(-round(1e6 * similarity * (n + m) / (1 + similarity)) // 10**6))
+            reached = shared >= 0.8 * (n + m - shared)
+            for _ in range(20):
+                h = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+                x, y = (simhash.parity(np.sort(part)) for part in (h[:n], h[n - shared :]))
+                assert simhash.reachable(x, y, 0.8) or not reached
+                assert not simhash.reachable(x, y, 0.8) or reached or similarity > 0.6 or n + m < 100
+
+
 def test_sketches_keep_what_reaches_the_similarity():
     """Sets of one to thousands of hashes: pairs at 0.8 stay, those well under it go, but for tiny sets."""
     rng = np.random.default_rng(3)
