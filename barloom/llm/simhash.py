@@ -492,14 +492,14 @@ def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return common >= used * similarity - SKETCH_SLACK * np.sqrt(used * similarity * (1 - similarity) * unseen) - 0.5
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, brief: Callable[[np.ndarray], bytes] = sketch) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, brief: Callable[[np.ndarray], bytes] = sketch, whole: bool = True) -> DataFrame:
     """(node, shingles, sketch): the distinct shingle hashes of the texts of ``wanted``
-    (node, doc_id, h), and what ``brief`` makes of them."""
+    (node, doc_id, h), null unless ``whole``, and what ``brief`` makes of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle_words)) for t in utf8(part.column(1))]
-            made = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(brief, sets), pa.binary())]
+            made = [pa.array([s.view(np.int64) if whole else None for s in sets], pa.list_(pa.int64())), pa.array(map(brief, sets), pa.binary())]
             yield pa.record_batch([part.column(0), *made], names=["node", "shingles", "sketch"])
 
     found = _by_document(docs.select("doc_id", "text"), wanted, "inner").select("node", "text")
@@ -711,18 +711,20 @@ def remaining(docs: DataFrame, units: DataFrame, edges: DataFrame, *, shingle_wo
     several = rooted.groupBy("root").agg(F.count("*").alias("rows")).filter("rows > 1").select("root", F.xxhash64("root").alias("r"))
     rooted = stored(rooted.join(several, "root", "left").select("id", "first", "node", F.coalesce("r", F.lit(0)).alias("root")), "simhash-rooted")
     met = stored(meetings(prefixes(docs, rooted, shingle_words, similarity), similarity), "simhash-met")
-    ends = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(ends.join(rooted, "id").select(F.col("id").alias("node"), "first.*"), "simhash-wanted")
-    sets = stored(shingle_sets(docs, wanted, shingle_words, parity), "simhash-sets")
+
+    def of_ends(pairs: DataFrame, whole: bool) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = stored(ends.join(rooted, "id").select(F.col("id").alias("node"), "first.*"), "simhash-wanted")
+        return stored(shingle_sets(docs, wanted, shingle_words, parity, whole), "simhash-sets")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [reachable(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
 
-    left = stored(_with_ends(met, sets, "sketch").mapInArrow(keep, "a long, b long"), "simhash-left")
+    left = stored(_with_ends(met, of_ends(met, False), "sketch").mapInArrow(keep, "a long, b long"), "simhash-left")
     node = lambda end: rooted.select(F.col("id").alias(end), F.col("node").alias(f"n{end}"))
-    found = verified(left, sets, similarity).join(node("a"), "a").join(node("b"), "b")
+    found = verified(left, of_ends(left, True), similarity).join(node("a"), "a").join(node("b"), "b")
     return stored(found.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct(), "simhash-remaining")
 
 
