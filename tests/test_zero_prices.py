@@ -10,6 +10,8 @@ from barloom.plans.registry import ORACLE_SQL, QUERIES
 
 NAMES = """
 regimes_and_merged_signals
+reversion_signal
+vwap_features
 """.split()
 
 
