@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Column with the number of a row's timestamp among the panel's.
@@ -22,10 +22,15 @@ def numbered(panel: DataFrame) -> DataFrame:
     return panel.join(numbers, "ts")
 
 
+def finite(column: str) -> Column:
+    """The column with null for NaN and infinities."""
+    x = F.col(column)
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def finite_only(df: DataFrame, column: str) -> DataFrame:
     """NaN and infinities become null, then null rows go."""
-    x = F.col(column)
-    return df.withColumn(column, F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)).filter(F.col(column).isNotNull())
+    return df.withColumn(column, finite(column)).filter(F.col(column).isNotNull())
 
 
 def trim_warmup(df: DataFrame, start: str, warmup: int) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bars, blocks, factors, research
+from ..operators import bars, blocks, factors, panel, research
 from ..sources import tables
 from ..sources.stored import shared_dir
 from ..sources.tables import ORDER_PRICES, TRADES
@@ -222,8 +222,8 @@ _BUILTIN_SQL = f"""{base._TIME}, r AS (
 
 @query(_BUILTIN_SQL)
 def factors_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All built-in factors on four-hour bars."""
+    """All built-in factors on four-hour bars; a change from a close of 0 is none."""
     t = tables.trades(spark, sf_dir)
     b = bars.time_bars(t, "4h").withColumn("ts", F.timestamp_millis("start_time_ms"))
     made = factors.compute(factors.bar_features(b, factors.tick_features(t, "4h")), [*factors.RAW, *factors.ROLLING])
-    return made.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    return made.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm"), "value": panel.finite("value")})

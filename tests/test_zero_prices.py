@@ -12,6 +12,8 @@ NAMES = """
 regimes_and_merged_signals
 reversion_signal
 vwap_features
+factor_change_diff
+factors_builtin
 """.split()
 
 
