@@ -19,9 +19,10 @@ KEYS = ("factor", "ts", "symbol")
 
 
 def forward_returns(prices: DataFrame, periods: list[int]) -> DataFrame:
-    """(ts, symbol, ret_<p>...): p[t+n] / p[t] - 1 by the panel's timestamps, nothing filled."""
+    """(ts, symbol, ret_<p>...): p[t+n] / p[t] - 1 by the panel's timestamps, nothing
+    filled; infinite or NaN from a price of 0."""
     full = numbered(prices.select("ts", "symbol", "close"))
-    return full.select("ts", "symbol", *[(F.try_divide(rolling.lag("close", -p, number=NUMBER), F.col("close")) - 1).alias(f"ret_{p}") for p in periods])
+    return full.select("ts", "symbol", *[(rolling.quotient(rolling.lag("close", -p, number=NUMBER), "close") - 1).alias(f"ret_{p}") for p in periods])
 
 
 def equal_count_bin(x: str, by: list[str], bins: int) -> Column:

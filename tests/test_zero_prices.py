@@ -14,6 +14,7 @@ reversion_signal
 vwap_features
 factor_change_diff
 factors_builtin
+forward_returns
 """.split()
 
 
