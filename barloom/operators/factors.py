@@ -160,11 +160,12 @@ def tick_features(trades: DataFrame, interval: str) -> DataFrame:
 
 def feature_set(panel: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 60, 120)) -> DataFrame:
     """Returns, and per window the return, mean, deviation, volume mean, momentum
-    and annualized volatility, each over a full window of the symbol's own rows."""
+    and annualized volatility, each over a full window of the symbol's own rows. Returns
+    from a close of 0 are infinite or NaN, but for log_return, which is null there."""
     c = F.col
-    df = panel.withColumn("return", F.try_divide(c("close"), rolling.lag("close")) - 1)
+    df = panel.withColumn("return", rolling.quotient("close", rolling.lag("close")) - 1)
     df = df.withColumn("log_return", F.when((c("close") > 0) & (rolling.lag("close") > 0), F.ln(c("close") / rolling.lag("close"))))
     for n in windows:
-        past = F.try_divide(c("close"), rolling.lag("close", n)) - 1
+        past = rolling.quotient("close", rolling.lag("close", n)) - 1
         df = df.withColumns({f"return_{n}": past, f"sma_{n}": rolling.mean("close", n, n), f"std_{n}": rolling.std("close", n, n), f"vol_sma_{n}": rolling.mean("volume", n, n), f"momentum_{n}": past, f"volatility_{n}": rolling.std("return", n, n) * F.sqrt(F.lit(252.0))})
     return df

@@ -15,6 +15,7 @@ vwap_features
 factor_change_diff
 factors_builtin
 forward_returns
+feature_set
 """.split()
 
 
