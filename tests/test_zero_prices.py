@@ -16,6 +16,7 @@ factor_change_diff
 factors_builtin
 forward_returns
 feature_set
+amplitude_momentum
 """.split()
 
 
