@@ -17,6 +17,7 @@ factors_builtin
 forward_returns
 feature_set
 amplitude_momentum
+composite_factor
 """.split()
 
 
