@@ -18,6 +18,7 @@ forward_returns
 feature_set
 amplitude_momentum
 composite_factor
+buffer_zone
 """.split()
 
 
