@@ -19,6 +19,7 @@ feature_set
 amplitude_momentum
 composite_factor
 buffer_zone
+funding_cost
 """.split()
 
 
