@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling
 from ..sources.stored import stored
-from .panel import NUMBER, every_nth, numbered
+from .panel import NUMBER, every_nth, finite, numbered
 
 KEYS = ("factor", "ts", "symbol")
 
@@ -32,23 +32,27 @@ def equal_count_bin(x: str, by: list[str], bins: int) -> Column:
 
 
 def equal_width_bin(x: str, by: list[str], bins: int) -> Column:
-    """1 to ``bins`` of equal width between the group's extremes, closed on the right."""
+    """1 to ``bins`` of equal width between the group's extremes, closed on the right; with
+    an infinite extreme, what has no place between them is in the last."""
     w = Window.partitionBy(*by)
     low, high = F.min(x).over(w), F.max(x).over(w)
-    place = F.ceil(F.try_divide((F.col(x) - low) * bins, high - low))
+    share = F.try_divide((F.col(x) - low) * bins, high - low)
+    place = F.when(F.isnan(share), bins).otherwise(F.ceil(share))
     return F.when(high > low, F.greatest(F.lit(1), F.least(F.lit(bins), place))).otherwise(F.lit((bins + 1) // 2)).cast("int")
 
 
-def clean(factors: DataFrame, prices: DataFrame, *, periods: list[int], quantiles: int | None = 5, bins: int | None = None, max_loss: float | None = 0.5, rebalance: int = 1) -> DataFrame:
+def clean(factors: DataFrame, prices: DataFrame, *, periods: list[int], quantiles: int | None = 5, bins: int | None = None, max_loss: float | None = 0.5, rebalance: int = 1, infinite: bool = False) -> DataFrame:
     """(factor, ts, symbol, value, ret_<p>..., quantile): factor values that are
     finite and have every forward return, binned per factor and date. With
     ``max_loss``, losing a larger share of a factor's rows is an error (null: the
-    share stays in column ``loss``). ``rebalance`` keeps every n-th timestamp."""
+    share stays in column ``loss``). ``rebalance`` keeps every n-th timestamp.
+    ``infinite`` keeps infinite and NaN values, too, NaN as the greatest."""
     if rebalance > 1:
         factors, prices = every_nth(factors, rebalance), every_nth(prices, rebalance)
-    x = F.col("value")
     back = forward_returns(prices, periods)
-    joined = factors.join(back, ["ts", "symbol"], "left").withColumn("value", F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
+    joined = factors.join(back, ["ts", "symbol"], "left")
+    if not infinite:
+        joined = joined.withColumn("value", finite("value"))
     sound = F.col("value").isNotNull()
     for p in periods:
         sound &= F.col(f"ret_{p}").isNotNull()

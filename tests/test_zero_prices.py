@@ -20,6 +20,7 @@ amplitude_momentum
 composite_factor
 buffer_zone
 funding_cost
+fixed_bins
 """.split()
 
 
