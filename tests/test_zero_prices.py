@@ -22,6 +22,12 @@ buffer_zone
 funding_cost
 fixed_bins
 factor_loss
+factor_summary
+ls_performance
+ls_nav
+quantile_bins
+ic_by_date
+ic_summary
 """.split()
 
 
