@@ -28,6 +28,7 @@ ls_nav
 quantile_bins
 ic_by_date
 ic_summary
+factor_crowding
 """.split()
 
 
