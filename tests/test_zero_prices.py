@@ -29,6 +29,7 @@ quantile_bins
 ic_by_date
 ic_summary
 factor_crowding
+factor_capacity
 """.split()
 
 
