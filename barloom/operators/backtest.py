@@ -55,7 +55,8 @@ def _per_date(held: DataFrame, prices: DataFrame, dates: DataFrame, keys: tuple[
 def _period_rows(dates: DataFrame, found: DataFrame, bps: float, keys: tuple[str, ...]) -> DataFrame:
     """A row for each date that has a next one; a date on which nothing is held earns and costs nothing."""
     figures = [c for c in found.columns if c not in (*keys, "k")]
-    rows = dates.filter("next_ts is not null").join(found, [*keys, "k"], "left").fillna(0.0, figures)
+    # Not fillna, which would take a NaN, the return of undefined weights, for nothing earned.
+    rows = dates.filter("next_ts is not null").join(found, [*keys, "k"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in figures})
     gross = F.col("gross") if "gross" in figures else F.col("long_return") - F.col("short_return")
     rows = rows.withColumn("gross", gross).withColumn("cost", F.col("turnover") * bps / 10_000)
     return rows.withColumn("net", F.col("gross") - F.col("cost"))

@@ -30,6 +30,7 @@ ic_by_date
 ic_summary
 factor_crowding
 factor_capacity
+grid_scan
 """.split()
 
 
